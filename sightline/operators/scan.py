@@ -20,8 +20,8 @@ def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
 
 
 def _same(keys: list[str], a: str, b: str) -> Column:
-    cond = F.lit(True)
-    for key in [*keys, _CHUNK]:
+    cond = F.col(f"{a}.{_CHUNK}") == F.col(f"{b}.{_CHUNK}")
+    for key in keys:
         cond = cond & F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
     return cond
 
@@ -30,31 +30,38 @@ def with_runs(
     df: DataFrame,
     keys: list[str],
     order: str = "frame_index",
-    gap: int = 1,
+    limits: dict[str, int] | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``run_start`` and ``run_no`` for runs whose steps are at most ``gap``.
+    """Add ``run_start`` and ``run_no``.
 
-    ``run_start`` is the order value of the first row of the run, ``run_no`` counts the
-    runs of the key from one.  ``order`` must be a whole number.
+    A run goes on while every column in ``limits`` (default: ``{order: 1}``) grows by at
+    most its limit from one row to the next.  ``run_start`` is the order value of the
+    first row of the run, ``run_no`` counts the runs of the key from one.  ``order`` is a
+    whole number, and the limited columns never decrease along it.
     """
+    limits = limits or {order: 1}
     rows = _chunked(df, order, chunk)
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    step = F.col(order) - F.lag(order).over(inside)
-    marked = rows.withColumn("_inner", F.when(step > gap, F.col(order)))
+    broken = F.lit(False)
+    for name, limit in limits.items():
+        broken = broken | (F.col(name) - F.lag(name).over(inside) > limit)
+    marked = rows.withColumn("_inner", F.when(broken, F.col(order)))
 
     summary = marked.groupBy(*keys, _CHUNK).agg(
         F.min(order).alias("_first"),
-        F.max(order).alias("_last"),
         F.max("_inner").alias("_last_inner"),
         F.count("_inner").alias("_breaks"),
+        *[F.min(n).alias(f"_lo_{n}") for n in limits],
+        *[F.max(n).alias(f"_hi_{n}") for n in limits],
     )
     along = Window.partitionBy(*keys).orderBy(_CHUNK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    prev_last = F.lag("_last").over(along)
-    summary = summary.withColumn(
-        "_opens", prev_last.isNull() | (F.col("_first") - prev_last > gap)
-    ).withColumn(
+    opens = F.lag("_first").over(along).isNull()
+    for name, limit in limits.items():
+        step = F.col(f"_lo_{name}") - F.lag(f"_hi_{name}").over(along)
+        opens = opens | F.coalesce(step > limit, F.lit(False))
+    summary = summary.withColumn("_opens", opens).withColumn(
         "_own", F.coalesce("_last_inner", F.when(F.col("_opens"), F.col("_first")))
     )
     carried = F.max("_own").over(before)
