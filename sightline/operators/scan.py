@@ -135,3 +135,27 @@ def over_last_rows(
     for name, build in columns.items():
         spread = spread.withColumn(name, build(window))
     return spread.where(F.col("_block") == F.col("_home")).drop("_home", "_block")
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], order: str, columns: list[str], chunk: int = CHUNK
+) -> DataFrame:
+    """Replace ``columns`` by their running sums along ``order`` (unique per key)."""
+    rows = _chunked(df, order, chunk)
+    sums = rows.groupBy(*keys, _CHUNK).agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    before = (
+        Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sums = sums.select(
+        *keys, _CHUNK, *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in columns]
+    )
+    upto = (
+        Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    for c in columns:
+        rows = rows.withColumn(f"_h_{c}", F.sum(c).over(upto))
+    joined = rows.alias("r").join(sums.alias("s"), _same(keys, "r", "s"))
+    return joined.select(
+        *[F.col(f"r.{c}") for c in df.columns if c not in columns],
+        *[(F.col(f"s._s_{c}") + F.col(f"r._h_{c}")).alias(c) for c in columns],
+    )

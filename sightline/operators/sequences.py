@@ -117,45 +117,57 @@ def anomalies(measured: DataFrame, policy: GuardPolicy) -> DataFrame:
     return measured.withColumn("anomalous", F.lit(True) if policy.overlap_alone else flags)
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list, fold, schema: str) -> DataFrame:
-    """Run a sequential fold per key over rows sorted by ``order``.
+def key_changes(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Row numbers at which another key begins, given the key of the row before the batch."""
+    marks = np.zeros(len(pdf), dtype=bool)
+    for key in keys:
+        column = pdf[key].to_numpy()
+        marks[1:] |= column[1:] != column[:-1]
+    marks[0] = last is None or tuple(pdf[keys].iloc[0]) != last
+    return marks, tuple(pdf[keys].iloc[-1])
+
+
+def row_fold(
+    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start, step, added: str
+) -> DataFrame:
+    """Sequential fold per key with one result per row, for rows sorted by ``order``.
 
     The rows of a key arrive in one task, sorted by Spark (which spills) and streamed in
-    Arrow batches, so a long key costs time but never memory: the fold keeps only its own
-    state.  ``fold(key) -> (push, finish)``; ``push`` takes a slice of rows of that key.
+    Arrow batches, so a long key costs time but never memory: only ``start()``'s state is
+    kept.  ``step(state, *inputs)`` changes the state and returns the added values, or
+    None to drop the row.
     """
+    names = [part.split()[0] for part in added.split(", ")]
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + added
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, push, finish = None, None, None
+        last, state = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            marks = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy()
-            marks[0] = True
-            cuts = np.r_[np.flatnonzero(marks), len(pdf)]
-            out = []
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                part = pdf.iloc[low:high]
-                key = tuple(part[keys].iloc[0])
-                if key != current:
-                    if finish is not None:
-                        out.append(finish())
-                    current = key
-                    push, finish = fold(key)
-                out.append(push(part))
-            out = [o for o in out if o is not None and len(o)]
-            if out:
-                yield pd.concat(out)
-        if finish is not None:
-            tail = finish()
-            if tail is not None and len(tail):
-                yield tail
-
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema)
-
-
-def _nothing():
-    return None
+            marks, last = key_changes(pdf, keys, last)
+            rows = zip(marks.tolist(), *[pdf[c].tolist() for c in inputs])
+            results, kept = [], []
+            for i, (fresh, *values) in enumerate(rows):
+                if fresh:
+                    state = start()
+                result = step(state, *values)
+                if result is not None:
+                    results.append(result)
+                    kept.append(i)
+            out = pdf.iloc[kept].reset_index(drop=True)
+            for name, column in zip(names, zip(*results) if results else [[]] * len(names)):
+                out[name] = column
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _thin_step(state: dict, gap: int, at: int):
+    if state["last"] is not None and at - state["last"] < gap:
+        return None
+    state["last"] = at
+    return (True,)
 
 
 def thin(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
@@ -165,51 +177,41 @@ def thin(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
     there first; the cuts make independent groups and spread a long key over tasks.
     """
     pieces = scan.with_runs(df, keys, at, limits={at: gap - 1}).drop("run_start")
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-    def fold(_key):
-        last: list = [None]
-
-        def push(part: pd.DataFrame):
-            values = part[at].to_numpy()
-            keep, i = [], 0
-            if last[0] is not None:
-                i = int(np.searchsorted(values, last[0] + gap))
-            while i < len(values):
-                keep.append(i)
-                last[0] = values[i]
-                i = max(i + 1, int(np.searchsorted(values, last[0] + gap)))
-            return part.iloc[keep][list(df.columns)]
-
-        return push, _nothing
-
-    return sorted_fold(pieces, [*keys, "run_no"], [at], fold, schema)
+    kept = row_fold(
+        pieces,
+        [*keys, "run_no"],
+        [at],
+        [at],
+        lambda: {"last": None},
+        lambda state, now: _thin_step(state, gap, now),
+        "_kept boolean",
+    )
+    return kept.drop("run_no", "_kept")
 
 
-def segments(frames: DataFrame, keys: list[str], at: str, size: list[str], duration: int) -> DataFrame:
+def segments(
+    frames: DataFrame, keys: list[str], at: str, size: list[str], duration: int, ties: list[str] | None = None
+) -> DataFrame:
     """Number the recording segments of a source.
 
     A new one starts with the first frame, with another frame size, and once the time
     since the segment began reaches ``duration``.
     """
-    schema = ", ".join(f"`{n}` {t}" for n, t in frames.dtypes) + ", segment bigint, segment_start bigint"
-
-    def fold(_key):
-        state: dict = {"no": 0, "start": None, "size": None}
 
-        def push(part: pd.DataFrame):
-            times = part[at].to_numpy()
-            sizes = list(zip(*[part[c].to_numpy() for c in size]))
-            numbers, starts = np.empty(len(part), dtype=np.int64), np.empty(len(part), dtype=np.int64)
-            for i, (when, dims) in enumerate(zip(times, sizes)):
-                if state["start"] is None or dims != state["size"] or when - state["start"] >= duration:
-                    state.update(no=state["no"] + 1, start=when, size=dims)
-                numbers[i], starts[i] = state["no"], state["start"]
-            return part.assign(segment=numbers, segment_start=starts)
-
-        return push, _nothing
-
-    return sorted_fold(frames, keys, [at], fold, schema)
+    def step(state: dict, now: int, *dims):
+        if state["start"] is None or dims != state["size"] or now - state["start"] >= duration:
+            state.update(no=state["no"] + 1, start=now, size=dims)
+        return state["no"], state["start"]
+
+    return row_fold(
+        frames,
+        keys,
+        [at, *(ties or [])],
+        [at, *size],
+        lambda: {"no": 0, "start": None, "size": None},
+        step,
+        "segment bigint, segment_start bigint",
+    )
 
 
 def name_suffix(starts: DataFrame, keys: list[str], second: str, order: list) -> DataFrame:
@@ -260,6 +262,18 @@ def failure_runs(status: DataFrame, keys: list[str], order: str, failed: Column)
     )
 
 
+def reconnect_attempts(
+    status: DataFrame, keys: list[str], order: str, failed: Column, gap: int
+) -> DataFrame:
+    """Reconnects per failure run: the first failed read, then one every ``gap``."""
+    placed = scan.with_position(status.withColumn("_failed", failed), keys, order, name="_position")
+    runs = scan.with_runs(placed.where("_failed"), keys, "_position").select(*keys, "run_no", order)
+    tries = thin(runs.withColumnRenamed("run_no", "failure_run"), [*keys, "failure_run"], order, gap)
+    return tries.groupBy(*keys, F.col("failure_run").alias("run_no")).agg(
+        F.count(F.lit(1)).alias("reconnect_attempts")
+    )
+
+
 def rotate(ranked: DataFrame, keys: list[str], rank: str, cursor: Column) -> DataFrame:
     """Round-robin order: start at ``cursor`` modulo the number of rows of the key."""
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from sightline.plans import q_geometry, q_matching, q_vectors  # noqa: F401
+from sightline.plans import q_geometry, q_matching, q_sequences, q_vectors  # noqa: F401
 from sightline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
