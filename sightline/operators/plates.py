@@ -9,34 +9,30 @@ from sightline.operators import scan
 from sightline.policy import VEHICLE_CLASSES, PlatePolicy
 
 
-def _first(variant: Column, paths: list[str], kind: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(variant, p, kind) for p in paths])
+def adapt_readings(rows: DataFrame, raw: Column) -> DataFrame:
+    """Provider results as ``plate``, ``conf`` and box columns; incomplete ones drop out.
 
-
-def adapt_reading(raw: Column) -> Column:
-    """A provider's JSON result as ``struct(plate, conf, x1, y1, x2, y2)``; null if incomplete.
-
-    Accepted shapes: an object with ``plate_number`` / ``text`` / ``code``, ``confidence``
-    / ``score`` and ``bbox`` / ``box``; a list ``[plate, confidence, [x1, y1, x2, y2]]``;
-    and the flat list ``[plate, confidence, x1, y1, x2, y2]``.
+    Accepted JSON shapes: an object with ``plate_number`` / ``text`` / ``code``,
+    ``confidence`` / ``score`` and ``bbox`` / ``box``; a list ``[plate, confidence,
+    [x1, y1, x2, y2]]``; and the flat list ``[plate, confidence, x1, y1, x2, y2]``.
     """
-    v = F.try_parse_json(raw)
-    plate = _first(v, ["$.plate_number", "$.text", "$.code", "$[0]"], "string")
-    conf = _first(v, ["$.confidence", "$.score", "$[1]"], "double")
-
-    def corner(i: int) -> Column:
-        paths = [f"$.bbox[{i}]", f"$.box[{i}]", f"$[2][{i}]", f"$[{i + 2}]"]
-        return F.rint(_first(v, paths, "double")).cast("int")
-
-    corners = [corner(i) for i in range(4)]
-    too_long = _first(v, ["$.bbox[4]", "$.box[4]", "$[2][4]"], "double").isNotNull()
-    plate = text.normalize_plate(plate)
-    complete = plate.isNotNull() & conf.isNotNull() & ~too_long
-    for c in corners:
-        complete = complete & c.isNotNull()
-    fields = [plate.alias("plate"), conf.alias("conf")]
-    fields += [c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"))]
-    return F.when(complete, F.struct(*fields))
+
+    def first(paths: list[str], kind: str) -> Column:
+        return F.coalesce(*[F.try_variant_get("_v", p, kind) for p in paths])
+
+    flat = F.array(*[F.try_variant_get("_v", f"$[{i}]", "double") for i in range(2, 6)])
+    boxes = first(["$.bbox", "$.box", "$[2]"], "array<double>")
+    read = (
+        rows.withColumn("_v", F.try_parse_json(raw))
+        .withColumn("plate", text.normalize_plate(first(["$.plate_number", "$.text", "$.code", "$[0]"], "string")))
+        .withColumn("conf", first(["$.confidence", "$.score", "$[1]"], "double"))
+        .withColumn("_box", F.coalesce(boxes, flat))
+        .drop("_v")
+    )
+    whole = (F.size("_box") == 4) & ~F.exists("_box", lambda x: x.isNull())
+    kept = read.where(F.col("plate").isNotNull() & F.col("conf").isNotNull() & whole)
+    corners = [F.rint(F.col("_box")[i]).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return kept.select(*rows.columns, "plate", "conf", *corners)
 
 
 def best_reading(readings: DataFrame, keys: list[str]) -> DataFrame:

@@ -217,7 +217,7 @@ PLATES_SQL = """plate_obs as (
   select user_id as track_id,
     row_number() over (partition by user_id order by ts, event_id) as frame_index,
     event_id as obs_idx, 'b ' || event_type as plate,
-    round(least(0.99, 0.5 + value/200), 4) as conf,
+    least(0.99, 0.5 + value/200) as conf,
     5 as x1, 5 as y1,
     5 + 50 + cast(json_extract(props, '$.k') as integer) as x2, 30 as y2,
     cast(60 + event_id % 60 as double) as sharpness, 140 as crop_w, 80 as crop_h
@@ -235,7 +235,7 @@ def plate_obs(spark: SparkSession, sf: str) -> DataFrame:
         "frame_index",
         F.col("event_id").alias("obs_idx"),
         F.concat(F.lit("b "), F.col("event_type")).alias("plate"),
-        F.round(F.least(F.lit(0.99), 0.5 + F.col("value") / 200), 4).alias("conf"),
+        F.least(F.lit(0.99), 0.5 + F.col("value") / 200).alias("conf"),
         F.lit(5).alias("x1"),
         F.lit(5).alias("y1"),
         (F.lit(55) + k).alias("x2"),

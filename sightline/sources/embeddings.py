@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from sightline.functions import vectors as v
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def decode_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array; null for a wrong length."""
 
@@ -22,7 +22,7 @@ def decode_blob(blobs: pd.Series) -> pd.Series:
     return blobs.map(one)
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def encode_blob(arrays: pd.Series) -> pd.Series:
     return arrays.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
 
