@@ -128,7 +128,7 @@ def key_changes(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple
 
 
 def row_fold(
-    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start, step, added: str
+    df: DataFrame, keys: list[str], order: list, inputs: list[str], start, step, added: str
 ) -> DataFrame:
     """Sequential fold per key with one result per row, for rows sorted by ``order``.
 

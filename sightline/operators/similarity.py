@@ -65,6 +65,8 @@ def scored_pairs(
     floor: float | None = None,
     later_wins: bool = False,
     plates: bool = False,
+    every: bool = False,
+    ids: tuple[str, ...] = ("attempt", "track_id"),
     left_block: int = LEFT_BLOCK,
     right_block: int = RIGHT_BLOCK,
 ) -> DataFrame:
@@ -78,7 +80,11 @@ def scored_pairs(
     Returned are, within each block, the two best targets of a candidate and the two best
     candidates of a target in an attempt, at or above ``floor``.  The overall first and
     second of every list is among them, which is all that thresholds and margins look at.
+    With ``every`` all pairs at or above ``floor`` are returned instead, for callers that
+    rule out more targets later; a candidate is then named by any ``ids``.
     """
+    if every and floor is None:
+        raise ValueError("every needs a floor")
     limit = -np.inf if floor is None else floor - SLACK
     n_left = candidates.groupBy(*same).agg(
         F.ceil(F.count(F.lit(1)) / left_block).cast("int").alias("_nl")
@@ -96,21 +102,22 @@ def scored_pairs(
             .drop("_nl", "_nr")
         )
 
-    left_cols = [*same, "attempt", "track_id", "embedding"] + (["plate"] if plates else [])
+    left_cols = [*same, *ids, "embedding"] + (["plate"] if plates else [])
     right_cols = [*same, "target_id", "centroid"] + (["plate_number"] if plates else [])
-    left = place(candidates.select(*left_cols), ["attempt", "track_id"], "_nl", "_nr", ("_lb", "_rb"))
+    left = place(candidates.select(*left_cols), list(ids), "_nl", "_nr", ("_lb", "_rb"))
     right = place(targets.select(*right_cols), ["target_id"], "_nr", "_nl", ("_rb", "_lb"))
 
     types = dict(candidates.dtypes)
-    out_types = [(c, types[c]) for c in [*same, "attempt", "track_id"]]
+    out_types = [(c, types[c]) for c in [*same, *ids]]
     schema = ", ".join(f"`{c}` {t}" for c, t in out_types)
     schema += f", target_id {dict(targets.dtypes)['target_id']}, score double"
-    columns = [*same, "attempt", "track_id", "target_id", "score"]
+    columns = [*same, *ids, "target_id", "score"]
 
     def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(lpdf) and len(rpdf):
-            lpdf = lpdf.sort_values(["attempt", "track_id"], ascending=[True, not later_wins])
+            if not every:
+                lpdf = lpdf.sort_values(["attempt", "track_id"], ascending=[True, not later_wins])
             rpdf = rpdf.rename(columns=lambda c: c.removeprefix("r_")).sort_values("target_id")
             lefts, rights = _units(lpdf["embedding"]), _units(rpdf["centroid"])
             for dim in lefts.keys() & rights.keys():
@@ -122,9 +129,11 @@ def scored_pairs(
                     b = rpdf["plate_number"].to_numpy(dtype=object)[rrows]
                     known = pd.notna(a)[:, None] & pd.notna(b)[None, :]
                     scores[known & (a[:, None] != b[None, :])] = -np.inf
-                attempts = lpdf["attempt"].to_numpy()[lrows]
-                i, j = _pick(scores, attempts, limit)
-                part = lpdf.iloc[lrows[i]][[*same, "attempt", "track_id"]].reset_index(drop=True)
+                if every:
+                    i, j = np.nonzero(scores >= limit)
+                else:
+                    i, j = _pick(scores, lpdf["attempt"].to_numpy()[lrows], limit)
+                part = lpdf.iloc[lrows[i]][[*same, *ids]].reset_index(drop=True)
                 part["target_id"] = rpdf["target_id"].to_numpy()[rrows[j]]
                 part["score"] = scores[i, j]
                 parts.append(part)

@@ -47,12 +47,9 @@ def store_violations(spark, sf):
     ids = d.gallery(refs).select("domain", "identity_id", "label", "centroid")
     i, vid = F.col("identity_id"), F.col("vec_id")
     kept = ids.where(i % 9 != 0).withColumn("label", F.when(i % 8 == 5, "  ").otherwise(F.col("label")))
-    moved = ids.where(i % 9 == 0).select(
-        "domain",
-        (i + 100000).alias("identity_id"),
-        "label",
-        F.transform("centroid", lambda x: x * F.when(i % 3 == 0, 1.5).otherwise(1.0)).alias("centroid"),
-    )
+    # In two steps: inside a lambda the new identity_id would hide the old one.
+    stretched = F.transform("centroid", lambda x: x * F.when(i % 3 == 0, 1.5).otherwise(1.0))
+    moved = ids.where(i % 9 == 0).withColumn("centroid", stretched).withColumn("identity_id", i + 100000)
     wide = v.as_double(F.col("embedding"))
     broken = refs.where(~((i % 10 == 4) & (F.col("embedding_index") == 3))).withColumn(
         "embedding",

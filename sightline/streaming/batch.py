@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from sightline import policy as pol
 from sightline.operators import scan
-from sightline.operators.sequences import row_fold
+from sightline.operators.sequences import key_changes, row_fold
+from sightline.policy import EnrichmentPolicy, RecoveryPolicy
+from sightline.streaming.steps import Bank, Fifo, Registry, Seen, Session, unit
+
+EVENT_FIELDS = "event string, target_id bigint, track_id bigint, identity_id bigint, score double, support double"
+INPUTS = [
+    "track_id",
+    "accepted",
+    "embedding",
+    "x1",
+    "y1",
+    "x2",
+    "y2",
+    "overlap",
+    "partners",
+    "plate",
+    "command",
+    "hit_ids",
+    "hit_scores",
+    "hit_plates",
+]
 
 
 def retry_cooldown(attempts: DataFrame, keys: list[str], interval: int, frame: str = "frame_index") -> DataFrame:
@@ -33,3 +58,220 @@ def retry_cooldown(attempts: DataFrame, keys: list[str], interval: int, frame: s
         "attempted boolean",
     )
     return marked.drop("run_no")
+
+
+def lifecycle(commands: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Outcome of every target command: select, correct, invalidate, recover, remove."""
+
+    def step(state: Registry, command, target, track, right_class):
+        outcome, held = state.apply(command, target, track, right_class)
+        return outcome, held, state.lost, state.recovered
+
+    return row_fold(
+        commands,
+        keys,
+        order,
+        ["command", "target_id", "track_id", "right_class"],
+        Registry,
+        step,
+        "outcome string, held_target bigint, lost_count bigint, recovered_count bigint",
+    )
+
+
+def reference_bank(
+    crops: DataFrame, keys: list[str], policy: RecoveryPolicy, frame: str = "frame_index"
+) -> DataFrame:
+    """Which crops of a target enter its runtime bank.
+
+    The first usable crop starts the bank.  Later crops are tried every
+    ``reference_interval`` frames (a crop of bad quality uses up its turn) and enter when
+    they resemble the centroid; the bank keeps the newest ``bank_size``.
+    """
+
+    def step(state: dict, now: int, accepted: bool, embedding):
+        bank = state["bank"]
+        if not bank.refs:
+            v = unit(embedding) if accepted else None
+            if v is None:
+                return None
+        elif now - state["last"] < policy.reference_interval:
+            return None
+        else:
+            v = unit(embedding) if accepted else None
+        state["last"] = now
+        if v is None:
+            return "rejected_quality", float("nan"), len(bank.refs)
+        fresh = not bank.refs
+        taken, likeness = bank.offer(v)
+        return ("started" if fresh else "accepted" if taken else "rejected_likeness"), likeness, len(bank.refs)
+
+    def start() -> dict:
+        return {"bank": Fifo(policy.bank_size, policy.reference_update_threshold), "last": None}
+
+    return row_fold(
+        crops,
+        keys,
+        [frame],
+        [frame, "accepted", "embedding"],
+        start,
+        step,
+        "outcome string, likeness double, bank_size bigint",
+    )
+
+
+def diverse_bank(offers: DataFrame, keys: list[str], order: list[str], policy: EnrichmentPolicy) -> DataFrame:
+    """Fold offered vectors into the stored bank of each identity.
+
+    Rows with ``stored`` true are the bank as it is and come first in ``order``; the
+    others are offered one after another.  Invalid vectors leave the bank alone.
+    """
+
+    def step(state: Bank, stored: bool, embedding):
+        v = unit(embedding)
+        if v is None:
+            return "invalid", -1, len(state.refs)
+        if stored:
+            state.refs.append(v)
+            return "stored", len(state.refs) - 1, len(state.refs)
+        size = len(state.refs)
+        changed, index = state.offer(v)
+        outcome = "unchanged" if not changed else "added" if len(state.refs) > size else "replaced"
+        return outcome, index, len(state.refs)
+
+    return row_fold(
+        offers,
+        keys,
+        order,
+        ["stored", "embedding"],
+        lambda: Bank(policy),
+        step,
+        "outcome string, slot bigint, bank_size bigint",
+    )
+
+
+def greedy_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
+    """One-to-one pairs of a frame taken best first; equal scores prefer the higher numbers.
+
+    Pairs below the matching threshold must be gone already, which also keeps this small.
+    """
+
+    def step(state: dict, x, y):
+        if x in state["a"] or y in state["b"]:
+            return None
+        state["a"].add(x)
+        state["b"].add(y)
+        return (True,)
+
+    picked = row_fold(
+        pairs,
+        keys,
+        [F.desc(score), F.desc(a), F.desc(b)],
+        [a, b],
+        lambda: {"a": set(), "b": set()},
+        step,
+        "_kept boolean",
+    )
+    return picked.drop("_kept")
+
+
+def suppress(boxes: DataFrame, keys: list[str], order: list, max_iou: float) -> DataFrame:
+    """Non-maximum suppression: drop a box that overlaps a better kept one too much."""
+
+    def step(kept: list, x1, y1, x2, y2):
+        mine = (x2 - x1) * (y2 - y1)
+        for k1, l1, k2, l2, theirs in kept:
+            inter = max(0.0, min(x2, k2) - max(x1, k1)) * max(0.0, min(y2, l2) - max(y1, l1))
+            union = mine + theirs - inter
+            if union > 0.0 and inter / union > max_iou:
+                return None
+        kept.append((x1, y1, x2, y2, mine))
+        return (True,)
+
+    return row_fold(boxes, keys, order, ["x1", "y1", "x2", "y2"], list, step, "_kept boolean").drop("_kept")
+
+
+def make_session(domain: str, options: dict) -> Session:
+    """A fresh session with the default policies, unless ``options`` replaces some."""
+    people = domain == "person"
+    chosen = {
+        "recovery": pol.PERSON_RECOVERY if people else pol.VEHICLE_RECOVERY,
+        "recognition": pol.PERSON_RECOGNITION if people else pol.VEHICLE_RECOGNITION,
+        "guard_policy": pol.GUARD if people else None,
+        "enrichment": pol.ENRICHMENT,
+        "retention": pol.LOST_RETENTION_SECONDS,
+    }
+    chosen.update(options.get(domain, {}))
+    return Session(domain=domain, **chosen)
+
+
+def seen_rows(part: pd.DataFrame) -> list[Seen]:
+    """Visible tracks among the rows of one frame; the frame's own row has no track."""
+    rows = []
+    for track, ok, emb, x1, y1, x2, y2, overlap, partners, plate, command, ids, scores, plates in zip(
+        *[part[c].tolist() for c in INPUTS]
+    ):
+        if track is None or track != track:
+            continue
+        vector = unit(emb) if emb is not None else None
+        near = {int(i): (s, p) for i, s, p in zip(ids, scores, plates)} if ids is not None else {}
+        others = tuple(int(p) for p in partners) if partners is not None else ()
+        rows.append(Seen(int(track), bool(ok), vector, (x1, y1, x2, y2), overlap, others, plate, near, command))
+    return rows
+
+
+def session_events(inputs: DataFrame, keys: list[str], options: dict | None = None) -> DataFrame:
+    """Fold the frames of every key (camera, run, ...) and domain into identity events.
+
+    ``inputs`` has one row per visible track and one row without a track per processed
+    frame (``n_identities``, ``ts`` in seconds).  Rows of a key arrive sorted and in
+    batches; only the session and the current frame are held.  Add a run column to
+    ``keys`` to let the runs of one camera proceed in parallel: targets never outlive a
+    run.
+    """
+    options = options or {}
+    full = [*keys, "domain"]
+    types = dict(inputs.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in full) + ", frame_index bigint, " + EVENT_FIELDS
+    names = [*full, "frame_index", "event", "target_id", "track_id", "identity_id", "score", "support"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, key, last, held = None, None, None, None
+
+        def close(part: pd.DataFrame, out: list) -> None:
+            first = part.iloc[0]
+            rows = seen_rows(part)
+            now = int(first["frame_index"])
+            for e in session.frame(now, float(first["ts"]), rows, int(first["n_identities"])):
+                out.append((*key, now, *e))
+
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            frames = pdf["frame_index"].to_numpy()
+            marks, _ = key_changes(pdf, full, last)
+            starts = marks.copy()
+            starts[1:] |= frames[1:] != frames[:-1]
+            starts[0] = True
+            cuts = np.flatnonzero(starts)
+            out: list = []
+            # The last frame may go on in the next batch.
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if marks[low]:
+                    key = tuple(pdf[full].iloc[low])
+                    session = make_session(key[-1], options)
+                close(pdf.iloc[low:high], out)
+                last = key
+            held = pdf.iloc[cuts[-1] :]
+            yield pd.DataFrame(out, columns=names)
+        if held is not None and len(held):
+            out = []
+            if tuple(held[full].iloc[0]) != last:
+                key = tuple(held[full].iloc[0])
+                session = make_session(key[-1], options)
+            close(held, out)
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = inputs.repartition(*full).sortWithinPartitions(*full, "frame_index", "track_id")
+    return ordered.mapInPandas(run, schema)
