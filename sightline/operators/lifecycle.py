@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sightline.functions import geometry as g
 from sightline.operators import overlap, quality, scan, similarity
 from sightline.policy import GuardPolicy, QualityPolicy
+from sightline.session import cut_lineage
 
 
 def session_inputs(
@@ -28,13 +29,25 @@ def session_inputs(
     """
     frame = [*keys, "frame_index"]
     one = [*frame, "domain", "track_id"]
-    judged = None
-    for domain, policy in gates.items():
-        part = quality.assess(tracks.where(F.col("domain") == domain), policy, frame)
-        part = part.withColumn("accepted", F.col("reason").isNull()).drop("overlap", "crop", "reason")
-        judged = part if judged is None else judged.unionByName(part)
+    judged = quality.assess(tracks, gates, frame)
+    # Only crops that passed the gate are ever compared with anything.
+    accepted = F.col("reason").isNull()
+    rows = judged.join(embeddings, one, "left").select(
+        *one,
+        "ts",
+        accepted.alias("accepted"),
+        F.when(accepted, F.col("embedding")).alias("embedding"),
+        "x1",
+        "y1",
+        "x2",
+        "y2",
+        "plate",
+        "command",
+    )
+    # Read twice below: for scoring and for the fold itself.
+    rows = cut_lineage(rows)
 
-    boxes = tracks.where(g.valid(g.box())).select(*one, "x1", "y1", "x2", "y2")
+    boxes = rows.where(g.valid(g.box())).select(*one, "x1", "y1", "x2", "y2")
     partners = overlap.overlap_partners(boxes, [*frame, "domain"], 0.0, guard.max_candidates - 1)
     near = partners.groupBy(*one).agg(
         F.max("ratio").alias("overlap"),
@@ -46,14 +59,10 @@ def session_inputs(
         ).alias("partners"),
     )
 
-    # Only crops that passed the gate are ever compared with anything.
-    usable = judged.where("accepted").select(*one).join(embeddings, one)
-    hits = _hits(usable, identities, one, floor)
+    hits = _hits(rows.where(F.col("embedding").isNotNull()), identities, one, floor)
     counts = identities.groupBy("domain").agg(F.count(F.lit(1)).alias("n_identities"))
-
     rows = (
-        judged.join(usable.select(*one, "embedding"), one, "left")
-        .join(near, one, "left")
+        rows.join(near, one, "left")
         .join(hits, one, "left")
         .withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     )

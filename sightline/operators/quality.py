@@ -21,27 +21,42 @@ def parse_filter(rows: DataFrame, classes: tuple[int, ...], numbers: list[str])
     return rows.where(keep)
 
 
-def _gates_before_overlap(p: QualityPolicy) -> Column:
-    raw = g.sanitized(g.box("raw_"))
+def _limits(policies: dict[str, QualityPolicy]) -> dict[str, Column]:
+    """Every limit as a column that follows the row's domain (a literal for one domain)."""
+    names = (
+        "min_confidence",
+        "max_edge_truncation",
+        "max_overlap",
+        "edge_margin",
+        "min_crop_width",
+        "min_crop_height",
+    )
+    return {
+        n: text.choose(F.col("_domain"), {d: F.lit(getattr(p, n)) for d, p in policies.items()})
+        if len(policies) > 1
+        else F.lit(getattr(next(iter(policies.values())), n))
+        for n in names
+    }
+
+
+def _gates_before_overlap(limit: dict[str, Column]) -> Column:
     kept = g.box()
     fw, fh = F.col("frame_width").cast("double"), F.col("frame_height").cast("double")
-    mx, my = fw * p.edge_margin, fh * p.edge_margin
-    on_edge = (
-        (kept.x1 <= mx) | (kept.y1 <= my) | (kept.x2 >= fw - mx) | (kept.y2 >= fh - my)
-    )
-    truncation = 1.0 - g.area(kept) / g.area(raw)
+    mx, my = fw * limit["edge_margin"], fh * limit["edge_margin"]
+    on_edge = (kept.x1 <= mx) | (kept.y1 <= my) | (kept.x2 >= fw - mx) | (kept.y2 >= fh - my)
+    truncation = 1.0 - F.col("_kept_area") / F.col("_raw_area")
     return (
-        F.when(~g.finite(F.col("conf")) | (F.col("conf") < p.min_confidence), "low_confidence")
-        .when(g.area(raw) <= 0.0, "invalid_bbox")
-        .when(g.area(kept) <= 0.0, "outside_frame")
-        .when(truncation > p.max_edge_truncation, "edge_truncated")
+        F.when(~g.finite(F.col("conf")) | (F.col("conf") < limit["min_confidence"]), "low_confidence")
+        .when(F.col("_raw_area") <= 0.0, "invalid_bbox")
+        .when(F.col("_kept_area") <= 0.0, "outside_frame")
+        .when(truncation > limit["max_edge_truncation"], "edge_truncated")
         .when(on_edge, "frame_edge")
     )
 
 
 def assess(
     tracks: DataFrame,
-    policy: QualityPolicy,
+    policy: QualityPolicy | dict[str, QualityPolicy],
     keys: list[str] | None = None,
     dense: int = DENSE_FRAME,
 ) -> DataFrame:
@@ -49,40 +64,57 @@ def assess(
 
     ``tracks`` needs the box, ``conf``, ``class_id``, ``track_id``, ``frame_width`` and
     ``frame_height``.  Only boxes that pass the cheap gates are compared with others.
+    With one policy every other class is a stranger; with a policy per domain each row is
+    judged by the limits of its ``domain``, in one pass.
     """
-    keys = keys or ["camera_id", "frame_index"]
+    policies = {policy.domain: policy} if isinstance(policy, QualityPolicy) else policy
+    keys = [*(keys or ["camera_id", "frame_index"]), "_domain"]
     corners = ("x1", "y1", "x2", "y2")
     fw, fh = F.col("frame_width"), F.col("frame_height")
-    own = F.coalesce(F.col("class_id").isin(*policy.classes), F.lit(False))
     rest = [c for c in tracks.columns if c not in corners]
-    cropped = tracks.withColumn("crop", g.outer_crop(g.box(), fw, fh))
-
-    # Everything that needs no partner is settled before the shuffle; only what the last
-    # two gates still need travels with the boxes.
-    clipped = g.clip(g.sanitized(g.box()), fw, fh)
-    prepared = cropped.where(own).select(
+    of_class = text.domain_of_class(F.col("class_id"))
+    wanted = F.lit(next(iter(policies))) if len(policies) == 1 else F.col("domain")
+    marked = tracks.withColumn("_domain", wanted)
+    own = F.coalesce((of_class == F.col("_domain")) & F.col("_domain").isin(*policies), F.lit(False))
+    cropped = marked.withColumn("crop", g.outer_crop(g.box(), fw, fh))
+    limit = _limits(policies)
+
+    # Everything that needs no partner is settled before the shuffle, in small stages: a
+    # column that is used often is computed once and not pasted into every use.
+    finite = cropped.where(own).withColumn("_finite", g.all_finite(*g.box()))
+    raw = finite.select(
         *rest,
+        "_domain",
         "crop",
         *[F.col(n).alias(f"raw_{n}") for n in corners],
-        *[c.alias(n) for c, n in zip(clipped, corners)],
-    )
-    small = (F.col("crop.x2") - F.col("crop.x1") < policy.min_crop_width) | (
-        F.col("crop.y2") - F.col("crop.y1") < policy.min_crop_height
+        *[F.when(F.col("_finite"), F.col(n)).otherwise(F.lit(0.0)).alias(n) for n in corners],
+    ).withColumn("_raw_area", g.area(g.box()))
+    for n, side in zip(corners, (fw, fh, fw, fh)):
+        raw = raw.withColumn(n, F.greatest(F.lit(0.0), F.least(side.cast("double"), F.col(n))))
+    small = (F.col("crop.x2") - F.col("crop.x1") < limit["min_crop_width"]) | (
+        F.col("crop.y2") - F.col("crop.y1") < limit["min_crop_height"]
     )
-    prepared = prepared.withColumn("_early", _gates_before_overlap(policy)).withColumn(
-        "_small", F.coalesce(small, F.lit(True))
+    prepared = (
+        raw.withColumn("_kept_area", g.area(g.box()))
+        .withColumn("_early", _gates_before_overlap(limit))
+        .withColumn("_small", F.coalesce(small, F.lit(True)))
+        .drop("_raw_area", "_kept_area")
     )
     boxes = max_overlap(prepared, keys, needed=F.col("_early").isNull(), dense=dense)
     reason = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
-        .when(F.col("overlap") > policy.max_overlap, f"{policy.domain}_overlap")
+        .when(F.col("overlap") > limit["max_overlap"], F.concat(F.col("_domain"), F.lit("_overlap")))
         .when(F.col("_small"), "small_crop")
     )
     judged = boxes.select(
         *rest, *[F.col(f"raw_{n}").alias(n) for n in corners], "overlap", "crop", reason.alias("reason")
     )
     strangers = cropped.where(~own).select(
-        *rest, *corners, F.lit(0.0).alias("overlap"), "crop", F.lit(f"not_{policy.domain}").alias("reason")
+        *rest,
+        *corners,
+        F.lit(0.0).alias("overlap"),
+        "crop",
+        F.concat(F.lit("not_"), F.coalesce("_domain", F.lit("known"))).alias("reason"),
     )
     return judged.unionByName(strangers)
 

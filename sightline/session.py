@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,3 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="sightline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, and go on from the files.
+
+    The files lie in the shared folder, so the result outlives the executors that made it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sightline import policy as pol
 from sightline.operators import scan
-from sightline.operators.sequences import key_changes, row_fold
+from sightline.operators.sequences import row_fold
 from sightline.policy import EnrichmentPolicy, RecoveryPolicy
 from sightline.streaming.steps import Bank, Fifo, Registry, Seen, Session, unit
 
@@ -204,19 +203,15 @@ def make_session(domain: str, options: dict) -> Session:
     return Session(domain=domain, **chosen)
 
 
-def seen_rows(part: pd.DataFrame) -> list[Seen]:
-    """Visible tracks among the rows of one frame; the frame's own row has no track."""
-    rows = []
-    for track, ok, emb, x1, y1, x2, y2, overlap, partners, plate, command, ids, scores, plates in zip(
-        *[part[c].tolist() for c in INPUTS]
-    ):
-        if track is None or track != track:
-            continue
-        vector = unit(emb) if emb is not None else None
-        near = {int(i): (s, p) for i, s, p in zip(ids, scores, plates)} if ids is not None else {}
-        others = tuple(int(p) for p in partners) if partners is not None else ()
-        rows.append(Seen(int(track), bool(ok), vector, (x1, y1, x2, y2), overlap, others, plate, near, command))
-    return rows
+def seen_row(values: tuple) -> Seen | None:
+    """A visible track from its input columns; the frame's own row has no track."""
+    track, ok, emb, x1, y1, x2, y2, overlap, partners, plate, command, ids, scores, plates = values
+    if track is None or track != track:
+        return None
+    vector = unit(emb) if emb is not None else None
+    near = {int(i): (s, p) for i, s, p in zip(ids, scores, plates)} if ids is not None else {}
+    others = tuple(int(p) for p in partners) if partners is not None else ()
+    return Seen(int(track), bool(ok), vector, (x1, y1, x2, y2), overlap, others, plate, near, command)
 
 
 def session_events(inputs: DataFrame, keys: list[str], options: dict | None = None) -> DataFrame:
@@ -235,43 +230,28 @@ def session_events(inputs: DataFrame, keys: list[str], options: dict | None = No
     names = [*full, "frame_index", "event", "target_id", "track_id", "identity_id", "score", "support"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, key, last, held = None, None, None, None
+        session, current, rows, moment = None, None, [], (0.0, 0)
 
-        def close(part: pd.DataFrame, out: list) -> None:
-            first = part.iloc[0]
-            rows = seen_rows(part)
-            now = int(first["frame_index"])
-            for e in session.frame(now, float(first["ts"]), rows, int(first["n_identities"])):
-                out.append((*key, now, *e))
+        def close() -> list:
+            events = session.frame(current[-1], *moment, rows) if current is not None else []
+            return [(*current, *e) for e in events]
 
         for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            frames = pdf["frame_index"].to_numpy()
-            marks, _ = key_changes(pdf, full, last)
-            starts = marks.copy()
-            starts[1:] |= frames[1:] != frames[:-1]
-            starts[0] = True
-            cuts = np.flatnonzero(starts)
             out: list = []
-            # The last frame may go on in the next batch.
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if marks[low]:
-                    key = tuple(pdf[full].iloc[low])
-                    session = make_session(key[-1], options)
-                close(pdf.iloc[low:high], out)
-                last = key
-            held = pdf.iloc[cuts[-1] :]
-            yield pd.DataFrame(out, columns=names)
-        if held is not None and len(held):
-            out = []
-            if tuple(held[full].iloc[0]) != last:
-                key = tuple(held[full].iloc[0])
-                session = make_session(key[-1], options)
-            close(held, out)
+            heads = zip(*[pdf[c].tolist() for c in [*full, "frame_index"]])
+            moments = zip(pdf["ts"].tolist(), pdf["n_identities"].tolist())
+            for head, when, values in zip(heads, moments, zip(*[pdf[c].tolist() for c in INPUTS])):
+                if head != current:
+                    out += close()
+                    if current is None or head[:-1] != current[:-1]:
+                        session = make_session(head[-2], options)
+                    # A new list: the closed frame's rows may still be referenced.
+                    current, rows, moment = head, [], when
+                row = seen_row(values)
+                if row is not None:
+                    rows.append(row)
             yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(close(), columns=names)
 
     ordered = inputs.repartition(*full).sortWithinPartitions(*full, "frame_index", "track_id")
     return ordered.mapInPandas(run, schema)

@@ -159,7 +159,7 @@ class Session:
     retry: dict = field(default_factory=dict)
     guards: dict = field(default_factory=dict)
 
-    def frame(self, now: int, ts: float, rows: list[Seen], n_identities: int) -> list[Event]:
+    def frame(self, now: int, ts: float, n_identities: int, rows: list[Seen]) -> list[Event]:
         """Guard, recovery, enrichment, recognition and expiry, in that order."""
         seen = {r.track: r for r in rows}
         out: list[Event] = []
