@@ -102,15 +102,40 @@ def overlap_partners(
     limit: int,
     id_col: str = "track_id",
     ratio=g.min_area_overlap,
+    dense: int = DENSE_FRAME,
 ) -> DataFrame:
-    """Per box its strongest partners at or above ``trigger``: ``(ratio desc, id)``."""
-    a = boxes.alias("a")
-    b = boxes.select(*keys, id_col, "x1", "y1", "x2", "y2").alias("b")
+    """Per box its strongest partners at or above ``trigger``: ``(ratio desc, id)``.
+
+    Only touching boxes are partners.  In a crowded frame boxes meet by grid cell; a pair
+    that shares several cells is taken in the first one, so it appears once.
+    """
+    names = [*keys, id_col, "x1", "y1", "x2", "y2"]
+    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    counted = boxes.select(*names, crowd.alias("_crowd"))
+    low = [F.array_min(_cells(F.col(a), F.col(b))) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    placed = counted.select(
+        *names,
+        "_crowd",
+        F.when(F.col("_crowd") > dense, low[0]).otherwise(0).alias("_x"),
+        F.when(F.col("_crowd") > dense, low[1]).otherwise(0).alias("_y"),
+        F.explode(
+            F.when(F.col("_crowd") > dense, _cells(F.col("x1"), F.col("x2"))).otherwise(F.array(F.lit(0)))
+        ).alias("_cx"),
+    )
+    placed = placed.withColumn(
+        "_cy",
+        F.explode(
+            F.when(F.col("_crowd") > dense, _cells(F.col("y1"), F.col("y2"))).otherwise(F.array(F.lit(0)))
+        ),
+    )
     box_a, box_b = g.box(table="a"), g.box(table="b")
     cond = (F.col(f"a.{id_col}") != F.col(f"b.{id_col}")) & _touching(box_a, box_b)
-    for key in keys:
+    for key in [*keys, "_cx", "_cy"]:
         cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    pairs = a.join(b, cond).select(
+    for axis in ("x", "y"):
+        first = F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}"))
+        cond = cond & (F.col(f"a._c{axis}") == first)
+    pairs = placed.alias("a").join(placed.alias("b"), cond).select(
         *[F.col(f"a.{k}") for k in keys],
         F.col(f"a.{id_col}").alias(id_col),
         F.col(f"b.{id_col}").alias("partner_id"),
