@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sightline.operators.similarity import _block_scores, block_grid
+from sightline.operators.similarity import _block_scores, block_grid, nothing
 
 # Scores are kept to six decimals, so there are at most 2 000 001 different ones and an
 # exact distribution over any number of pairs fits in a count per score.
@@ -50,7 +50,7 @@ def pair_histogram(samples: DataFrame, block: int = 1024, rows: int | None = Non
                 part = part.astype({"a": object, "b": object})
                 part.loc[hardest, ["a", "b"]] = [lo[first], hi[first]]
                 parts.append(part)
-        return pd.concat(parts)[names] if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names] if parts else nothing(names)
 
     home = F.pmod(F.xxhash64("name"), F.lit(blocks))
     grid = block_grid(samples.select("name", "label", "embedding"), [], home, F.lit(blocks))

@@ -155,8 +155,10 @@ def row_fold(
                 if result is not None:
                     results.append(result)
                     kept.append(i)
+            if not results:
+                continue
             out = pdf.iloc[kept].reset_index(drop=True)
-            for name, column in zip(names, zip(*results) if results else [[]] * len(names)):
+            for name, column in zip(names, zip(*results)):
                 out[name] = column
             yield out
 

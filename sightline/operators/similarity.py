@@ -18,6 +18,11 @@ SLACK = 1e-9
 _EPS = 1.1920928955078125e-07
 
 
+def nothing(columns: list[str]) -> pd.DataFrame:
+    """No rows; object columns, because empty float columns do not convert to text."""
+    return pd.DataFrame(columns=columns, dtype=object)
+
+
 def _units(values: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Unit vectors by dimension: ``{dim: (row numbers, matrix)}``; unusable rows drop out."""
     sizes = np.fromiter((0 if v is None else len(v) for v in values), dtype=np.int64, count=len(values))
@@ -138,7 +143,7 @@ def scored_pairs(
                 part["score"] = scores[i, j]
                 parts.append(part)
         if not parts:
-            return pd.DataFrame({c: [] for c in columns})
+            return nothing(columns)
         return pd.concat(parts)[columns]
 
     # Both sides often come from one table; fresh names keep their keys apart.
@@ -201,7 +206,7 @@ def bank_pairs(refs: DataFrame, keys: list[str], block: int = LEFT_BLOCK) -> Dat
             part["score"] = scores[i, j]
             parts.append(part)
         names = [*keys, "index_a", "index_b", "score"]
-        return pd.concat(parts)[names] if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names] if parts else nothing(names)
 
     return _bank_grid(refs, keys, block).groupBy(*keys, "_lo", "_hi").applyInPandas(pairs, schema)
 
@@ -220,7 +225,7 @@ def redundancy(refs: DataFrame, keys: list[str], block: int = LEFT_BLOCK) -> Dat
                 part["score"] = values
                 parts.append(part[np.isfinite(values)])
         names = [*keys, "embedding_index", "score"]
-        return pd.concat(parts)[names] if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names] if parts else nothing(names)
 
     found = (
         _bank_grid(refs, keys, block)
