@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sightline.functions import text
 
@@ -50,10 +50,12 @@ def export_rows(log: DataFrame) -> DataFrame:
     )
 
 
-def feed(log: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Newest events of the activity page and how many of them still want attention."""
-    shown = newest(log, limit)
-    return shown, shown.agg(F.count_if(~F.col("acknowledged")).alias("unacknowledged"))
+def feed(log: DataFrame, limit: int) -> DataFrame:
+    """Newest events of the activity page, each with the number still wanting attention."""
+    # The window runs over the limited rows only.
+    whole = Window.partitionBy(F.lit(1))
+    waiting = F.count_if(~F.col("acknowledged")).over(whole)
+    return newest(log, limit).withColumn("unacknowledged", waiting)
 
 
 def match_events(
@@ -84,8 +86,6 @@ def match_events(
 
 def retention(files: DataFrame, keep: int, scope: list[str]) -> DataFrame:
     """Managed recordings beyond the newest ``keep``: a list to delete, nothing is deleted."""
-    from pyspark.sql import Window
-
     managed = files.withColumn("_at", text.recording_time(F.col("name"))).where(F.col("_at").isNotNull())
     managed = managed.withColumn("_suffix", text.recording_suffix(F.col("name")))
     newest_last = [F.desc("_at"), F.desc("_suffix"), F.desc("name")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions import geometry as g
 from sightline.operators import overlap, quality, scan, similarity
@@ -19,19 +19,24 @@ def session_inputs(
     gates: dict[str, QualityPolicy],
     guard: GuardPolicy,
     floor: float,
+    accept: Column | None = None,
 ) -> DataFrame:
     """Everything a session needs to know about a track in a frame, as columns.
 
     ``tracks``: box, ``conf``, ``class_id``, ``domain``, frame size, ``ts``, ``plate``,
     ``command``; ``embeddings``: one vector per track and frame; ``identities``: the
     opted-in ones with ``centroid`` and ``plate_number``.  ``floor`` is the lowest score
-    that can still matter (threshold minus margin).
+    that can still matter (threshold minus margin).  ``accept`` replaces the quality gate
+    by a caller's own condition on the columns of ``tracks``.
     """
     frame = [*keys, "frame_index"]
     one = [*frame, "domain", "track_id"]
-    judged = quality.assess(tracks, gates, frame)
+    if accept is None:
+        judged = quality.assess(tracks, gates, frame)
+    else:
+        judged = tracks.where(F.col("domain").isin(*gates)).withColumn("reason", F.lit(None).cast("string"))
     # Only crops that passed the gate are ever compared with anything.
-    accepted = F.col("reason").isNull()
+    accepted = F.col("reason").isNull() if accept is None else F.coalesce(accept, F.lit(False))
     rows = judged.join(embeddings, one, "left").select(
         *one,
         "ts",
@@ -71,6 +76,7 @@ def session_inputs(
     columns = ["accepted", "embedding", "x1", "y1", "x2", "y2", "overlap", "partners", "plate", "command"]
     columns += ["hit_ids", "hit_scores", "hit_plates"]
     whole = rows.select(*one, "ts", *columns).unionByName(ticks, allowMissingColumns=True)
+    # One row per domain, so this side cannot grow with the data.
     return whole.join(F.broadcast(counts), "domain", "left").withColumn(
         "n_identities", F.coalesce("n_identities", F.lit(0))
     )

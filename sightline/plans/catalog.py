@@ -6,6 +6,7 @@ from sightline.plans import (  # noqa: F401
     q_plates,
     q_sequences,
     q_sessions,
+    q_sources,
     q_store,
     q_vectors,
 )

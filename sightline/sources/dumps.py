@@ -67,16 +67,19 @@ def nest(detections: DataFrame, tracks: DataFrame, frames: DataFrame, keys: list
 
 def summary(frames: DataFrame, tracks: DataFrame) -> DataFrame:
     """The closing record of a run."""
-    ids = tracks.select("domain", "track_id").distinct()
-    return frames.agg(F.count(F.lit(1)).alias("frames")).select(
-        F.lit("summary").alias("type"), "frames", F.col("frames").alias("yolo_inference_count")
-    ).join(
-        ids.agg(
-            F.count_if(F.col("domain") == "person").alias("unique_person_tracks"),
-            F.count_if(F.col("domain") == "vehicle").alias("unique_vehicle_tracks"),
-        ),
-        how="inner",
-        on=F.lit(True),
+    seen = frames.select(F.lit("frame").alias("_kind"))
+    ids = tracks.select("domain", "track_id").distinct().select(F.col("domain").alias("_kind"))
+    counts = seen.unionByName(ids).agg(
+        F.count_if(F.col("_kind") == "frame").alias("frames"),
+        F.count_if(F.col("_kind") == "person").alias("unique_person_tracks"),
+        F.count_if(F.col("_kind") == "vehicle").alias("unique_vehicle_tracks"),
+    )
+    return counts.select(
+        F.lit("summary").alias("type"),
+        "frames",
+        F.col("frames").alias("yolo_inference_count"),
+        "unique_person_tracks",
+        "unique_vehicle_tracks",
     )
 
 

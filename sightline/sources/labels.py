@@ -21,7 +21,7 @@ def read_label_xml(spark: SparkSession, path: str, encoding: str = "gb2312") ->
         rows.select(
             F.col("_imageName").alias("image_name"),
             F.col("_vehicleID").alias("vehicle_id"),
-            F.nullif("_cameraID", F.lit("")).alias("camera_id"),
+            F.nullif(F.col("_cameraID"), F.lit("")).alias("camera_id"),
         )
     )
 
@@ -45,7 +45,23 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     )
+    return label_paths(files)
+
+
+def label_paths(files: DataFrame) -> DataFrame:
+    """Image paths with their label (the folder) and name; other files drop out."""
     parts = F.split("path", "/")
     return files.where(text.image_suffix_ok(F.col("path"))).select(
         F.element_at(parts, -2).alias("vehicle_id"), F.element_at(parts, -1).alias("image_name"), "path"
     )
+
+
+def parse_items(lines: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Usable items and rejects of a column with one ``<Item .../>`` text per row."""
+    item = F.from_xml(column, "struct<_imageName: string, _vehicleID: string, _cameraID: string>")
+    rows = lines.select(item.alias("i")).select(
+        F.col("i._imageName").alias("image_name"),
+        F.col("i._vehicleID").alias("vehicle_id"),
+        F.nullif(F.col("i._cameraID"), F.lit("")).alias("camera_id"),
+    )
+    return judge_items(rows)
