@@ -10,8 +10,8 @@ from sightline import policy as pol
 from sightline.functions import vectors as v
 from sightline.operators import dumps, lifecycle, sequences
 from sightline.plans import derived as d
-from sightline.plans.q_geometry import valid_scores
-from sightline.plans.q_store import _divergence_rows, _two_runs
+from sightline.plans.q_geometry import IN_FRAME_SQL, valid_scores
+from sightline.plans.q_store import _PAIRS, _REASON_SQL, _divergence_rows, _two_runs
 from sightline.plans.registry import query
 from sightline.streaming import batch
 
@@ -145,7 +145,22 @@ def enrichment_bank(spark, sf):
     return batch.diverse_bank(offers, ["identity_id"], ["turn", "vec_id"], policy).drop("embedding")
 
 
-@query("a14_greedy_pairs")
+# The pairs of a frame one after another, with the numbers already used.
+_GREEDY = f"""{_PAIRS}, o as (select camera_id, frame_index, a_idx, b_idx, row_number() over (partition by camera_id, frame_index order by iou desc, a_idx desc, b_idx desc) as n
+    from pq where iou >= {pol.DUMP.match_iou}),
+walk as (select camera_id, frame_index, n, a_idx, b_idx, [a_idx] as ua, [b_idx] as ub, true as kept from o where n = 1
+  union all
+  select o.camera_id, o.frame_index, o.n, o.a_idx, o.b_idx,
+    case when list_contains(ua, o.a_idx) or list_contains(ub, o.b_idx) then ua else list_append(ua, o.a_idx) end,
+    case when list_contains(ua, o.a_idx) or list_contains(ub, o.b_idx) then ub else list_append(ub, o.b_idx) end,
+    not (list_contains(ua, o.a_idx) or list_contains(ub, o.b_idx))
+  from walk join o on o.camera_id = walk.camera_id and o.frame_index = walk.frame_index and o.n = walk.n + 1)"""
+
+
+@query(
+    "a14_greedy_pairs",
+    f"with recursive {_GREEDY} select camera_id, frame_index, a_idx, b_idx, {_REASON_SQL} from pq join (select camera_id, frame_index, a_idx, b_idx from walk where kept) using (camera_id, frame_index, a_idx, b_idx)",
+)
 def greedy_pairs(spark, sf):
     keys = ["camera_id", "frame_index"]
     pairs = dumps.candidate_pairs(*_two_runs(spark, sf), keys, pol.DUMP.match_iou)
@@ -153,7 +168,18 @@ def greedy_pairs(spark, sf):
     return _divergence_rows(dumps.divergence(matched, pol.DUMP))
 
 
-@query("a16_suppression")
+@query(
+    "a16_suppression",
+    f"""with recursive {IN_FRAME_SQL}, b as (select *, row_number() over (partition by frame_index, class_id order by score desc, ln, k) as n from in_frame
+      where class_id in (0, 2, 5, 7) and score >= 0.6 and x2 > x1 and y2 > y1),
+    walk as (select frame_index, class_id, n, ln, k, score, x1, y1, x2, y2, [{{'a': x1, 'b': y1, 'c': x2, 'd': y2}}] as kept, true as stays from b where n = 1
+      union all
+      select frame_index, class_id, n, ln, k, score, x1, y1, x2, y2, case when clash then kept else list_append(kept, {{'a': x1, 'b': y1, 'c': x2, 'd': y2}}) end, not clash from (
+        select b.*, w.kept, len(list_filter(w.kept, lambda q: greatest(0.0, least(b.x2, q.c) - greatest(b.x1, q.a)) * greatest(0.0, least(b.y2, q.d) - greatest(b.y1, q.b))
+          / ((b.x2-b.x1)*(b.y2-b.y1) + (q.c-q.a)*(q.d-q.b) - greatest(0.0, least(b.x2, q.c) - greatest(b.x1, q.a)) * greatest(0.0, least(b.y2, q.d) - greatest(b.y1, q.b))) > 0.1)) > 0 as clash
+        from walk w join b on b.frame_index = w.frame_index and b.class_id = w.class_id and b.n = w.n + 1))
+    select frame_index, ln, k, x1, y1, x2, y2, class_id, score from walk where stays""",
+)
 def suppression(spark, sf):
     boxes = valid_scores(spark, sf)
     order = [F.desc("score"), "ln", "k"]
