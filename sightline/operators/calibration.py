@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,7 +15,10 @@ from sightline.operators.similarity import _block_scores, block_grid, nothing
 DECIMALS = 6
 
 
-def pair_histogram(samples: DataFrame, block: int = 1024, rows: int | None = None) -> DataFrame:
+MAX_BLOCK = 2048
+
+
+def pair_histogram(samples: DataFrame, block: int | None = None, rows: int | None = None) -> DataFrame:
     """Number of pairs per ``(same_label, score)`` with the first pair of each extreme.
 
     ``samples``: ``name``, ``label``, ``embedding``.  Pairs are never materialised: every
@@ -21,6 +26,10 @@ def pair_histogram(samples: DataFrame, block: int = 1024, rows: int | None = Non
     over blocks like everything else.
     """
     total = samples.count() if rows is None else rows
+    if block is None:
+        # Small inputs are cut finer, so that every core gets a block pair.
+        cores = samples.sparkSession.sparkContext.defaultParallelism
+        block = min(MAX_BLOCK, max(256, math.ceil(total / (2 * math.sqrt(cores)))))
     blocks = max(1, -(-total // block))
     types = dict(samples.dtypes)
     name_type = types["name"]

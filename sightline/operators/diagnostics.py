@@ -22,14 +22,21 @@ def run_stats(frames: DataFrame, tracks: DataFrame, scope: list[str]) -> DataFra
     )
 
 
-def recent_unique_tracks(tracks: DataFrame, scope: list[str], order: list[str], window: int) -> DataFrame:
+def recent_unique_tracks(tracks: DataFrame, scope: list[str], order: str, window: int) -> DataFrame:
     """Distinct tracks among the last ``window`` observations of a scope.
 
-    The rank filter is pushed below the shuffle as a group limit, so at most ``window``
-    rows per scope and input partition travel.
+    ``order`` is a whole number.  Counts per stretch of it tell which stretches can hold
+    the last observations; only their rows are ranked, however long the scope is.
     """
-    w = Window.partitionBy(*scope).orderBy(*[F.desc(c) for c in order])
-    recent = tracks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= window)
+    cut = tracks.withColumn("_c", F.floor(F.col(order) / window))
+    counts = cut.groupBy(*scope, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    after = Window.partitionBy(*scope).orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    tail = counts.withColumn("_later", F.coalesce(F.sum("_n").over(after), F.lit(0)))
+    tail = tail.where(F.col("_later") < window).select(*scope, "_c")
+    rank = Window.partitionBy(*scope).orderBy(F.desc(order))
+    recent = (
+        cut.join(tail, [*scope, "_c"]).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= window)
+    )
     return recent.groupBy(*scope).agg(F.countDistinct("track_id").alias("unique_tracks"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.functions import geometry as g
+from sightline.operators.overlap import DENSE_FRAME, touching_pairs
 from sightline.policy import PERSON_CLASSES, DumpPolicy
 
 
@@ -28,18 +29,14 @@ def frame_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def candidate_pairs(first: DataFrame, second: DataFrame, keys: list[str], min_iou: float) -> DataFrame:
+def candidate_pairs(
+    first: DataFrame, second: DataFrame, keys: list[str], min_iou: float, dense: int = DENSE_FRAME
+) -> DataFrame:
     """Box pairs of one frame with at least ``min_iou``; lower pairs can never match."""
-    names = ["det_idx", "x1", "y1", "x2", "y2", "conf"]
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        people = _people(df).where("_is_person")
-        return people.select(*keys, *[F.col(n).alias(f"{mark}_{n}") for n in names])
-
-    iou = g.iou(g.box("a_"), g.box("b_"))
-    return (
-        side(first, "a").join(side(second, "b"), keys).withColumn("iou", iou).where(F.col("iou") >= min_iou)
-    )
+    names = [*keys, "det_idx", "x1", "y1", "x2", "y2", "conf"]
+    people = [_people(df).where("_is_person").select(*names) for df in (first, second)]
+    pairs = touching_pairs(*people, keys, dense)
+    return pairs.withColumn("iou", g.iou(g.box("a_"), g.box("b_"))).where(F.col("iou") >= min_iou)
 
 
 def divergence(matched: DataFrame, policy: DumpPolicy) -> DataFrame:

@@ -95,6 +95,42 @@ def max_overlap(
     return result.drop("_needed")
 
 
+def touching_pairs(
+    left: DataFrame, right: DataFrame | None, keys: list[str], dense: int = DENSE_FRAME
+) -> DataFrame:
+    """Pairs of touching boxes of one group, each once, as ``a_*`` and ``b_*`` columns.
+
+    ``right`` has the columns of ``left``, or is None to pair a table with itself (a box
+    then also meets itself).  In a crowded group boxes meet by grid cell; a pair that
+    shares several cells is taken in the first one.
+    """
+    first = left.withColumn("_side", F.lit(1))
+    stacked = first if right is None else first.unionByName(right.withColumn("_side", F.lit(2)))
+    # Both sides must agree on what is crowded, so they are counted together.
+    busy = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > dense
+    none = F.array(F.lit(0))
+    placed = stacked.withColumn("_busy", busy)
+    for axis in ("x", "y"):
+        low, high = F.col(f"{axis}1"), F.col(f"{axis}2")
+        placed = placed.withColumn(f"_{axis}", F.when(F.col("_busy"), _cells(low, high)).otherwise(none))
+    for axis in ("x", "y"):
+        placed = placed.withColumn(f"_c{axis}", F.explode(f"_{axis}")).withColumn(
+            f"_{axis}", F.array_min(f"_{axis}")
+        )
+    sides = [placed, placed] if right is None else [placed.where(f"_side = {i}") for i in (1, 2)]
+    a, b = (side.alias(mark) for side, mark in zip(sides, "ab"))
+    cond = _touching(g.box(table="a"), g.box(table="b"))
+    for key in [*keys, "_cx", "_cy"]:
+        cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    for axis in ("x", "y"):
+        cond = cond & (F.col(f"a._c{axis}") == F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}")))
+    rest = [c for c in left.columns if c not in keys]
+    return a.join(b, cond).select(
+        *[F.col(f"a.{k}") for k in keys],
+        *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in "ab" for c in rest],
+    )
+
+
 def overlap_partners(
     boxes: DataFrame,
     keys: list[str],
@@ -106,44 +142,19 @@ def overlap_partners(
 ) -> DataFrame:
     """Per box its strongest partners at or above ``trigger``: ``(ratio desc, id)``.
 
-    Only touching boxes are partners.  In a crowded frame boxes meet by grid cell; a pair
-    that shares several cells is taken in the first one, so it appears once.
+    Only touching boxes are partners.
     """
-    names = [*keys, id_col, "x1", "y1", "x2", "y2"]
-    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    counted = boxes.select(*names, crowd.alias("_crowd"))
-    low = [F.array_min(_cells(F.col(a), F.col(b))) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    placed = counted.select(
-        *names,
-        "_crowd",
-        F.when(F.col("_crowd") > dense, low[0]).otherwise(0).alias("_x"),
-        F.when(F.col("_crowd") > dense, low[1]).otherwise(0).alias("_y"),
-        F.explode(
-            F.when(F.col("_crowd") > dense, _cells(F.col("x1"), F.col("x2"))).otherwise(F.array(F.lit(0)))
-        ).alias("_cx"),
-    )
-    placed = placed.withColumn(
-        "_cy",
-        F.explode(
-            F.when(F.col("_crowd") > dense, _cells(F.col("y1"), F.col("y2"))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    box_a, box_b = g.box(table="a"), g.box(table="b")
-    cond = (F.col(f"a.{id_col}") != F.col(f"b.{id_col}")) & _touching(box_a, box_b)
-    for key in [*keys, "_cx", "_cy"]:
-        cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    for axis in ("x", "y"):
-        first = F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}"))
-        cond = cond & (F.col(f"a._c{axis}") == first)
-    pairs = placed.alias("a").join(placed.alias("b"), cond).select(
-        *[F.col(f"a.{k}") for k in keys],
-        F.col(f"a.{id_col}").alias(id_col),
-        F.col(f"b.{id_col}").alias("partner_id"),
-        ratio(box_a, box_b).alias("ratio"),
+    slim = boxes.select(*keys, id_col, "x1", "y1", "x2", "y2")
+    pairs = touching_pairs(slim, None, keys, dense).where(F.col(f"a_{id_col}") != F.col(f"b_{id_col}"))
+    scored = pairs.select(
+        *keys,
+        F.col(f"a_{id_col}").alias(id_col),
+        F.col(f"b_{id_col}").alias("partner_id"),
+        ratio(g.box("a_"), g.box("b_")).alias("ratio"),
     )
     order = Window.partitionBy(*keys, id_col).orderBy(F.desc("ratio"), "partner_id")
     return (
-        pairs.where(F.col("ratio") >= trigger)
+        scored.where(F.col("ratio") >= trigger)
         .withColumn("partner_rank", F.row_number().over(order))
         .where(F.col("partner_rank") <= limit)
     )

@@ -326,7 +326,7 @@ def recent_unique_tracks(spark, sf):
     obs = d.table(spark, sf, "events").select(
         F.col("event_type").alias("source"), F.col("user_id").alias("track_id"), "event_id"
     )
-    return diagnostics.recent_unique_tracks(obs, ["source"], ["event_id"], 1024)
+    return diagnostics.recent_unique_tracks(obs, ["source"], "event_id", 1024)
 
 
 _STATS = """st as (select user_id as source_id, value/1000 - 0.005 as frame_seconds, value/4000 as tracking_seconds, event_type in ('click', 'view') as recovery_due,
