@@ -108,27 +108,30 @@ def touching_pairs(
     stacked = first if right is None else first.unionByName(right.withColumn("_side", F.lit(2)))
     # Both sides must agree on what is crowded, so they are counted together.
     busy = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > dense
-    none = F.array(F.lit(0))
-    placed = stacked.withColumn("_busy", busy)
+    counted = stacked.withColumn("_busy", busy)
+    usual, crowded = counted.where(~F.col("_busy")), counted.where("_busy")
     for axis in ("x", "y"):
-        low, high = F.col(f"{axis}1"), F.col(f"{axis}2")
-        placed = placed.withColumn(f"_{axis}", F.when(F.col("_busy"), _cells(low, high)).otherwise(none))
-    for axis in ("x", "y"):
-        placed = placed.withColumn(f"_c{axis}", F.explode(f"_{axis}")).withColumn(
-            f"_{axis}", F.array_min(f"_{axis}")
-        )
-    sides = [placed, placed] if right is None else [placed.where(f"_side = {i}") for i in (1, 2)]
-    a, b = (side.alias(mark) for side, mark in zip(sides, "ab"))
-    cond = _touching(g.box(table="a"), g.box(table="b"))
-    for key in [*keys, "_cx", "_cy"]:
-        cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    for axis in ("x", "y"):
-        cond = cond & (F.col(f"a._c{axis}") == F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}")))
+        cells = _cells(F.col(f"{axis}1"), F.col(f"{axis}2"))
+        crowded = crowded.withColumn(f"_{axis}", F.array_min(cells)).withColumn(f"_c{axis}", F.explode(cells))
+
     rest = [c for c in left.columns if c not in keys]
-    return a.join(b, cond).select(
-        *[F.col(f"a.{k}") for k in keys],
-        *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in "ab" for c in rest],
-    )
+
+    def join(boxes: DataFrame, on: list[str], extra: Column | None = None) -> DataFrame:
+        sides = [boxes, boxes] if right is None else [boxes.where(f"_side = {i}") for i in (1, 2)]
+        a, b = (side.alias(mark) for side, mark in zip(sides, "ab"))
+        cond = _touching(g.box(table="a"), g.box(table="b"))
+        for key in on:
+            cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+        return a.join(b, cond if extra is None else cond & extra).select(
+            *[F.col(f"a.{k}") for k in keys],
+            *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in "ab" for c in rest],
+        )
+
+    def first_shared(axis: str) -> Column:
+        return F.col(f"a._c{axis}") == F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}"))
+
+    by_cell = join(crowded, [*keys, "_cx", "_cy"], first_shared("x") & first_shared("y"))
+    return join(usual, keys).unionByName(by_cell)
 
 
 def overlap_partners(
