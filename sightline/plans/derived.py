@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def epoch_micros(ts):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def _box_columns(k):
     return [
         ((k * 7) % 1700).cast("double").alias("x1"),
@@ -225,7 +230,7 @@ PLATES_SQL = """plate_obs as (
 
 
 def plate_obs(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev = table(spark, sf, "events").withColumn("at", epoch_micros(F.col("ts")))
     placed = scan.with_position(
         ev, ["user_id"], "at", ["event_id"], chunk=86_400_000_000, name="frame_index"
     )

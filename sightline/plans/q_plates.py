@@ -206,7 +206,7 @@ states as (select user_id as track_id, frame_no as frame_index, case when event_
 def late_results(spark, sf):
     from sightline.operators import scan
 
-    ev = d.table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev = d.table(spark, sf, "events").withColumn("at", d.epoch_micros(F.col("ts")))
     ev = scan.with_position(ev, ["user_id"], "at", ["event_id"], chunk=86_400_000_000, name="frame_no")
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     results = ev.select(
@@ -313,7 +313,7 @@ def reader_stats(spark, sf):
     tasks = d.table(spark, sf, "events").select(
         F.col("user_id").alias("worker_id"),
         F.col("value").alias("elapsed_ms"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("submitted_at"),
+        (d.epoch_micros(F.col("ts")) / 1e6).alias("submitted_at"),
         status.alias("status"),
     )
     out = plates.worker_stats(tasks, ["worker_id"])

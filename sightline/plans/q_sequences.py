@@ -158,7 +158,7 @@ def recording_segments(spark, sf):
     frames = d.table(spark, sf, "events").select(
         F.col("user_id").alias("source_id"),
         "event_id",
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"),
+        F.floor(d.epoch_micros(F.col("ts")) / 1_000_000).alias("at"),
         F.when(e % 10 < 8, 1920).otherwise(1280).alias("width"),
         F.when(e % 10 < 8, 1080).otherwise(720).alias("height"),
     )

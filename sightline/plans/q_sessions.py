@@ -128,7 +128,7 @@ def reference_bank(spark, sf):
         "camera_id", "domain", "track_id", "frame_index", (F.col("conf") >= 0.5).alias("accepted"), "embedding"
     )
     out = batch.reference_bank(crops, ["camera_id", "domain", "track_id"], OPTIONS["person"]["recovery"])
-    return out.drop("embedding").withColumn("likeness", F.round("likeness", 6))
+    return out.drop("embedding", "stored").withColumn("likeness", F.round("likeness", 6))
 
 
 @query("t06_enrichment_bank")
@@ -198,7 +198,7 @@ _EVENTS_SQL = """lost as (select user_id, event_id, epoch(ts) as lost_since, (se
 def expired_targets(spark, sf):
     from pyspark.sql import Window
 
-    ev = d.table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    ev = d.table(spark, sf, "events").withColumn("at", d.epoch_micros(F.col("ts")) / 1e6)
     ahead = Window.partitionBy("user_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     nxt = F.min(F.when(F.col("event_type") == "click", F.col("at"))).over(ahead)
     lost = ev.withColumn("recovered_at", nxt).where(F.col("event_type") == "error").select(

@@ -84,25 +84,32 @@ def reference_bank(
 
     The first usable crop starts the bank.  Later crops are tried every
     ``reference_interval`` frames (a crop of bad quality uses up its turn) and enter when
-    they resemble the centroid; the bank keeps the newest ``bank_size``.
+    they resemble the centroid; the bank keeps the newest ``bank_size``.  Rows with
+    ``stored`` true are copied references of a known identity: they come before the first
+    crop of the key, which is then added to them.
     """
+    if "stored" not in crops.columns:
+        crops = crops.withColumn("stored", F.lit(False))
 
-    def step(state: dict, now: int, accepted: bool, embedding):
-        bank = state["bank"]
-        if not bank.refs:
-            v = unit(embedding) if accepted else None
+    def step(state: dict, now: int, accepted: bool, embedding, stored: bool):
+        bank, v = state["bank"], unit(embedding) if accepted or stored else None
+        if stored:
+            if v is not None:
+                bank.add(v)
+            return "stored", float("nan"), len(bank.refs)
+        if state["last"] is None:
             if v is None:
                 return None
-        elif now - state["last"] < policy.reference_interval:
+            state["last"] = now
+            bank.add(v)
+            return "started", 1.0, len(bank.refs)
+        if now - state["last"] < policy.reference_interval:
             return None
-        else:
-            v = unit(embedding) if accepted else None
         state["last"] = now
         if v is None:
             return "rejected_quality", float("nan"), len(bank.refs)
-        fresh = not bank.refs
         taken, likeness = bank.offer(v)
-        return ("started" if fresh else "accepted" if taken else "rejected_likeness"), likeness, len(bank.refs)
+        return ("accepted" if taken else "rejected_likeness"), likeness, len(bank.refs)
 
     def start() -> dict:
         return {"bank": Fifo(policy.bank_size, policy.reference_update_threshold), "last": None}
@@ -110,8 +117,8 @@ def reference_bank(
     return row_fold(
         crops,
         keys,
-        [frame],
-        [frame, "accepted", "embedding"],
+        [F.desc("stored"), frame],
+        [frame, "accepted", "embedding", "stored"],
         start,
         step,
         "outcome string, likeness double, bank_size bigint",

@@ -518,12 +518,15 @@ class Fifo:
         self.refs: list = []
         self.centroid: np.ndarray | None = None
 
+    def add(self, v: np.ndarray) -> None:
+        self.refs = [*self.refs, v][-self.size :]
+        self.centroid = unit(np.mean(self.refs, axis=0))
+
     def offer(self, v: np.ndarray) -> tuple[bool, float]:
         s = 1.0 if self.centroid is None else cosine(self.centroid, v)
         if s is None or s < self.threshold:
             return False, float("nan") if s is None else s
-        self.refs = [*self.refs, v][-self.size :]
-        self.centroid = unit(np.mean(self.refs, axis=0))
+        self.add(v)
         return True, s
 
 

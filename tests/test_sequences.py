@@ -154,3 +154,19 @@ def test_suppression_keeps_the_best_per_class(spark):
     df = spark.createDataFrame(data, "frame int, class_id int, score double, x1 double, y1 double, x2 double, y2 double")
     kept = batch.suppress(df, ["frame", "class_id"], [F.desc("score")], 0.5)
     assert rows(kept.select("class_id", "score")) == [(0, 0.6), (0, 0.9), (2, 0.7)]
+
+
+def test_bank_starts_from_stored_references(spark):
+    from dataclasses import replace
+
+    from sightline import policy as pol
+
+    data = [(1, i, True, [1.0, 0.0], True) for i in range(3)]
+    data += [(1, 10, True, [0.0, 1.0], False), (1, 11, True, [1.0, 0.0], False), (1, 12, False, [1.0, 0.0], False), (1, 13, True, [-1.0, 0.0], False)]
+    df = spark.createDataFrame(data, "key bigint, frame_index bigint, accepted boolean, embedding array<double>, stored boolean")
+    policy = replace(pol.PERSON_RECOVERY, bank_size=3, reference_interval=1, reference_update_threshold=0.5)
+    got = batch.reference_bank(df, ["key"], policy)
+    # The live crop joins the copies without a test and pushes out the oldest.
+    assert rows(got.where("not stored").select("frame_index", "outcome", "bank_size")) == [
+        (10, "started", 3), (11, "accepted", 3), (12, "rejected_quality", 3), (13, "rejected_likeness", 3)
+    ]
