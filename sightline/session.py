@@ -6,7 +6,9 @@ exists so that small runs behave like one (adaptive execution, UTC, RocksDB stat
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +36,16 @@ def local_session(cores: str = "*", app: str = "sightline", partitions: int = 8)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage and stream progress.
+    """Folder for cut lineage and stream progress, shared by the driver and all executors.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; a local folder is made
-    only where that setting is absent, which is the case in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose executors
+    are the driver itself, makes a temporary one where the setting is absent.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="sightline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -56,3 +60,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may not see the driver's folders."""
+    context = spark.sparkContext
+    if getattr(context, "_sightline_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    folder = pathlib.Path(tempfile.mkdtemp(prefix="sightline-pkg-"))
+    archive = folder / "sightline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sightline_shipped = True
