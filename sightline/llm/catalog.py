@@ -2,6 +2,7 @@
 
 from sightline.llm import (  # noqa: F401
     q_decontaminate,
+    q_language,
 )
 from sightline.llm.registry import ORACLES, QUERIES
 
