@@ -5,6 +5,7 @@ from sightline.llm import (  # noqa: F401
     q_language,
     q_simhash,
     q_topk,
+    q_toxicity,
 )
 from sightline.llm.registry import ORACLES, QUERIES
 
