@@ -7,6 +7,7 @@ from sightline.llm import (  # noqa: F401
     q_simhash,
     q_topk,
     q_toxicity,
+    q_urls,
 )
 from sightline.llm.registry import ORACLES, QUERIES
 
