@@ -4,6 +4,7 @@ from sightline.llm import (  # noqa: F401
     q_decontaminate,
     q_language,
     q_mixing,
+    q_quality,
     q_simhash,
     q_topk,
     q_toxicity,
