@@ -5,6 +5,7 @@ from sightline.llm import (  # noqa: F401
     q_language,
     q_mixing,
     q_quality,
+    q_secrets,
     q_simhash,
     q_topk,
     q_toxicity,
