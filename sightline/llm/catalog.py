@@ -8,6 +8,7 @@ from sightline.llm import (  # noqa: F401
     q_secrets,
     q_simhash,
     q_topk,
+    q_substrings,
     q_toxicity,
     q_urls,
 )
