@@ -141,8 +141,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = np.bincount(pairs, minlength=BUCKETS).astype(np.float64)
             counts[REPEATED] += _repeats(words)
             at = np.flatnonzero(counts)
-            found.append(at.astype(np.int32))
-            share.append((counts[at] / max(1, len(words))).astype(np.float32))
+            found.append(at.astype(np.int16).tobytes())
+            share.append((counts[at] / max(1, len(words))).astype(np.float32).tobytes())
         yield pd.DataFrame({"bucket": found, "share": share, "grade": batch["grade"]})
 
 
@@ -158,17 +158,17 @@ def fit(
     drawn = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(SAMPLE)
     texts = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("text"))
     sample = texts.join(F.broadcast(drawn), "id").select("text", "grade")
-    rows = sample.mapInPandas(_count, "bucket array<int>, share array<float>, grade double").toPandas()
+    rows = sample.mapInPandas(_count, "bucket binary, share binary, grade double").toPandas()
     if rows.empty:
         return None
     # The order of rows follows the partitions; sorted, sums are the same in every run.
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["grade"][i], rows["bucket"][i].tobytes(), rows["share"][i].tobytes()))]
-    sizes = [len(b) for b in rows["bucket"]]
+    rows = sorted((g, bytes(b), bytes(x)) for b, x, g in rows.itertuples(index=False))
+    sizes = [len(b) // 2 for _, b, _ in rows]
     return fit_ordinal(
         np.repeat(np.arange(len(rows)), sizes),
-        np.concatenate([np.empty(0, np.int64), *rows["bucket"]]).astype(np.int64),
-        np.concatenate([np.empty(0), *rows["share"]]).astype(np.float64),
-        rows["grade"].to_numpy(),
+        np.frombuffer(b"".join(b for _, b, _ in rows), np.int16).astype(np.int64),
+        np.frombuffer(b"".join(x for _, _, x in rows), np.float32).astype(np.float64),
+        np.array([g for g, _, _ in rows]),
     )
 
 
