@@ -1,5 +1,6 @@
 """Imports every query module of this subpackage, and the pipeline at the repository top."""
 
+import corpus_pipeline
 from sightline.llm import (  # noqa: F401
     q_decontaminate,
     q_language,
@@ -7,11 +8,13 @@ from sightline.llm import (  # noqa: F401
     q_quality,
     q_secrets,
     q_simhash,
-    q_topk,
     q_substrings,
+    q_topk,
     q_toxicity,
     q_urls,
 )
-from sightline.llm.registry import ORACLES, QUERIES
+from sightline.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]
