@@ -209,7 +209,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             total.update(text.lower().split())
         kept = {w: n for w, n in total.items() if _WORD.fullmatch(w)}
-        yield pd.DataFrame({"word": list(kept), "n": list(kept.values())})
+        if kept:
+            yield pd.DataFrame({"word": list(kept), "n": list(kept.values())})
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
@@ -219,7 +220,7 @@ def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
     return frozenset(r.word for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect())
 
 
-def _labelled(words: frozenset[str], shared):
+def _labelled(shared):
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -229,7 +230,8 @@ def _labelled(words: frozenset[str], shared):
                     label = known_label(text, span[0], span[1], features)
                     if label is not None:
                         rows.append((features, label))
-            yield pd.DataFrame(rows, columns=["features", "label"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["features", "label"])
 
     return found
 
@@ -239,7 +241,7 @@ def known_findings(docs: DataFrame, words: frozenset[str], *, text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(words)
     where = F.lit(None).cast("binary") if path is None else F.col(path).cast("string").cast("binary")
     rows = docs.where(F.col(text).isNotNull()).select(utf8(text).alias("text"), where.alias("path"))
-    return rows.mapInPandas(_labelled(words, shared), "features array<double>, label int")
+    return rows.mapInPandas(_labelled(shared), "features array<double>, label int")
 
 
 def fit(labelled: DataFrame, words: frozenset[str], *, seed: int = 7) -> Model:

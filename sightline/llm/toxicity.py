@@ -204,7 +204,7 @@ def _feature_counts(shared):
                 words = {w for t in set((text or "").split()) for w in restored(t, language)}
                 words.update(spaced_words(text or "", language))
                 totals[int(label)].update({f for w in words for f in features(w)})
-            for label, found in totals.items():
+            for label, found in ((k, v) for k, v in totals.items() if v):
                 yield pd.DataFrame({"feature": list(found), "n": list(found.values()), "ones": [n * label for n in found.values()]})
 
     return counted
