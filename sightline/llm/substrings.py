@@ -30,7 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -45,30 +46,20 @@ from sightline.session import cut_lineage
 WINDOW, PREFIX = 20, 5
 #: Occurrences from which a prefix is made as long as the window.
 GROUP = 8192
-REMEMBERED = 200_000
-#: Words whose anchors are found at once.
-CHUNK = 200_000
+#: Bytes of text whose anchors are found at once, and over which prefix sums run.
+CHUNK, BYTES = 1 << 20, 1 << 18
 LAST = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, filled on demand and emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _Hashes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_BASE = 0x5851F42D4C957F2D
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+@cache
+def _powers(inverse: bool = False) -> np.ndarray:
+    """Powers of an odd base (or of its inverse) modulo 2**64."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(BYTES, base, np.uint64))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,55 +67,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def stretches(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with a common anchor: text number, first and last window start, anchor hash.
+def _word_hashes(joined: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each word, from prefix sums over stretches of at most ``BYTES``."""
+    import xxhash
 
-    Starts count words from the beginning of their text.
+    out = np.zeros(len(start), np.uint64)
+    data = np.frombuffer(joined, np.uint8)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BYTES, "right")))
+        first, last = int(start[i]), int(end[j - 1])
+        if last - first > BYTES:  # one very long word
+            out[i] = xxhash.xxh64_intdigest(joined[first:last])
+        else:
+            sums = np.zeros(last - first + 1, np.uint64)
+            np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * _powers()[: last - first], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - first] - sums[start[i:j] - first]) * _powers(True)[start[i:j] - first]
+        i = j
+    return _mix(out)
+
+
+class Stretches:
+    """Some texts (words joined by one space) and their runs of windows with a common anchor.
+
+    Per run: number of the text, first and last window start (words from the beginning of the
+    text) and the anchor's hash.
     """
-    empty = np.empty(0, np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    n = int(sizes.sum())
-    if n < window:
-        return empty, empty, empty, empty.astype(np.uint64)
-    ids = np.concatenate([_hash(t) for t in texts])
-    size = min(PREFIX, window)
-    places = n - size + 1
-    gram = np.zeros(places, np.uint64)
-    for j in range(size):
-        gram += ids[j : j + places] * _ODD[j]
-    gram = _mix(gram)
-    # The smallest of a window's grams, by doubling; of equals the leftmost.
-    low, at, have, want = gram, np.arange(places), 1, window - size + 1
-    while have < want:
-        step = min(have, want - have)
-        right, left = low[step:], low[:-step]
-        keep = left <= right
-        low, at, have = np.where(keep, left, right), np.where(keep, at[:-step], at[step:]), have + step
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
-    if not len(starts):
-        return empty, empty, empty, empty.astype(np.uint64)
-    anchor = at[starts]
-    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
-    text = owner[first]
-    return text, first - begin[text], last - begin[text], gram[anchor[new]]
-
-
-def _chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    start = words = 0
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.window = window
+        self.sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        self.joined = b" ".join(t for t in texts if t)
+        gaps = np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 32)
+        self.start = np.concatenate(([0], gaps + 1))
+        self.end = np.concatenate((gaps, [len(self.joined)]))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.text, self.first, self.last, self.anchor = self._find(int(self.sizes.sum()))
+        self.edge = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def _find(self, n: int) -> tuple[np.ndarray, ...]:
+        none = np.empty(0, np.int64)
+        if n < self.window:
+            return none, none, none, none.astype(np.uint64)
+        ids = _word_hashes(self.joined, self.start, self.end)
+        size = min(PREFIX, self.window)
+        places = n - size + 1
+        gram = np.zeros(places, np.uint64)
+        for j in range(size):
+            gram += ids[j : j + places] * _ODD[j]
+        gram = _mix(gram)
+        # The smallest of a window's grams, by doubling; of equals the leftmost.
+        low, at, have, want = gram, np.arange(places), 1, self.window - size + 1
+        while have < want:
+            step = min(have, want - have)
+            right, left = low[step:], low[:-step]
+            keep = left <= right
+            low, at, have = np.where(keep, left, right), np.where(keep, at[:-step], at[step:]), have + step
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        starts = np.flatnonzero(owner[: n - self.window + 1] == owner[self.window - 1 :])
+        if not len(starts):
+            return none, none, none, none.astype(np.uint64)
+        anchor = at[starts]
+        new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
+        text = owner[first]
+        return text, first - self.begin[text], last - self.begin[text], gram[anchor[new]]
+
+    def words(self, text: int, first: int, end: int) -> bytes:
+        """Words ``first`` up to but without ``end`` of a text."""
+        at = self.begin[text]
+        return self.joined[self.start[at + first] : self.end[at + end - 1]]
+
+    def listed(self, text: int, places: np.ndarray) -> tuple[slice, np.ndarray, np.ndarray]:
+        """Which runs of a text begin at listed places, and the flags of these places."""
+        part = slice(self.edge[text], self.edge[text + 1])
+        places = np.sort(places)
+        spot = np.minimum(np.searchsorted(places >> 1, self.first[part]), len(places) - 1)
+        found = np.flatnonzero(places[spot] >> 1 == self.first[part])
+        return part, found, places[spot[found]] & 1
+
+
+def _chunks(texts: Iterable[bytes | None], window: int) -> Iterator[tuple[int, list[bytes], Stretches]]:
+    """Texts in chunks of about ``CHUNK`` bytes: number of the first, joined words, their runs."""
+    start, size, held = 0, 0, []
     for i, text in enumerate(texts):
-        if i > start and words + len(text) > CHUNK:
-            yield start, i
-            start, words = i, 0
-        words += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        joined = b" ".join(text.split()) if text is not None else b""
+        if held and size + len(joined) > CHUNK:
+            yield start, held, Stretches(held, window)
+            start, size, held = i, 0, []
+        held.append(joined)
+        size += len(joined)
+    if held:
+        yield start, held, Stretches(held, window)
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
+def _digest(joined: bytes) -> bytes:
+    return hashlib.sha256(joined).digest()
 
 
 def _short(digest: bytes) -> int:
@@ -132,31 +170,26 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "big", signed=True)
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.split() if text is not None else []
-
-
 def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [_words(t) for t in batch["text"]]
-        digests = [_digest(t) for t in texts]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "d": batch["d"], "n_words": [len(t) for t in texts], "sha": digests})
+        texts = [b" ".join(t.split()) if t is not None else b"" for t in batch["text"]]
+        n_words = [t.count(b" ") + 1 if t else 0 for t in texts]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "d": batch["d"], "n_words": n_words, "sha": [_digest(t) for t in texts]})
 
 
 def _anchors(window: int):
-    """``h, d, at, text``: each anchor's hash, its document and text, and its first window start."""
+    """``h, d, at, place``: anchor hash, id, short digest and first window, and what tells places apart."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [_words(t) for t in batch.column(1).to_pylist()]
-            digests = [_digest(t) for t in texts]
-            for a, b in _chunks(texts):
-                text, first, _, h = stretches(texts[a:b], window)
-                short = np.array([_short(x) for x in digests[a:b]], np.int64)
-                long = np.array([int.from_bytes(x[:8], "big") for x in digests[a:b]], np.uint64)
-                at = (short[text] << 32) | first
-                place = _mix(long[text] + first.astype(np.uint64) * _ODD[0])
-                columns = [h.view(np.int64), ids[a:b][text].astype(np.int64), at, place.view(np.int64)]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, texts, runs in _chunks((t.as_py() for t in batch.column(1)), window):
+                digests = [_digest(t) for t in texts]
+                short = np.array([_short(x) for x in digests], np.int64)
+                long = np.array([int.from_bytes(x[:8], "big") for x in digests], np.uint64)
+                at = (short[runs.text] << 32) | runs.first
+                place = _mix(long[runs.text] + runs.first.astype(np.uint64) * _ODD[0])
+                columns = [runs.anchor.view(np.int64), ids[a + runs.text].astype(np.int64), at, place.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "d", "at", "place"])
 
     return found
@@ -168,18 +201,28 @@ def _stretch_rows(window: int):
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             best: dict[tuple[int, bytes], list] = {}
-            for d, short, words, text, first, last, h, long in _listed(batch, window):
-                step = 1 if long else last - first + 1
-                for start in range(first, last + 1, step):
-                    body = b" ".join(words[start : start + step - 1 + window])
-                    key = _long_key(body) if long else h
-                    old = best.get((key, body))
-                    if old is None or (d, start) < (old[0], old[1]):
-                        best[key, body] = [d, start, step, {short}]
-                    elif (d, start) == (old[0], old[1]):
-                        old[3].add(short)
-            rows = [(key, d, start, step, short, body) for (key, body), (d, start, step, shorts) in best.items() for short in sorted(shorts)]
-            yield pd.DataFrame(rows, columns=["key", "d", "start", "n", "short", "body"])
+            ids, shorts, listed = batch["d"].tolist(), batch["short"].tolist(), batch["listed"]
+            for a, texts, runs in _chunks(batch["text"], window):
+                anchor = runs.anchor.view(np.int64)
+                for i, text in enumerate(texts):
+                    if _short(_digest(text)) != shorts[a + i]:
+                        continue
+                    d, short = ids[a + i], shorts[a + i]
+                    part, spots, flags = runs.listed(i, listed.iat[a + i])
+                    firsts, lasts = runs.first[part][spots].tolist(), runs.last[part][spots].tolist()
+                    for first, last, h, long in zip(firsts, lasts, anchor[part][spots].tolist(), flags.tolist()):
+                        step = 1 if long else last - first + 1
+                        for start in range(first, last + 1, step):
+                            body = runs.words(i, start, start + step - 1 + window)
+                            key = (_long_key(body) if long else h, body)
+                            old = best.get(key)
+                            if old is None or (d, start) < (old[0], old[1]):
+                                best[key] = [d, start, step, {short}]
+                            elif (d, start) == (old[0], old[1]):
+                                old[3].add(short)
+            rows = [(key, d, start, step, short, body) for (key, body), (d, start, step, some) in best.items() for short in sorted(some)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "d", "start", "n", "short", "body"])
 
     return found
 
@@ -191,24 +234,6 @@ def _long_key(body: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _listed(batch: pd.DataFrame, window: int) -> Iterator[tuple]:
-    """The stretches of a batch's texts whose first windows are in the text's list."""
-    texts = [_words(t) for t in batch["text"]]
-    for a, b in _chunks(texts):
-        text, first, last, h = stretches(texts[a:b], window)
-        edge = np.searchsorted(text, np.arange(b - a + 1))
-        for i in range(a, b):
-            if _short(_digest(texts[i])) != batch["short"].iat[i]:
-                continue
-            part = slice(edge[i - a], edge[i - a + 1])
-            listed = np.sort(np.asarray(batch["listed"].iat[i], np.int64))
-            spot = np.searchsorted(listed >> 1, first[part])
-            spot = np.minimum(spot, len(listed) - 1)
-            for k in np.flatnonzero(listed[spot] >> 1 == first[part]):
-                j = part.start + k
-                yield batch["d"].iat[i], batch["short"].iat[i], texts[i], i, int(first[j]), int(last[j]), int(h[j : j + 1].view(np.int64)[0]), bool(listed[spot[k]] & 1)
-
-
 def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
     """``d, short, start`` of the windows of one group that no earlier window of it equals.
 
@@ -275,25 +300,34 @@ def _cleaned(window: int):
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone: dict[int, np.ndarray] = {}
-            texts = [_words(t) for t in batch["text"]]
-            for _, _, words, i, first, last, _, _ in _listed(batch, window):
-                if i not in gone:
-                    gone[i] = np.zeros(len(words) + 1, bool)
-                gone[i][first : last + 1] = True
             rows = []
-            for i, windows in gone.items():
-                stays = batch["stays"].iat[i]
-                if stays is not None and len(stays):
-                    windows[np.asarray(stays, np.int64)] = False
-                change = np.zeros(len(windows) + window, np.int64)
-                starts = np.flatnonzero(windows)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + window, -1)
-                covered = (np.cumsum(change) > 0)[: len(texts[i])]
-                kept = b" ".join([w for w, c in zip(texts[i], covered.tolist()) if not c])
-                rows.append((batch["d"].iat[i], _digest(texts[i]), int(covered.sum()), kept))
-            yield pd.DataFrame(rows, columns=["d", "sha", "n_removed", "kept"])
+            ids, shorts = batch["d"].tolist(), batch["short"].tolist()
+            for a, texts, runs in _chunks(batch["text"], window):
+                for i, text in enumerate(texts):
+                    digest = _digest(text)
+                    if _short(digest) != shorts[a + i]:
+                        continue
+                    part, spots, _ = runs.listed(i, batch["listed"].iat[a + i])
+                    n = int(runs.sizes[i])
+                    edges = np.zeros(n + 1, np.int64)
+                    np.add.at(edges, runs.first[part][spots], 1)
+                    np.add.at(edges, runs.last[part][spots] + 1, -1)
+                    windows = np.cumsum(edges[:-1])
+                    stays = batch["stays"].iat[a + i]
+                    if stays is not None and len(stays):
+                        windows[np.asarray(stays, np.int64)] = 0
+                    starts = np.flatnonzero(windows)
+                    if not len(starts):
+                        continue
+                    edges[:] = 0
+                    np.add.at(edges, starts, 1)
+                    np.add.at(edges, starts + window, -1)
+                    gone = np.concatenate(([True], np.cumsum(edges[:-1]) > 0, [True])).astype(np.int8)
+                    turns = np.diff(gone)
+                    kept = b" ".join(runs.words(i, x, y) for x, y in zip(np.flatnonzero(turns < 0).tolist(), np.flatnonzero(turns > 0).tolist()))
+                    rows.append((ids[a + i], digest, int(gone.sum()) - 2, kept))
+            if rows:
+                yield pd.DataFrame(rows, columns=["d", "sha", "n_removed", "kept"])
 
     return found
 
@@ -356,7 +390,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opti
 
     @F.pandas_udf("binary")
     def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _digest(_words(t)))
+        return texts.map(lambda t: _digest(b" ".join(t.split()) if t is not None else b""))
 
     keyed = docs.withColumn("_" + key, digest(utf8(text)))
     out = keyed.join(found, F.col("_" + key).eqNullSafe(F.col(key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(words)), "left")
