@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sightline.llm import toxicity
 
 PLAIN = ["the weather is fine in the garden today", "we read a good book about ships", "lunch was served at noon by the lake"]
-BAD = ["you are stupid", "you moron", "an idiot"]
+BAD = ["stupid", "moron", "idiot"]
 SCHEMA = "doc_id long, text string, toxicity double, label string"
 
 
 def corpus(spark):
     rows = [(i, PLAIN[i % 3] + f" number {i % 7}", 0.0, "x") for i in range(60)]
-    rows += [(100 + i, f"{PLAIN[i // 3 % 3]} {BAD[i % 3]}", 0.0, "x") for i in range(20)] + [(500, None, 0.0, "x"), (501, "", None, None)]
+    rows += [(100 + i, f"{PLAIN[i // 3 % 3]} {BAD[i % 3]} number {i % 7}", 0.0, "x") for i in range(20)] + [(500, None, 0.0, "x"), (501, "", None, None)]
     labels = [(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(20)] + [(None, 1), (3, None), (4, 7), (9999, 1), (500, 0), (100, 1)]
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
 
