@@ -28,7 +28,10 @@ HEADLINE = [
     "t07_plate_confirmation",
     "s13_bounded_log",
     "a14_greedy_pairs",
-    "t17_full_frame_order",
+    "a21_domain_counters",
+    "w04_lost_periods",
+    "w14_failure_runs",
+    "t11_expired_targets",
 ]
 
 

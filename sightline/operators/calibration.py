@@ -9,100 +9,161 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sightline.operators.similarity import _block_scores, block_grid, nothing
+from sightline.session import cut_lineage
 
-# Scores are kept to six decimals, so there are at most 2 000 001 different ones and an
-# exact distribution over any number of pairs fits in a count per score.
-DECIMALS = 6
-
-
+# Cells of the histogram: scores lie in [-1, 1], so there are at most 2 000 003 of them.
+CELLS = 1_000_000
+QUANTILES = (0.1, 0.5, 0.9, 0.95)
 MAX_BLOCK = 2048
 
 
-def pair_histogram(samples: DataFrame, block: int | None = None, rows: int | None = None) -> DataFrame:
-    """Number of pairs per ``(same_label, score)`` with the first pair of each extreme.
-
-    ``samples``: ``name``, ``label``, ``embedding``.  Pairs are never materialised: every
-    block pair is multiplied and counted in place.  A label with many samples is spread
-    over blocks like everything else.
-    """
-    total = samples.count() if rows is None else rows
+def _blocks(samples: DataFrame, block: int | None) -> DataFrame:
+    """Samples dealt to block pairs, so that every unordered pair meets in one group."""
+    total = samples.count()
     if block is None:
         # Small inputs are cut finer, so that every core gets a block pair.
         cores = samples.sparkSession.sparkContext.defaultParallelism
         block = min(MAX_BLOCK, max(256, math.ceil(total / (2 * math.sqrt(cores)))))
     blocks = max(1, -(-total // block))
-    types = dict(samples.dtypes)
-    name_type = types["name"]
-    schema = f"same_label boolean, score double, pairs bigint, a {name_type}, b {name_type}"
-    names = ["same_label", "score", "pairs", "a", "b"]
+    home = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    return block_grid(samples.select("name", "label", "embedding"), [], home, F.lit(blocks))
+
+
+def _kinds(pdf: pd.DataFrame):
+    """Per block of pairs and kind: row names, column names, scores, and where a pair counts."""
+    for left, right, scores in _block_scores(pdf, "name", "embedding"):
+        same = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
+        for flag in (True, False):
+            mask = np.isfinite(scores) & (same == flag)
+            if mask.any():
+                yield flag, left["name"].to_numpy(), right["name"].to_numpy(), scores, mask
+
+
+def _cell(scores: np.ndarray) -> np.ndarray:
+    return np.rint(scores * CELLS).astype(np.int64)
+
+
+def pair_histogram(samples: DataFrame, block: int | None = None) -> DataFrame:
+    """Pairs per ``(same_label, cell)``: their number, sum, extremes, and the hardest pair.
+
+    ``samples``: ``name``, ``label``, ``embedding``.  Pairs are never materialised: every
+    block pair is multiplied and counted in place.  A label with many samples is spread
+    over blocks like everything else.  Only the cell is rounded; ``low``, ``high``,
+    ``total`` and the hardest pair (lowest score inside a label, highest across labels,
+    the first names among equals) come from the scores themselves.
+    """
+    kind = dict(samples.dtypes)["name"]
+    schema = f"same_label boolean, cell bigint, pairs bigint, total double, low double, high double, hardest double, a {kind}, b {kind}"
+    names = ["same_label", "cell", "pairs", "total", "low", "high", "hardest", "a", "b"]
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for left, right, scores in _block_scores(pdf, "name", "embedding"):
-            valid = np.isfinite(scores)
-            same = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
-            rounded = np.round(scores, DECIMALS) + 0.0
-            for flag in (True, False):
-                mask = valid & (same == flag)
-                if not mask.any():
-                    continue
-                values, n = np.unique(rounded[mask], return_counts=True)
-                part = pd.DataFrame({"same_label": flag, "score": values, "pairs": n})
-                part["a"] = None
-                part["b"] = None
-                # The hardest pair: lowest score inside a label, highest across labels.
-                hardest = 0 if flag else len(values) - 1
-                i, j = np.nonzero(mask & (rounded == values[hardest]))
-                x, y = left["name"].to_numpy()[i], right["name"].to_numpy()[j]
-                lo, hi = np.where(x < y, x, y), np.where(x < y, y, x)
-                first = np.lexsort((hi, lo))[0]
-                part = part.astype({"a": object, "b": object})
-                part.loc[hardest, ["a", "b"]] = [lo[first], hi[first]]
-                parts.append(part)
+        for flag, rows, columns, scores, mask in _kinds(pdf):
+            values = scores[mask]
+            cells, at = np.unique(_cell(values), return_inverse=True)
+            part = pd.DataFrame({"same_label": flag, "cell": cells, "pairs": np.bincount(at), "total": np.bincount(at, values)})
+            low, high = np.full(len(cells), np.inf), np.full(len(cells), -np.inf)
+            np.minimum.at(low, at, values)
+            np.maximum.at(high, at, values)
+            part["low"], part["high"] = low, high
+            # The block's hardest pair stands in the row of its cell.
+            worst = values.min() if flag else values.max()
+            i, j = np.nonzero(mask & (scores == worst))
+            x, y = rows[i], columns[j]
+            first, second = np.where(x < y, x, y), np.where(x < y, y, x)
+            k = np.lexsort((second, first))[0]
+            part = part.astype(object)
+            part[["hardest", "a", "b"]] = None
+            part.loc[0 if flag else len(cells) - 1, ["hardest", "a", "b"]] = [worst, first[k], second[k]]
+            parts.append(part)
         return pd.concat(parts)[names] if parts else nothing(names)
 
-    home = F.pmod(F.xxhash64("name"), F.lit(blocks))
-    grid = block_grid(samples.select("name", "label", "embedding"), [], home, F.lit(blocks))
-    partial = grid.groupBy("_lo", "_hi").applyInPandas(count, schema)
-    return partial.groupBy("same_label", "score").agg(
-        F.sum("pairs").alias("pairs"), F.min(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("pair")
+    partial = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, schema)
+    sign = F.when(F.col("same_label"), 1).otherwise(-1)
+    pair = F.when(F.col("a").isNotNull(), F.struct((F.col("hardest") * sign).alias("rank"), "a", "b", "hardest"))
+    return partial.groupBy("same_label", "cell").agg(
+        F.sum("pairs").alias("pairs"),
+        F.sum("total").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min(pair).alias("pair"),
+    )
+
+
+def _wanted_cells(histogram: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """Cells that hold the order statistics around each quantile: a few rows per kind."""
+    along = Window.partitionBy("same_label").orderBy("cell")
+    upto = F.sum("pairs").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("pairs").over(Window.partitionBy("same_label"))
+    placed = histogram.select("same_label", "cell", "pairs", upto.alias("upto"), n.alias("n"))
+    ranks = F.array(*[x for q in quantiles for x in (F.floor((F.col("n") - 1) * q), F.ceil((F.col("n") - 1) * q))])
+    held = placed.withColumn("ranks", ranks).withColumn("before", F.col("upto") - F.col("pairs"))
+    return held.where(F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto")))).select(
+        "same_label", "cell", "before", "n"
+    )
+
+
+def distribution(samples: DataFrame, block: int | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """min, percentiles (linear interpolation), mean and max of both kinds of pairs.
+
+    All are exact.  The histogram tells in which cells the order statistics lie; a second
+    pass over the blocks counts the scores of these few cells one by one.
+    """
+    histogram = cut_lineage(pair_histogram(samples, block))
+    wanted = _wanted_cells(histogram, quantiles)
+    # At most four cells per quantile (two kinds of pairs, two order statistics each).
+    cells = {(r.same_label, r.cell): (r.before, r.n) for r in wanted.collect()}
+    names = ["same_label", "cell", "score", "pairs"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for flag, _, _, scores, mask in _kinds(pdf):
+            values = scores[mask]
+            at = _cell(values)
+            for kind, cell in cells:
+                if kind == flag:
+                    found, n = np.unique(values[at == cell], return_counts=True)
+                    parts.append(pd.DataFrame({"same_label": flag, "cell": cell, "score": found, "pairs": n}))
+        return pd.concat(parts)[names] if parts else nothing(names)
+
+    schema = "same_label boolean, cell bigint, score double, pairs bigint"
+    values = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, schema)
+    values = values.groupBy("same_label", "cell", "score").agg(F.sum("pairs").alias("pairs"))
+    inside = Window.partitionBy("same_label", "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("pairs").over(inside)
+    places = samples.sparkSession.createDataFrame(
+        [(*k, *v) for k, v in cells.items()], "same_label boolean, cell bigint, before bigint, n bigint"
     )
+    ranked = values.withColumn("upto", upto).join(F.broadcast(places), ["same_label", "cell"])
+    ranked = ranked.withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("pairs") + 1)
 
+    def order_statistic(rank):
+        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("score")))
 
-def distribution(histogram: DataFrame) -> DataFrame:
-    """min, percentiles (linear interpolation), mean and max of both kinds of pairs."""
-    q = F.expr("percentile(score, array(0.1, 0.5, 0.9, 0.95), pairs)")
+    def quantile(q: float, name: str):
+        at = (F.col("n") - 1) * F.lit(q)
+        low, high = order_statistic(F.floor(at)), order_statistic(F.ceil(at))
+        return (low + (high - low) * F.first(at - F.floor(at))).alias(name)
+
+    labels = ["p10", "median", "p90", "p95"] if quantiles == QUANTILES else [f"q{i}" for i in range(len(quantiles))]
+    found = ranked.groupBy("same_label").agg(*[quantile(q, name) for q, name in zip(quantiles, labels)])
     stats = histogram.groupBy("same_label").agg(
         F.sum("pairs").alias("n_pairs"),
-        F.min("score").alias("min"),
-        q.alias("q"),
-        (F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs")).alias("mean"),
-        F.max("score").alias("max"),
-    )
-    return stats.select(
-        "same_label",
-        "n_pairs",
-        "min",
-        F.round(F.col("q")[0], 10).alias("p10"),
-        F.round(F.col("q")[1], 10).alias("median"),
-        F.round("mean", 8).alias("mean"),
-        F.round(F.col("q")[2], 10).alias("p90"),
-        F.round(F.col("q")[3], 10).alias("p95"),
-        "max",
+        F.min("low").alias("min"),
+        (F.sum("total") / F.sum("pairs")).alias("mean"),
+        F.max("high").alias("max"),
     )
+    return stats.join(found, "same_label").select("same_label", "n_pairs", "min", *labels, "mean", "max")
 
 
 def hardest_pairs(histogram: DataFrame) -> DataFrame:
     """Lowest pair inside a label and highest pair across labels."""
-    signed = F.when(F.col("same_label"), F.col("score")).otherwise(-F.col("score"))
-    # A score that is extreme in one block only carries that block's pair, which is the
-    # one wanted when the score is extreme overall.
-    best = histogram.groupBy("same_label").agg(F.min_by(F.struct("score", "pair"), signed).alias("m"))
+    best = histogram.groupBy("same_label").agg(F.min("pair").alias("m"))
     return best.select(
         F.when(F.col("same_label"), "hardest_positive").otherwise("hardest_negative").alias("kind"),
-        "m.score",
-        F.col("m.pair.a").alias("a"),
-        F.col("m.pair.b").alias("b"),
+        F.col("m.hardest").alias("score"),
+        F.col("m.a").alias("a"),
+        F.col("m.b").alias("b"),
     )
 
 
@@ -117,9 +178,11 @@ def balanced_sample(
     """Pick identities, then images round-robin over their cameras, in a seeded order.
 
     The order is a digest of seed and name, so the same rows are picked on any cluster
-    and for any partitioning.  Asking for more identities than there are is an error of
-    the caller that shows as fewer rows; see :func:`sampling_shortage`.
+    and for any partitioning.  Fewer eligible identities than asked for are an error.
     """
+    short = sampling_shortage(images, valid, identities, per_identity).first()
+    if short is not None:
+        raise ValueError(f"{short.eligible} identities have {per_identity} valid images, {identities} are wanted")
 
     def digest(*parts):
         return F.md5(F.concat_ws("|", F.lit(seed), *parts))
@@ -131,7 +194,7 @@ def balanced_sample(
         .limit(identities)
         .select("vehicle_id")
     )
-    camera = F.coalesce("camera_id", F.lit("<unknown-camera>"))
+    camera = F.coalesce("camera_id", F.lit("(no camera)"))
     pool = images.where(valid).join(chosen, "vehicle_id").withColumn("_camera", camera)
     in_camera = Window.partitionBy("vehicle_id", "_camera").orderBy(digest("image_name"), "image_name")
     across = Window.partitionBy("vehicle_id").orderBy(

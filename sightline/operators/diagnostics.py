@@ -83,13 +83,13 @@ def summary(stats: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def timing_report(samples: DataFrame, keys: list[str], ms: str, decimals: int = 3) -> DataFrame:
+def timing_report(samples: DataFrame, keys: list[str], ms: str) -> DataFrame:
     """avg / min / p50 / p95 / max per stage and the rate it allows.
 
-    Samples are counted per value at a fixed resolution first: a stage with billions of
-    samples shuffles its distinct timings only, and the exact percentile works on counts.
+    Equal samples are counted first, before the shuffle; the percentile is exact and works
+    on counts.
     """
-    counted = samples.withColumn("_ms", F.round(F.col(ms), decimals)).groupBy(*keys, "_ms").agg(
+    counted = samples.withColumn("_ms", F.col(ms).cast("double")).groupBy(*keys, "_ms").agg(
         F.count(F.lit(1)).alias("_n")
     )
     q = F.expr("percentile(_ms, array(0.5, 0.95), _n)")

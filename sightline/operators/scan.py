@@ -159,3 +159,21 @@ def running_totals(
         *[F.col(f"r.{c}") for c in df.columns if c not in columns],
         *[(F.col(f"s._s_{c}") + F.col(f"r._h_{c}")).alias(c) for c in columns],
     )
+
+
+def next_minimum(
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, chunk: int = CHUNK
+) -> DataFrame:
+    """Add the smallest ``value`` among the rows of the key that come strictly later.
+
+    ``order`` is a whole number.  Later rows of the chunk are a growing frame of the
+    reversed order; later chunks contribute one minimum each.
+    """
+    rows = _chunked(df, order, chunk).withColumn("_v", value)
+    lows = rows.groupBy(*keys, _CHUNK).agg(F.min("_v").alias("_low"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.select(*keys, _CHUNK, F.min("_low").over(later).alias("_low"))
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_here", F.min("_v").over(inside))
+    joined = placed.alias("r").join(lows.alias("s"), _same(keys, "r", "s"))
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.least("r._here", "s._low").alias(name))

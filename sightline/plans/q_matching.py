@@ -86,23 +86,22 @@ all_pairs as (select c.domain, c.attempt, c.track_id, c.plate, f.identity_id as
 pairs as (select * from all_pairs where plate is null or plate_number is null or plate = plate_number)"""
 
 
-def recognition_pairs(spark, sf, floor):
+def recognition_pairs(spark, sf, floor, every=False):
     refs = d.references(spark, sf)
     g = d.gallery(refs)
     free = matching.free_identities(g, bindings(g)).select(
         "domain", F.col("identity_id").alias("target_id"), "centroid", "plate_number"
     )
-    return similarity.scored_pairs(d.candidates(refs), free, ["domain"], floor, plates=True)
+    return similarity.scored_pairs(d.candidates(refs), free, ["domain"], floor, plates=True, every=every)
 
 
 @query(
     "j06_identity_candidate_scores",
-    f"""with {_FREE}, r as (select *, row_number() over (partition by track_id order by score desc, target_id) as a,
-      row_number() over (partition by domain, attempt, target_id order by score desc, track_id) as b from pairs)
-    select domain, attempt, track_id, target_id, round(score, 6) as score from r where (a <= 2 or b <= 2) and score >= {THRESHOLD - MARGIN}""",
+    f"""with {_FREE} select domain, attempt, track_id, target_id, round(score, 6) as score from pairs where score >= {THRESHOLD - MARGIN}""",
 )
 def identity_candidate_scores(spark, sf):
-    pairs = recognition_pairs(spark, sf, THRESHOLD - MARGIN)
+    """Every compatible pair that can still matter: at or above threshold minus margin."""
+    pairs = recognition_pairs(spark, sf, THRESHOLD - MARGIN, every=True)
     return pairs.where(F.col("score") >= THRESHOLD - MARGIN).withColumn("score", F.round("score", 6))
 
 

@@ -221,7 +221,7 @@ def failure_runs(spark, sf):
 # Labelled images: one per document, a dozen per vehicle.
 _IMAGES = """images as (select 'v' || (doc_id // 12) as vehicle_id, case when doc_id % 10 = 0 then null else source end as camera_id,
     'img' || doc_id || case lang when 'en' then '.jpg' when 'de' then '.png' when 'es' then '.JPEG' else '.txt' end as image_name from documents),
-valid as (select *, coalesce(camera_id, '<unknown-camera>') as cam from images where lower(regexp_extract(image_name, '(\\.[^./]+)$', 1)) in ('.jpg', '.jpeg', '.png', '.bmp', '.webp'))"""
+valid as (select *, coalesce(camera_id, '(no camera)') as cam from images where lower(regexp_extract(image_name, '(\\.[^./]+)$', 1)) in ('.jpg', '.jpeg', '.png', '.bmp', '.webp'))"""
 
 
 def images(spark, sf):

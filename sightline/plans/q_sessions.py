@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sightline import policy as pol
 from sightline.functions import vectors as v
-from sightline.operators import dumps, lifecycle, sequences
+from sightline.operators import dumps, lifecycle, scan
 from sightline.plans import derived as d
 from sightline.plans.q_geometry import IN_FRAME_SQL, valid_scores
 from sightline.plans.q_store import _PAIRS, _REASON_SQL, _divergence_rows, _two_runs
@@ -70,39 +70,6 @@ def session_inputs(spark, sf):
     )
 
 
-def session_events(spark, sf, *events):
-    out = batch.session_events(session_inputs(spark, sf), ["camera_id"], OPTIONS)
-    if events:
-        out = out.where(F.col("event").isin(*events))
-    return out.withColumn("score", F.round("score", 6)).withColumn("support", F.round("support", 6))
-
-
-@query("t17_full_frame_order")
-def full_frame_order(spark, sf):
-    """Guard, recovery, enrichment, recognition and expiry of every camera."""
-    return session_events(spark, sf)
-
-
-@query("t03_recovery_sweeps")
-def recovery_sweeps(spark, sf):
-    return session_events(spark, sf, "lost", "recovery_pending", "recovered")
-
-
-@query("t04_recognition_sweeps")
-def recognition_sweeps(spark, sf):
-    return session_events(spark, sf, "recognition_pending", "recognized")
-
-
-@query("t05_identity_guard")
-def identity_guard(spark, sf):
-    return session_events(spark, sf, "ambiguous", "corrected", "identity_lost")
-
-
-@query("t12_forget_rules")
-def forget_rules(spark, sf):
-    return session_events(spark, sf, "removed", "expired")
-
-
 @query("t01_target_lifecycle")
 def target_lifecycle(spark, sf):
     """Outcomes of a stream of target commands; the target numbers are mostly plausible."""
@@ -196,15 +163,13 @@ _EVENTS_SQL = """lost as (select user_id, event_id, epoch(ts) as lost_since, (se
     where (recovered_at is null or recovered_at > lost_since + 86400) and lost_since + 86400 <= horizon""",
 )
 def expired_targets(spark, sf):
-    from pyspark.sql import Window
-
-    ev = d.table(spark, sf, "events").withColumn("at", d.epoch_micros(F.col("ts")) / 1e6)
-    ahead = Window.partitionBy("user_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(F.col("event_type") == "click", F.col("at"))).over(ahead)
-    lost = ev.withColumn("recovered_at", nxt).where(F.col("event_type") == "error").select(
-        "user_id", "event_id", F.col("at").alias("lost_since"), "recovered_at"
+    ev = d.table(spark, sf, "events").withColumn("at", d.epoch_micros(F.col("ts")))
+    click = F.when(F.col("event_type") == "click", F.col("at"))
+    ahead = scan.next_minimum(ev, ["user_id"], "at", click, "next_click", chunk=86_400_000_000)
+    lost = ahead.where(F.col("event_type") == "error").select(
+        "user_id", "event_id", (F.col("at") / 1e6).alias("lost_since"), (F.col("next_click") / 1e6).alias("recovered_at")
     )
-    horizon = ev.groupBy("user_id").agg(F.max("at").alias("horizon"))
+    horizon = ev.groupBy("user_id").agg((F.max("at") / 1e6).alias("horizon"))
     return lifecycle.expired_targets(lost, 86400.0, horizon, ["user_id"]).select("user_id", "event_id")
 
 

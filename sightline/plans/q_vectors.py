@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from sightline.functions import vectors as v
 from sightline.operators import calibration, similarity
@@ -96,7 +96,7 @@ support as (
   group by 1, 2)"""
 
 
-def recovery_pairs(spark, sf, floor, later_wins=True):
+def recovery_pairs(spark, sf, floor, later_wins=True, every=False):
     """Scored pairs of lost targets (one per identity) and tracks of the same camera."""
     refs = d.references(spark, sf)
     targets = d.gallery(refs).select(
@@ -106,7 +106,7 @@ def recovery_pairs(spark, sf, floor, later_wins=True):
         "centroid",
     )
     cands = d.candidates(refs)
-    pairs = similarity.scored_pairs(cands, targets, ["domain", "camera_id"], floor, later_wins)
+    pairs = similarity.scored_pairs(cands, targets, ["domain", "camera_id"], floor, later_wins, every=every)
     return refs, cands, pairs
 
 
@@ -118,34 +118,23 @@ def with_support(refs, cands, pairs):
 
 @query(
     "j05_target_candidate_scores",
-    f"""with {RECOVERY_PAIRS_SQL}, r as (select *, row_number() over (partition by track_id order by score desc, target_id) as a,
-      row_number() over (partition by domain, camera_id, attempt, target_id order by score desc, track_id desc) as b from pairs)
-    select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score from r where a <= 2 or b <= 2""",
+    f"""with {RECOVERY_PAIRS_SQL} select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score
+    from pairs where score >= {THRESHOLD - MARGIN}""",
 )
 def target_candidate_scores(spark, sf):
-    """The two best of every target in an attempt and of every candidate."""
-    _, _, pairs = recovery_pairs(spark, sf, None)
-    per_track = Window.partitionBy("track_id").orderBy(F.desc("score"), "target_id")
-    per_target = Window.partitionBy("domain", "camera_id", "attempt", "target_id").orderBy(
-        F.desc("score"), F.desc("track_id")
-    )
-    return (
-        pairs.withColumn("a", F.row_number().over(per_track))
-        .withColumn("b", F.row_number().over(per_target))
-        .where((F.col("a") <= 2) | (F.col("b") <= 2))
-        .select("domain", "camera_id", "attempt", "track_id", "target_id", F.round("score", 6).alias("score"))
-    )
+    """Every compatible pair that can still matter: at or above threshold minus margin."""
+    _, _, pairs = recovery_pairs(spark, sf, THRESHOLD - MARGIN, every=True)
+    pairs = pairs.where(F.col("score") >= THRESHOLD - MARGIN)
+    return pairs.select("domain", "camera_id", "attempt", "track_id", "target_id", F.round("score", 6).alias("score"))
 
 
 @query(
     "a03_recovery_evidence",
-    f"""with {RECOVERY_PAIRS_SQL}, r as (select *, row_number() over (partition by track_id order by score desc, target_id) as a,
-      row_number() over (partition by domain, camera_id, attempt, target_id order by score desc, track_id desc) as b from pairs)
-    select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score, round(support, 6) as support
-    from r join support using (track_id, target_id) where (a <= 2 or b <= 2) and score >= {THRESHOLD}""",
+    f"""with {RECOVERY_PAIRS_SQL} select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score, round(support, 6) as support
+    from pairs join support using (track_id, target_id) where score >= {THRESHOLD}""",
 )
 def recovery_evidence(spark, sf):
-    refs, cands, pairs = recovery_pairs(spark, sf, THRESHOLD)
+    refs, cands, pairs = recovery_pairs(spark, sf, THRESHOLD, every=True)
     evidence = with_support(refs, cands, pairs.where(F.col("score") >= THRESHOLD))
     return evidence.select(
         "domain",
@@ -207,7 +196,7 @@ def bank_diagnostics(spark, sf):
 
 
 _ALL_PAIRS = """pairs as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same_label,
-    round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score
+    list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as score
   from embeddings a join embeddings b on a.vec_id < b.vec_id)"""
 
 
@@ -217,29 +206,34 @@ def _samples(spark, sf):
 
 @query(
     "a07_pair_histogram",
-    f"with {_ALL_PAIRS} select same_label, score, count(*) as pairs from pairs group by 1, 2",
+    f"""with {_ALL_PAIRS} select same_label, cast(round(score * {calibration.CELLS}) as bigint) as cell, count(*) as pairs, round(min(score), 9) as low, round(max(score), 9) as high
+      from pairs group by 1, 2""",
 )
 def pair_histogram(spark, sf):
-    return calibration.pair_histogram(_samples(spark, sf)).select("same_label", "score", "pairs")
+    found = calibration.pair_histogram(_samples(spark, sf))
+    return found.select("same_label", "cell", "pairs", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(
     "a08_pair_distribution",
-    f"""with {_ALL_PAIRS} select same_label, count(*) as n_pairs, min(score) as min, round(quantile_cont(score, 0.1), 10) as p10,
+    f"""with {_ALL_PAIRS} select same_label, count(*) as n_pairs, round(min(score), 10) as min, round(quantile_cont(score, 0.1), 10) as p10,
       round(quantile_cont(score, 0.5), 10) as median, round(avg(score), 8) as mean, round(quantile_cont(score, 0.9), 10) as p90,
-      round(quantile_cont(score, 0.95), 10) as p95, max(score) as max from pairs group by 1""",
+      round(quantile_cont(score, 0.95), 10) as p95, round(max(score), 10) as max from pairs group by 1""",
 )
 def pair_distribution(spark, sf):
-    return calibration.distribution(calibration.pair_histogram(_samples(spark, sf)))
+    out = calibration.distribution(_samples(spark, sf))
+    exact = [F.round(c, 10).alias(c) for c in ("min", "p10", "median", "p90", "p95", "max")]
+    return out.select("same_label", "n_pairs", *exact, F.round("mean", 8).alias("mean"))
 
 
 @query(
     "a09_hardest_pairs",
     f"""with {_ALL_PAIRS}, r as (select *, row_number() over (partition by same_label order by case when same_label then score else -score end, a, b) as rn from pairs)
-    select case when same_label then 'hardest_positive' else 'hardest_negative' end as kind, score, a, b from r where rn = 1""",
+    select case when same_label then 'hardest_positive' else 'hardest_negative' end as kind, round(score, 10) as score, a, b from r where rn = 1""",
 )
 def hardest_pairs(spark, sf):
-    return calibration.hardest_pairs(calibration.pair_histogram(_samples(spark, sf)))
+    found = calibration.hardest_pairs(calibration.pair_histogram(_samples(spark, sf)))
+    return found.withColumn("score", F.round("score", 10))
 
 
 @query(

@@ -138,20 +138,21 @@ def test_calibration_counts_pairs(spark, block):
     hist = calibration.pair_histogram(df, block=block).persist()
     pos, neg = [], []
     for (na, la, a), (nb, lb, b) in itertools.combinations(samples, 2):
-        (pos if la == lb else neg).append((round(cos(a, b), 6), na, nb))
-    stats = {r.same_label: r for r in calibration.distribution(hist).collect()}
+        (pos if la == lb else neg).append((cos(a, b), na, nb))
+    stats = {r.same_label: r for r in calibration.distribution(df, block=block).collect()}
     for flag, values in ((True, pos), (False, neg)):
         s = np.array([v for v, _, _ in values])
         assert stats[flag].n_pairs == len(s)
         for name, q in (("p10", 10), ("median", 50), ("p90", 90), ("p95", 95)):
-            assert stats[flag][name] == pytest.approx(np.percentile(s, q), abs=1e-8)
+            assert stats[flag][name] == pytest.approx(np.percentile(s, q), abs=1e-12)
+        assert (stats[flag].min, stats[flag].max) == pytest.approx((s.min(), s.max()), abs=1e-12)
     hard = {r.kind: (r.a, r.b) for r in calibration.hardest_pairs(hist).collect()}
     assert hard == {"hardest_positive": min(pos)[1:], "hardest_negative": max(neg)[1:]}
 
 
 def test_known_calibration_case(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.0, 1.0])], "name string, label bigint, embedding array<double>")
-    got = {r.same_label: (r.n_pairs, r.min, r.max) for r in calibration.distribution(calibration.pair_histogram(df)).collect()}
+    got = {r.same_label: (r.n_pairs, r.min, r.max) for r in calibration.distribution(df).collect()}
     assert got == {True: (1, 1.0, 1.0), False: (2, 0.0, 0.0)}
 
 
@@ -175,3 +176,5 @@ def test_sampling_spreads_over_cameras(spark):
     assert rows(counts.select("n", "c")) == [(4, 4)] * 3
     assert calibration.sampling_shortage(df, F.lit(True), 6, 4).first()["eligible"] == 5
     assert calibration.sampling_shortage(df, F.lit(True), 5, 4).count() == 0
+    with pytest.raises(ValueError, match="5 identities"):
+        calibration.balanced_sample(df, F.lit(True), 6, 4, "42")
