@@ -4,6 +4,9 @@ A frame normally holds a handful of boxes and an equi-join on the frame is the b
 A frame with very many boxes would make that join quadratic in one task; such frames are
 joined by grid cell instead, over *distinct* boxes, so neither a crowded frame nor a pile
 of identical boxes is paired up in one place.  Both ways give the same numbers.
+
+Crowded frames are found by a count per frame that is combined before the shuffle; usually
+there are none, and the plan is the plain join alone.
 """
 
 from __future__ import annotations
@@ -11,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline.functions import geometry as g
+from sightline.session import cut_lineage
 
 DENSE_FRAME = 256
+LIMITLESS = 2**31 - 1
+# Up to this many crowded frames are broadcast to mark their boxes.
+BROADCAST_FRAMES = 50_000
 CELL = 96.0
 MAX_CELL = 63
 
@@ -28,6 +35,22 @@ def _cells(low: Column, high: Column) -> Column:
     return F.sequence(index(low), index(high))
 
 
+def _split_crowded(boxes: DataFrame, keys: list[str], dense: int) -> tuple[DataFrame, DataFrame | None]:
+    """Boxes of usual groups, and those of groups with more than ``dense`` boxes, if any.
+
+    Groups with a null key pair up with nothing and count as usual.
+    """
+    if dense >= LIMITLESS:
+        return boxes, None
+    named = boxes.select(*keys).dropna()
+    crowded = cut_lineage(named.groupBy(*keys).count().where(F.col("count") > dense).select(*keys))
+    n = crowded.limit(BROADCAST_FRAMES + 1).count()
+    if not n:
+        return boxes, None
+    marks = F.broadcast(crowded) if n <= BROADCAST_FRAMES else crowded
+    return boxes.join(marks, keys, "left_anti"), boxes.join(marks, keys, "left_semi")
+
+
 def _by_frame(boxes: DataFrame, keys: list[str], id_col: str, ratio, needed: str) -> DataFrame:
     a = boxes.alias("a")
     b = boxes.select(*keys, id_col, "x1", "y1", "x2", "y2").alias("b")
@@ -83,15 +106,11 @@ def max_overlap(
     ``needed`` limits for which boxes the value is wanted (others get zero); every box
     still counts as a partner.  Boxes must be finite and unique per ``(keys, id_col)``.
     """
-    crowd = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    counted = boxes.withColumn(
-        "_needed", F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
-    ).withColumn("_crowd", crowd)
-    usual = counted.where(F.col("_crowd") <= dense).drop("_crowd")
-    busy = counted.where(F.col("_crowd") > dense).drop("_crowd")
-    result = _by_frame(usual, keys, id_col, ratio, "_needed").unionByName(
-        _by_cell(busy, keys, id_col, ratio, "_needed")
-    )
+    marked = boxes.withColumn("_needed", F.lit(True) if needed is None else F.coalesce(needed, F.lit(False)))
+    usual, busy = _split_crowded(marked, keys, dense)
+    result = _by_frame(usual, keys, id_col, ratio, "_needed")
+    if busy is not None:
+        result = result.unionByName(_by_cell(busy, keys, id_col, ratio, "_needed"))
     return result.drop("_needed")
 
 
@@ -107,12 +126,7 @@ def touching_pairs(
     first = left.withColumn("_side", F.lit(1))
     stacked = first if right is None else first.unionByName(right.withColumn("_side", F.lit(2)))
     # Both sides must agree on what is crowded, so they are counted together.
-    busy = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > dense
-    counted = stacked.withColumn("_busy", busy)
-    usual, crowded = counted.where(~F.col("_busy")), counted.where("_busy")
-    for axis in ("x", "y"):
-        cells = _cells(F.col(f"{axis}1"), F.col(f"{axis}2"))
-        crowded = crowded.withColumn(f"_{axis}", F.array_min(cells)).withColumn(f"_c{axis}", F.explode(cells))
+    usual, crowded = _split_crowded(stacked, keys, dense)
 
     rest = [c for c in left.columns if c not in keys]
 
@@ -127,6 +141,12 @@ def touching_pairs(
             *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in "ab" for c in rest],
         )
 
+    if crowded is None:
+        return join(usual, keys)
+    for axis in ("x", "y"):
+        cells = _cells(F.col(f"{axis}1"), F.col(f"{axis}2"))
+        crowded = crowded.withColumn(f"_{axis}", F.array_min(cells)).withColumn(f"_c{axis}", F.explode(cells))
+
     def first_shared(axis: str) -> Column:
         return F.col(f"a._c{axis}") == F.greatest(F.col(f"a._{axis}"), F.col(f"b._{axis}"))
 
@@ -145,19 +165,41 @@ def overlap_partners(
 ) -> DataFrame:
     """Per box its strongest partners at or above ``trigger``: ``(ratio desc, id)``.
 
-    Only touching boxes are partners.
+    Only touching boxes are partners.  In a crowded group equal boxes are one shape that
+    keeps its first ids only: later ids of a shape never are among the first ``limit``.
     """
     slim = boxes.select(*keys, id_col, "x1", "y1", "x2", "y2")
-    pairs = touching_pairs(slim, None, keys, dense).where(F.col(f"a_{id_col}") != F.col(f"b_{id_col}"))
-    scored = pairs.select(
+    usual, crowded = _split_crowded(slim, keys, dense)
+    scored = _ranked_pairs(touching_pairs(usual, None, keys, LIMITLESS), keys, id_col, ratio, trigger, limit)
+    if crowded is None:
+        return scored
+    corners = ["x1", "y1", "x2", "y2"]
+    first_ids = Window.partitionBy(*keys, *corners).orderBy(id_col)
+    heads = crowded.withColumn("_n", F.row_number().over(first_ids)).where(F.col("_n") <= limit + 1).drop("_n")
+    shapes = heads.groupBy(*keys, *corners).agg(F.sort_array(F.collect_list(id_col)).alias("_ids"))
+    # A shape meets itself too: its boxes are partners of each other.
+    near = touching_pairs(shapes, None, keys, 0)
+    value = ratio(g.box("a_"), g.box("b_"))
+    near = near.withColumn("ratio", value).where(F.col("ratio") >= trigger)
+    best = Window.partitionBy(*keys, *[f"a_{c}" for c in corners]).orderBy(F.desc("ratio"), F.col("b__ids")[0])
+    # One more than the limit, as a box is not its own partner.
+    near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit + 1)
+    near = near.select(*keys, *[F.col(f"a_{c}").alias(c) for c in corners], "ratio", F.col("b__ids").alias("_ids"))
+    found = crowded.join(near, [*keys, *corners]).withColumn("partner_id", F.explode("_ids"))
+    found = found.where(F.col("partner_id") != F.col(id_col)).select(*keys, id_col, "partner_id", "ratio")
+    return scored.unionByName(_top(found, keys, id_col, limit))
+
+
+def _top(found: DataFrame, keys: list[str], id_col: str, limit: int) -> DataFrame:
+    order = Window.partitionBy(*keys, id_col).orderBy(F.desc("ratio"), "partner_id")
+    return found.withColumn("partner_rank", F.row_number().over(order)).where(F.col("partner_rank") <= limit)
+
+
+def _ranked_pairs(pairs: DataFrame, keys: list[str], id_col: str, ratio, trigger: float, limit: int) -> DataFrame:
+    scored = pairs.where(F.col(f"a_{id_col}") != F.col(f"b_{id_col}")).select(
         *keys,
         F.col(f"a_{id_col}").alias(id_col),
         F.col(f"b_{id_col}").alias("partner_id"),
         ratio(g.box("a_"), g.box("b_")).alias("ratio"),
     )
-    order = Window.partitionBy(*keys, id_col).orderBy(F.desc("ratio"), "partner_id")
-    return (
-        scored.where(F.col("ratio") >= trigger)
-        .withColumn("partner_rank", F.row_number().over(order))
-        .where(F.col("partner_rank") <= limit)
-    )
+    return _top(scored.where(F.col("ratio") >= trigger), keys, id_col, limit)

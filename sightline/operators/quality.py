@@ -68,7 +68,8 @@ def assess(
     judged by the limits of its ``domain``, in one pass.
     """
     policies = {policy.domain: policy} if isinstance(policy, QualityPolicy) else policy
-    keys = [*(keys or ["camera_id", "frame_index"]), "_domain"]
+    # Strangers have no group, so they are nobody's partner and pass through in the same pass.
+    keys = [*(keys or ["camera_id", "frame_index"]), "_group"]
     corners = ("x1", "y1", "x2", "y2")
     fw, fh = F.col("frame_width"), F.col("frame_height")
     rest = [c for c in tracks.columns if c not in corners]
@@ -76,15 +77,18 @@ def assess(
     wanted = F.lit(next(iter(policies))) if len(policies) == 1 else F.col("domain")
     marked = tracks.withColumn("_domain", wanted)
     own = F.coalesce((of_class == F.col("_domain")) & F.col("_domain").isin(*policies), F.lit(False))
-    cropped = marked.withColumn("crop", g.outer_crop(g.box(), fw, fh))
+    cropped = marked.withColumn("crop", g.outer_crop(g.box(), fw, fh)).withColumn(
+        "_group", F.when(own, F.col("_domain"))
+    )
     limit = _limits(policies)
 
     # Everything that needs no partner is settled before the shuffle, in small stages: a
     # column that is used often is computed once and not pasted into every use.
-    finite = cropped.where(own).withColumn("_finite", g.all_finite(*g.box()))
+    finite = cropped.withColumn("_finite", g.all_finite(*g.box()))
     raw = finite.select(
         *rest,
         "_domain",
+        "_group",
         "crop",
         *[F.col(n).alias(f"raw_{n}") for n in corners],
         *[F.when(F.col("_finite"), F.col(n)).otherwise(F.lit(0.0)).alias(n) for n in corners],
@@ -100,23 +104,17 @@ def assess(
         .withColumn("_small", F.coalesce(small, F.lit(True)))
         .drop("_raw_area", "_kept_area")
     )
-    boxes = max_overlap(prepared, keys, needed=F.col("_early").isNull(), dense=dense)
+    judged = F.col("_group").isNotNull()
+    boxes = max_overlap(prepared, keys, needed=judged & F.col("_early").isNull(), dense=dense)
     reason = (
-        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        F.when(~judged, F.concat(F.lit("not_"), F.coalesce("_domain", F.lit("known"))))
+        .when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col("overlap") > limit["max_overlap"], F.concat(F.col("_domain"), F.lit("_overlap")))
         .when(F.col("_small"), "small_crop")
     )
-    judged = boxes.select(
+    return boxes.select(
         *rest, *[F.col(f"raw_{n}").alias(n) for n in corners], "overlap", "crop", reason.alias("reason")
     )
-    strangers = cropped.where(~own).select(
-        *rest,
-        *corners,
-        F.lit(0.0).alias("overlap"),
-        "crop",
-        F.concat(F.lit("not_"), F.coalesce("_domain", F.lit("known"))).alias("reason"),
-    )
-    return judged.unionByName(strangers)
 
 
 def plate_gate(observations: DataFrame, policy: PlatePolicy) -> DataFrame:

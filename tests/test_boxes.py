@@ -172,6 +172,23 @@ def test_partners_of_crowded_frames(spark, dense):
     assert got == plain and got
 
 
+def test_a_pile_of_equal_boxes_is_not_paired_up(spark):
+    """20 000 copies of a box in one frame: two shapes meet, not 4 * 10**8 boxes."""
+    pile = spark.range(20_000).select(
+        F.lit("a").alias("camera_id"), F.lit(0).alias("frame_index"), F.col("id").alias("track_id"),
+        *[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (0.0, 0.0, 50.0, 50.0))],
+    )
+    one = pile.limit(1).withColumn("track_id", F.lit(10**6)).withColumn("x2", F.lit(25.0))
+    every, keys = pile.unionByName(one), ["camera_id", "frame_index"]
+    most = overlap.max_overlap(every, keys)
+    assert rows(most.groupBy("overlap").count()) == [(1.0, 20_001)]
+    found = overlap.overlap_partners(every, keys, 0.1, 3)
+    assert found.count() == 3 * 20_001
+    # The half box lies wholly inside the others, so all ratios are equal and ids decide.
+    assert rows(found.where("track_id = 7").select("partner_rank", "partner_id")) == [(1, 0), (2, 1), (3, 2)]
+    assert rows(found.where("track_id = 1").select("partner_rank", "partner_id")) == [(1, 0), (2, 2), (3, 3)]
+
+
 def test_parse_filter_drops_nan_and_infinity(spark):
     df = boxes(spark, (1, (0, 0, 5, 5), 0.5), (2, (float("inf"), 0, 5, 5), 0.5), (3, (0, 0, 5, 5), float("nan")))
     kept = quality.parse_filter(df, (0,), ["x1", "y1", "x2", "y2", "conf"])
