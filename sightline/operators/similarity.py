@@ -1,9 +1,11 @@
 """Cosine scores between two sets of vectors, or inside one set, by blocks.
 
-Neither side is broadcast and no pair table is built.  Rows are cut into blocks of a
-bounded size by a hash of their id; a task receives one block of each side, multiplies
-the two matrices and keeps only what the caller can still use.  A camera, label or
-identity that holds a large share of all rows simply has more blocks.
+No pair table is built.  Targets whose vectors were measured to fit ``BROADCAST_BYTES`` are
+broadcast and multiplied with the candidates where these lie, so no candidate moves.
+Beyond that rows are cut into blocks of a bounded size by a hash of their id; a task
+receives one block of each side, multiplies the two matrices and keeps only what the
+caller can still use.  A camera, label or identity that holds a large share of all rows
+simply has more blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEFT_BLOCK = 1024
 RIGHT_BLOCK = 4096
+# A candidate block of the large case: a target is copied once per so many candidates.
+WIDE_BLOCK = 16_384
+# Most bytes of target vectors (as doubles) that are broadcast.
+BROADCAST_BYTES = 64 << 20
 SLACK = 1e-9
 _EPS = 1.1920928955078125e-07
 
@@ -72,8 +78,9 @@ def scored_pairs(
     plates: bool = False,
     every: bool = False,
     ids: tuple[str, ...] = ("attempt", "track_id"),
-    left_block: int = LEFT_BLOCK,
+    left_block: int = WIDE_BLOCK,
     right_block: int = RIGHT_BLOCK,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Scores that can take part in a match, out of all candidate/target pairs.
 
@@ -91,40 +98,21 @@ def scored_pairs(
     if every and floor is None:
         raise ValueError("every needs a floor")
     limit = -np.inf if floor is None else floor - SLACK
-    n_left = candidates.groupBy(*same).agg(
-        F.ceil(F.count(F.lit(1)) / left_block).cast("int").alias("_nl")
-    )
-    n_right = targets.groupBy(*same).agg(
-        F.ceil(F.count(F.lit(1)) / right_block).cast("int").alias("_nr")
-    )
-    sizes = n_left.join(n_right, same)
-
-    def place(df: DataFrame, id_cols: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        spread = df.join(sizes, same)
-        return (
-            spread.withColumn(names[0], F.pmod(F.xxhash64(*id_cols), F.col(own)).cast("int"))
-            .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_nl", "_nr")
-        )
-
-    left_cols = [*same, *ids, "embedding"] + (["plate"] if plates else [])
-    right_cols = [*same, "target_id", "centroid"] + (["plate_number"] if plates else [])
-    left = place(candidates.select(*left_cols), list(ids), "_nl", "_nr", ("_lb", "_rb"))
-    right = place(targets.select(*right_cols), ["target_id"], "_nr", "_nl", ("_rb", "_lb"))
-
     types = dict(candidates.dtypes)
     out_types = [(c, types[c]) for c in [*same, *ids]]
     schema = ", ".join(f"`{c}` {t}" for c, t in out_types)
     schema += f", target_id {dict(targets.dtypes)['target_id']}, score double"
     columns = [*same, *ids, "target_id", "score"]
 
-    def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame, rights: dict | None = None) -> pd.DataFrame:
         parts = []
         if len(lpdf) and len(rpdf):
             if not every:
                 lpdf = lpdf.sort_values(["attempt", "track_id"], ascending=[True, not later_wins])
-            rpdf = rpdf.rename(columns=lambda c: c.removeprefix("r_")).sort_values("target_id")
-            lefts, rights = _units(lpdf["embedding"]), _units(rpdf["centroid"])
+            if rights is None:
+                rpdf = rpdf.rename(columns=lambda c: c.removeprefix("r_")).sort_values("target_id")
+                rights = _units(rpdf["centroid"])
+            lefts = _units(lpdf["embedding"])
             for dim in lefts.keys() & rights.keys():
                 lrows, lmat = lefts[dim]
                 rrows, rmat = rights[dim]
@@ -146,14 +134,65 @@ def scored_pairs(
             return nothing(columns)
         return pd.concat(parts)[columns]
 
+    left_cols = [*same, *ids, "embedding"] + (["plate"] if plates else [])
+    right_cols = [*same, "target_id", "centroid"] + (["plate_number"] if plates else [])
+    candidates, targets = candidates.select(*left_cols), targets.select(*right_cols)
+    if _vector_bytes(targets) <= broadcast_bytes:
+        shared = candidates.sparkSession.sparkContext.broadcast(_by_key(targets, same))
+
+        def against_all(batches):
+            for pdf in batches:
+                for key, part in pdf.groupby(same, sort=False):
+                    known = shared.value.get(key)
+                    if known is not None:
+                        yield score(part, *known)
+
+        return candidates.dropna(subset=same).mapInPandas(against_all, schema)
+
+    n_left = candidates.groupBy(*same).agg(
+        F.ceil(F.count(F.lit(1)) / left_block).cast("int").alias("_nl")
+    )
+    n_right = targets.groupBy(*same).agg(
+        F.ceil(F.count(F.lit(1)) / right_block).cast("int").alias("_nr")
+    )
+    sizes = n_left.join(n_right, same)
+
+    def place(df: DataFrame, id_cols: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        spread = df.join(sizes, same)
+        return (
+            spread.withColumn(names[0], F.pmod(F.xxhash64(*id_cols), F.col(own)).cast("int"))
+            .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_nl", "_nr")
+        )
+
+    left = place(candidates, list(ids), "_nl", "_nr", ("_lb", "_rb"))
+    right = place(targets, ["target_id"], "_nr", "_nl", ("_rb", "_lb"))
     # Both sides often come from one table; fresh names keep their keys apart.
     on = [*same, "_lb", "_rb"]
     renamed = right.toDF(*[f"r_{c}" for c in right.columns])
     return (
-        left.groupBy(*on).cogroup(renamed.groupBy(*[f"r_{c}" for c in on])).applyInPandas(score, schema)
+        left.groupBy(*on)
+        .cogroup(renamed.groupBy(*[f"r_{c}" for c in on]))
+        .applyInPandas(lambda lpdf, rpdf: score(lpdf, rpdf), schema)
     )
 
 
+def _vector_bytes(targets: DataFrame) -> int:
+    """Size of all target vectors as doubles; one number."""
+    size = targets.agg(F.sum(F.greatest(F.size("centroid"), F.lit(1)) * 8).alias("n")).first()["n"]
+    return size or 0
+
+
+def _by_key(targets: DataFrame, same: list[str]) -> dict[tuple, tuple[pd.DataFrame, dict]]:
+    """Targets per key with their unit vectors; only called after their size was checked."""
+    pdf = pd.DataFrame([tuple(r) for r in targets.toLocalIterator()], columns=targets.columns)
+    found = {}
+    for key, part in pdf.dropna(subset=same).sort_values("target_id").groupby(same, sort=False):
+        part = part.reset_index(drop=True)
+        found[key] = (part, _units(part["centroid"]))
+    return found
+
+
 def block_grid(df: DataFrame, keys: list[str], block_of: Column, blocks: Column) -> DataFrame:
     """Copy every row to each block pair it takes part in: ``_lo <= _hi``, own ``_b``."""
     return (

@@ -65,7 +65,7 @@ def cos(a, b):
     return float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
 
 
-@pytest.mark.parametrize("blocks", [(3, 2), (1000, 1000)])
+@pytest.mark.parametrize("blocks", [(3, 2, 0), (1000, 1000, 0), (1000, 1000, 1 << 20)])
 @pytest.mark.parametrize("plates", [False, True])
 def test_sparse_scores_lead_to_the_same_matches(spark, blocks, plates):
     rng = np.random.default_rng(4)
@@ -84,11 +84,18 @@ def test_sparse_scores_lead_to_the_same_matches(spark, blocks, plates):
         want += [(attempt, t, c) for t, c in greedy_model(scores, 0.3, 0.05, False)]
     for floor in (0.25, None):
         pairs = similarity.scored_pairs(
-            cdf, tdf, ["domain"], floor, plates=plates, left_block=blocks[0], right_block=blocks[1]
+            cdf, tdf, ["domain"], floor, plates=plates, left_block=blocks[0], right_block=blocks[1], broadcast_bytes=blocks[2]
         )
         got = matching.margin_match(pairs, ["domain", "attempt"], 0.3, 0.05)
         assert rows(got.select("attempt", "target_id", "track_id")) == sorted(want)
     assert want
+    every = similarity.scored_pairs(
+        cdf, tdf, ["domain"], -1.0, plates=plates, every=True, left_block=blocks[0], right_block=blocks[1], broadcast_bytes=blocks[2]
+    )
+    fit = [
+        (a, c, t) for (_, t, v, q), (_, a, c, e, p) in itertools.product(targets, cands[:30]) if not (plates and p and q and p != q)
+    ]
+    assert rows(every.select("attempt", "track_id", "target_id")) == sorted(fit)
 
 
 def test_hot_group_of_copies_stays_small(spark):
@@ -96,7 +103,7 @@ def test_hot_group_of_copies_stays_small(spark):
     same = [("p", 0, i, [1.0, 0.0]) for i in range(200)]
     cdf = spark.createDataFrame(same, "domain string, attempt bigint, track_id bigint, embedding array<double>")
     tdf = spark.createDataFrame([("p", 1, [1.0, 0.0])], "domain string, target_id bigint, centroid array<double>")
-    pairs = similarity.scored_pairs(cdf, tdf, ["domain"], None, left_block=50)
+    pairs = similarity.scored_pairs(cdf, tdf, ["domain"], None, left_block=50, broadcast_bytes=0)
     # Every candidate keeps its best target; nothing is matched because of the margin.
     assert pairs.count() == 200
     assert matching.margin_match(pairs, ["domain", "attempt"], 0.5, 0.05).count() == 0
