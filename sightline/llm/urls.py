@@ -92,13 +92,12 @@ def templates(pages: DataFrame, host: str, path: str, label: str, *, depth: int
     nodes = cut_lineage(nodes)
 
     top = nodes.where("d = 0")
-    prior = top.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("l"), F.lit(0)) + 2)).alias("prior"))
+    # Two sums over all hosts go to the driver.
+    sums = top.agg(F.sum("b").alias("b"), F.sum("l").alias("l")).first()
+    prior = ((sums.b or 0) + 1) / ((sums.l or 0) + 2)
     a = F.lit(smoothing)
-    # One row is broadcast.
-    known = top.crossJoin(F.broadcast(prior)).select(
-        "host", "prefix", F.lit("").alias("template"), ((F.col("b") + a * F.col("prior")) / (F.col("l") + a)).alias("blocked")
-    )
-    known = cut_lineage(known)
+    share = (F.col("b") + a * F.lit(prior)) / (F.col("l") + a)
+    known = cut_lineage(top.select("host", "prefix", F.lit("").alias("template"), share.alias("blocked")))
     levels = [known]
     for d in range(1, depth + 1):
         above = levels[-1].select("host", F.col("prefix").alias("parent"), F.col("template").alias("base"), F.col("blocked").alias("p"))
