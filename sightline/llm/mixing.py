@@ -1,8 +1,9 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-DataFrame functions only. Every source is cut into ``BLOCKS`` blocks by a digest of the
-document id; sizes are summed per block (combined before the shuffle), so a source of any
-share of the rows is at most ``BLOCKS`` rows from then on. Sources get targets in words by
+DataFrame functions only. The number of shards grows with the bytes of text, the number of
+blocks of a source with the number of shards. Documents go to blocks by a digest of their id;
+sizes are summed per block (combined before the shuffle), so what follows works on blocks,
+however large a source's share of the rows is. Sources get targets in words by
 weight, up to ``most`` times their size; the excess is shared again by weight (the level at
 which the targets add up is found in closed form). A source is drawn in passes: whole passes
 take every block, the last pass takes blocks in permuted order until the rest of its target
@@ -33,8 +34,9 @@ from sightline.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCKS = 1024
-SHARDS = 16
+#: Least number of shards and of blocks of a source; bytes of a shard; blocks for each shard.
+SHARDS, BLOCKS = 16, 1024
+SHARD_BYTES, BLOCKS_PER_SHARD = 128 << 20, 32
 WORD = r"[^\x20\x09-\x0D]+"
 #: Outcomes so many standard deviations from the mode have no weight in double precision.
 REACH = 12
@@ -147,7 +149,7 @@ def draw(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = 1,
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
@@ -158,6 +160,8 @@ def draw(
 
     ``shards`` lists the shard of each copy that the mix takes; ``taken`` is its words.
     """
+    shards = shards or _shards(docs, text, share)
+    n_blocks = max(BLOCKS, BLOCKS_PER_SHARD * shards)
     names = {n: fresh(docs.columns, n) for n in ("missing", "source_key", "words", "block", "rank", "running", "plan")}
     missing, key, words, block, rank, running, plan = names.values()
     rows = docs.withColumns(
@@ -165,7 +169,7 @@ def draw(
             missing: F.col(source).isNull(),
             key: F.coalesce(F.col(source).cast("string"), F.lit("")),
             words: F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-            block: F.pmod(digest("block", str(seed), F.col(doc_id)), F.lit(BLOCKS)).cast("int"),
+            block: F.pmod(digest("block", str(seed), F.col(doc_id)), F.lit(n_blocks)).cast("int"),
         }
     )
     summed = rows.groupBy(F.col(missing).alias("missing"), F.col(key).alias("source"), F.col(block).alias("block"))
@@ -183,13 +187,16 @@ def draw(
     quotas = sources.select("place", "missing", "source").join(
         planned.groupBy("missing", "source").agg(F.sum("draws").alias("blocks")), ["missing", "source"]
     )
-    cuts = split(quotas, shards, seed).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("shard", "upto"))).alias("cuts"))
+    cuts = split(quotas, shards, seed).select("place", F.col("upto").alias("lot"), F.lit(1).alias("cut"))
     turns = planned.where("draws > 0").select(
         "place", "missing", "source", "block", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("turn")
     )
     by_lot = Window.partitionBy("place").orderBy(digest("lot", str(seed), F.col("source"), F.col("block"), F.col("turn")), "block", "turn")
-    dealt = turns.withColumn("lot", F.row_number().over(by_lot) - 1).join(cuts, "place")
-    dealt = dealt.withColumn("shard", F.expr("size(filter(cuts, c -> c.upto <= lot))"))
+    turns = turns.withColumn("lot", F.row_number().over(by_lot) - 1).withColumn("cut", F.lit(0))
+    # A draw's shard is the number of cuts up to its lot.
+    along = Window.partitionBy("place").orderBy("lot", F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = turns.unionByName(cuts, allowMissingColumns=True).withColumn("shard", F.sum("cut").over(along).cast("int"))
+    dealt = dealt.where("cut = 0")
     dealt = dealt.groupBy("missing", "source", "block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "shard"))), lambda t: t["shard"]).alias("shards")
     )
@@ -217,11 +224,21 @@ def draw(
     return rows.select(*docs.columns, mix.alias(result))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", seed: int = 1, shards: int = SHARDS, **options) -> DataFrame:
+def _shards(docs: DataFrame, text: str, share: float) -> int:
+    """Shards of about ``SHARD_BYTES`` each; one sum goes to the driver."""
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(SHARDS, ceil(share * size / SHARD_BYTES))
+
+
+def mix(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed: int = 1, shards: int | None = None,
+    share: float = SHARE, **options,
+) -> DataFrame:
     """The mix itself: a row per copy taken, with its ``shard``, in random order within shards."""
+    shards = shards or _shards(docs, text, share)
     name, copy = fresh(docs.columns, "mix"), fresh(docs.columns, "copy")
     shard = fresh(docs.columns, "shard")
-    drawn = draw(docs, doc_id=doc_id, seed=seed, shards=shards, result=name, **options)
+    drawn = draw(docs, doc_id=doc_id, text=text, seed=seed, shards=shards, share=share, result=name, **options)
     copies = drawn.select(*docs.columns, F.posexplode(F.col(name)["shards"]).alias(copy, shard))
     order = digest("place", str(seed), F.col(shard), F.col(copy), F.col(doc_id))
     return copies.repartition(shards, shard).sortWithinPartitions(shard, order).drop(copy)

@@ -19,7 +19,8 @@ SQL = rf"""
 with d as materialized (
   select doc_id, source is null as missing, coalesce(source, '') as source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    {_digest("'block'", "'1'", "coalesce(cast(doc_id as varchar), '')")} % 1024 as block,
+    {_digest("'block'", "'1'", "coalesce(cast(doc_id as varchar), '')")} % greatest({mixing.BLOCKS},
+      {mixing.BLOCKS_PER_SHARD} * greatest({mixing.SHARDS}, ceil(1.5::double * (select coalesce(sum(strlen(text)), 0) from documents) / {mixing.SHARD_BYTES})::bigint)) as block,
     {_digest("'rank'", "'1'", "coalesce(cast(doc_id as varchar), '')")} as rank
   from documents),
 s as (
