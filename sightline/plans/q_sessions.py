@@ -70,7 +70,42 @@ def session_inputs(spark, sf):
     )
 
 
-@query("t01_target_lifecycle")
+# One command after another, with the targets so far as a list.
+_LIFECYCLE = f"""{d.TRACKS_SQL}, c as (
+  select camera_id, domain, frame_index, track_id, ['select', 'correct', 'invalidate', 'recover', 'remove', 'select'][k % 6 + 1] as command,
+    k % 9 + 1 as target_id, k % 8 <> 0 as right_class, row_number() over (partition by camera_id, domain order by frame_index, track_id) as n from tracks),
+walk as (
+  select distinct camera_id, domain, 0::bigint as n, []::struct(id bigint, active boolean, track bigint)[] as targets, 1::bigint as next_id,
+    0::bigint as lost_count, 0::bigint as recovered_count, ''::varchar as outcome, 0::bigint as held_target from c
+  union all
+  select camera_id, domain, n,
+    case outcome when 'selected' then list_append(targets, {{'id': next_id, 'active': true, 'track': track_id}})
+      when 'removed' then list_filter(targets, lambda t: t.id <> owner)
+      when 'invalidated' then list_transform(targets, lambda t: case when t.id = target_id then {{'id': t.id, 'active': false, 'track': null::bigint}} else t end)
+      when 'corrected' then list_transform(targets, lambda t: case when t.id = target_id then {{'id': t.id, 'active': true, 'track': track_id}} else t end)
+      when 'recovered' then list_transform(targets, lambda t: case when t.id = target_id then {{'id': t.id, 'active': true, 'track': track_id}} else t end)
+      else targets end,
+    next_id + (outcome = 'selected')::int, lost_count + (outcome = 'invalidated')::int, recovered_count + (outcome = 'recovered')::int, outcome,
+    case outcome when 'already_selected' then owner when 'selected' then next_id when 'not_selected' then -1 when 'removed' then owner else target_id end
+  from (select *, case
+      when command = 'select' then case when owner is not null then 'already_selected' else 'selected' end
+      when command = 'remove' then case when owner is null then 'not_selected' else 'removed' end
+      when wanted is null then 'unknown_target'
+      when command = 'recover' and wanted.active then 'not_lost'
+      when command <> 'recover' and not wanted.active then 'not_active'
+      when command = 'invalidate' then 'invalidated'
+      when command = 'correct' and not right_class then 'wrong_class'
+      when owner is not null and owner <> target_id then 'track_occupied'
+      when command = 'recover' then 'recovered' else 'corrected' end as outcome
+    from (select c.*, w.targets, w.next_id, w.lost_count, w.recovered_count,
+        list_filter(w.targets, lambda t: t.active and t.track = c.track_id)[1].id as owner, list_filter(w.targets, lambda t: t.id = c.target_id)[1] as wanted
+      from walk w join c on c.camera_id = w.camera_id and c.domain = w.domain and c.n = w.n + 1)))"""
+
+
+@query(
+    "t01_target_lifecycle",
+    f"with recursive {_LIFECYCLE} select camera_id, domain, frame_index, track_id, command, c.target_id, right_class, outcome, held_target, lost_count, recovered_count from walk join c using (camera_id, domain, n)",
+)
 def target_lifecycle(spark, sf):
     """Outcomes of a stream of target commands; the target numbers are mostly plausible."""
     k = F.col("k")
@@ -87,7 +122,38 @@ def target_lifecycle(spark, sf):
     return batch.lifecycle(commands, ["camera_id", "domain"], ["frame_index", "track_id"])
 
 
-@query("t02_reference_bank")
+_TRACK_VECTORS_SQL = """e as (select vec_id, embedding, (select count(*) from embeddings) as n from embeddings),
+crops as (select t.camera_id, t.domain, t.track_id, t.frame_index, t.conf >= 0.5 as accepted,
+    list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(cast(p[1] + p[2] * 0.4::double as float) as double)) as v
+  from tracks t join e a on a.vec_id = ((cast(t.camera_id as bigint) * 7 + t.track_id * 3) % greatest(1, a.n // 8)) * 8 join e b on b.vec_id = t.k % b.n),
+ordered as (select * exclude (v), list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v,
+    row_number() over (partition by camera_id, domain, track_id order by frame_index) as n from crops)"""
+_BANK = OPTIONS["person"]["recovery"]
+
+# One crop after another; ``last`` is the frame of the last turn, ``refs`` the bank.
+_REFERENCE_BANK = f"""{d.TRACKS_SQL}, {_TRACK_VECTORS_SQL},
+bank as (
+  select distinct camera_id, domain, track_id, 0::bigint as n, null::bigint as last, []::double[][] as refs, null::double[] as centroid, null::varchar as outcome, null::double as likeness from ordered
+  union all
+  select camera_id, domain, track_id, n, case when outcome is null then last else frame_index end,
+    refs_after, case when outcome in ('started', 'accepted') then list_transform(total, lambda x: x / sqrt(list_sum(list_transform(total, lambda y: y * y)))) else centroid end, outcome, likeness
+  from (select *, case when outcome in ('started', 'accepted') then list_transform(range(1, len(v) + 1), lambda i: coalesce(list_sum(list_transform(refs_after, lambda r: r[i])), 0.0) / greatest(1, len(refs_after))) end as total
+    from (select *, case when outcome in ('started', 'accepted') then list_slice(list_append(refs, v), greatest(1, len(refs) + 2 - {_BANK.bank_size}), len(refs) + 1) else refs end as refs_after
+      from (select *, case
+          when last is null then case when accepted then 'started' end
+          when frame_index - last < {_BANK.reference_interval} then null
+          when not accepted then 'rejected_quality'
+          when s < {_BANK.reference_update_threshold} then 'rejected_likeness' else 'accepted' end as outcome,
+        case when last is null then 1.0 when accepted then s end as likeness
+        from (select o.*, b.last, b.refs, b.centroid, list_sum(list_transform(list_zip(b.centroid, o.v), lambda p: p[1] * p[2])) as s
+          from bank b join ordered o on o.camera_id = b.camera_id and o.domain = b.domain and o.track_id = b.track_id and o.n = b.n + 1)))))"""
+
+
+@query(
+    "t02_reference_bank",
+    f"""with recursive {_REFERENCE_BANK} select o.camera_id, o.domain, o.track_id, o.frame_index, o.accepted, outcome, round(likeness, 6) as likeness, len(refs)::bigint as bank_size
+    from bank join ordered o using (camera_id, domain, track_id, n) where outcome is not null""",
+)
 def reference_bank(spark, sf):
     """Runtime bank of a target that follows each track."""
     tracks = d.tracks(spark, sf)
@@ -98,7 +164,31 @@ def reference_bank(spark, sf):
     return out.drop("embedding", "stored").withColumn("likeness", F.round("likeness", 6))
 
 
-@query("t06_enrichment_bank")
+# Offers one after another; the anchor (first reference) is never replaced.
+_DIVERSE_BANK = f"""{d.GALLERY_SQL}, offers as (
+  select identity_id, embedding_index as turn, vec_id, true as stored, embedding from refs where embedding_index < 4
+  union all select identity_id - case when embedding_index % 2 = 0 then 0 else 1 end, embedding_index + 8, vec_id, false, embedding from refs),
+ordered as (select identity_id, turn, vec_id, stored, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) as v,
+    row_number() over (partition by identity_id order by turn, vec_id) as n from offers where identity_id >= 1),
+bank as (
+  select distinct identity_id, 0::bigint as n, []::double[][] as refs, null::varchar as outcome, null::bigint as slot from ordered
+  union all
+  select identity_id, n, case outcome when 'replaced' then list_transform(refs, lambda r, i: case when i = victim then v else r end)
+      when 'unchanged' then refs else list_append(refs, v) end,
+    outcome, case outcome when 'stored' then len(refs) when 'added' then len(refs) when 'replaced' then victim - 1 else -1 end
+  from (select *, case when stored then 'stored' when len(refs) = 0 then 'added' when near >= 0.95 then 'unchanged' when len(refs) < 6 then 'added'
+      when len(refs) = 1 or near >= worst[victim] then 'unchanged' else 'replaced' end as outcome
+    from (select *, 1 + list_position(list_slice(worst, 2, len(worst)), list_max(list_slice(worst, 2, len(worst)))) as victim
+      from (select o.*, b.refs, list_max(list_transform(b.refs, lambda r: list_dot_product(r, o.v))) as near,
+          list_transform(b.refs, lambda r, i: list_max(list_transform(b.refs, lambda q, j: case when i = j then -2 else list_dot_product(r, q) end))) as worst
+        from bank b join ordered o on o.identity_id = b.identity_id and o.n = b.n + 1))))"""
+
+
+@query(
+    "t06_enrichment_bank",
+    f"""with recursive {_DIVERSE_BANK} select o.identity_id, o.turn, o.vec_id, o.stored, outcome, slot, len(refs)::bigint as bank_size
+    from bank join ordered o using (identity_id, n) where outcome is not null""",
+)
 def enrichment_bank(spark, sf):
     """Half of every bank is stored, all vectors of the table are then offered to it."""
     refs = d.references(spark, sf)
