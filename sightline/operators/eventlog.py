@@ -59,17 +59,21 @@ def feed(log: DataFrame, limit: int) -> DataFrame:
 
 
 def match_events(
-    matches: DataFrame, bindings: DataFrame, plates: DataFrame, event_type: str
+    matches: DataFrame,
+    bindings: DataFrame,
+    plates: DataFrame,
+    event_type: str,
+    keys: tuple[str, ...] = ("camera_id", "domain", "track_id"),
 ) -> DataFrame:
     """Log rows of accepted matches; a target without an identity produces none.
 
-    ``matches``: ``domain``, ``target_id``, ``track_id``, ``frame_index``, ``score``,
+    ``matches``: ``keys``, ``target_id``, ``frame_index``, ``score``,
     ``source_label``; ``bindings``: ``domain``, ``target_id``, ``identity_id``; ``plates``
-    holds the stable plate of a track.  Only vehicles carry a plate.
+    holds the stable plate of a track, one row per ``keys``.  Only vehicles carry a plate.
     """
     named = matches.join(bindings.select("domain", "target_id", "identity_id"), ["domain", "target_id"])
-    known = plates.select("track_id", F.col("plate").alias("_plate"))
-    joined = named.join(known, "track_id", "left")
+    known = plates.select(*keys, F.col("plate").alias("_plate"))
+    joined = named.join(known, list(keys), "left")
     return joined.select(
         "domain",
         "identity_id",

@@ -53,40 +53,55 @@ def vote(readings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confirmations(
-    readings: DataFrame, keys: list[str], policy: PlatePolicy, frame: str = "frame_index"
+    readings: DataFrame,
+    keys: list[str],
+    policy: PlatePolicy,
+    frame: str = "frame_index",
+    epoch: str | None = None,
+    bound: Column | None = None,
 ) -> DataFrame:
-    """First reading that makes a plate stable, per key.
-
-    Votes lapse when the next reading comes more than ``pending_max_age`` frames later, so
-    votes count inside runs.  Until the first confirmation every plate of a run has fewer
-    than ``hits`` votes, hence the plate that reaches it is the leader, and a key with a
-    stable plate is not read again: the earliest such row is the whole answer.
+    """First reading that makes a plate stable, per key and epoch.
+
+    Votes lapse when the next reading comes more than ``pending_max_age`` frames later, and
+    when visibility is interrupted (another ``epoch``), so they count inside runs.  Until the
+    first confirmation every plate of a run has fewer than ``hits`` votes, hence the plate
+    that reaches it is the leader, and a key with a stable plate is not read again: the
+    earliest such row is the whole answer.  An interruption also forgets the stable plate,
+    unless the track is ``bound`` to a target: then the first one stays for good.
     """
-    runs = scan.with_runs(readings, keys, frame, limits={frame: policy.pending_max_age})
-    nth = Window.partitionBy(*keys, "run_no", "plate").orderBy(frame)
+    places = [*keys] if epoch is None else [*keys, epoch]
+    runs = scan.with_runs(readings, places, frame, limits={frame: policy.pending_max_age})
+    nth = Window.partitionBy(*places, "run_no", "plate").orderBy(frame)
     reached = runs.withColumn("_vote", F.row_number().over(nth)).where(F.col("_vote") == policy.hits)
-    first = reached.groupBy(*keys).agg(
-        F.min_by(F.struct(frame, "plate", "conf", "sharpness"), F.col(frame)).alias("c")
-    )
-    return first.select(*keys, f"c.{frame}", "c.plate", "c.conf", "c.sharpness")
+    life = F.lit(None).cast("long")
+    if epoch is not None:
+        life = F.when(~F.coalesce(F.lit(False) if bound is None else bound, F.lit(False)), F.col(epoch).cast("long"))
+    rest = [*([] if epoch is None else [epoch]), frame, "plate", "conf", "sharpness"]
+    first = reached.groupBy(*keys, life.alias("_life")).agg(F.min_by(F.struct(*rest), F.col(frame)).alias("c"))
+    return first.select(*keys, *[f"c.{c}" for c in rest])
+
 
+TRACK = ("camera_id", "domain", "track_id")
 
-def stale_reason(results: DataFrame, states: DataFrame, policy: PlatePolicy) -> DataFrame:
+
+def stale_reason(
+    results: DataFrame, states: DataFrame, policy: PlatePolicy, keys: tuple[str, ...] = TRACK
+) -> DataFrame:
     """Why a late result must not be used; null when it may be.
 
     ``states`` is the state of a track in the frame in which the result arrives
     (``class_id``, ``track_epoch``, ``target_id``, ``stable_plate``); the first reason in
-    order decides.
+    order decides.  Track numbers repeat across cameras, so ``keys`` names the track.
     """
     now = states.select(
-        "track_id",
+        *keys,
         F.col("frame_index").alias("arrive_frame"),
         F.col("class_id").alias("now_class"),
         F.col("track_epoch").alias("now_epoch"),
         F.col("target_id").alias("now_target"),
         F.col("stable_plate").alias("now_plate"),
     )
-    joined = results.join(now, ["track_id", "arrive_frame"], "left")
+    joined = results.join(now, [*keys, "arrive_frame"], "left")
     reason = (
         F.when(~F.col("task_known"), "unknown_task")
         .when(F.col("error").isNotNull(), "failed")
@@ -123,17 +138,19 @@ def latest_only(tasks: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return slots.withColumn("kept", kept).select(*keys, "dropped", "kept.*")
 
 
-def propagate(confirmed: DataFrame, bindings: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:
+def propagate(
+    confirmed: DataFrame, bindings: DataFrame, identities: DataFrame, keys: tuple[str, ...] = TRACK
+) -> tuple[DataFrame, DataFrame]:
     """Plate of each target (first known wins) and of each identity (a null is filled once).
 
-    ``confirmed``: ``track_id``, ``frame_index``, ``plate``; ``bindings``: ``track_id``,
+    ``confirmed``: ``keys``, ``frame_index``, ``plate``; ``bindings``: ``keys``,
     ``target_id``, ``identity_id``, ``from_frame``, ``to_frame``.
     """
     inside = (F.col("frame_index") >= F.col("from_frame")) & (
         F.col("to_frame").isNull() | (F.col("frame_index") <= F.col("to_frame"))
     )
-    seen = confirmed.join(bindings, "track_id").where(inside)
-    order = F.struct("frame_index", "track_id", "plate")
+    seen = confirmed.join(bindings, list(keys)).where(inside)
+    order = F.struct("frame_index", *keys, "plate")
     targets = seen.groupBy("target_id").agg(
         F.min_by("plate", order).alias("plate"), F.min("frame_index").alias("since_frame")
     )

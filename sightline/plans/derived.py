@@ -11,7 +11,7 @@ timings and source states.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline.functions import text, vectors
 from sightline.operators import scan
@@ -218,15 +218,32 @@ def candidates(refs: DataFrame) -> DataFrame:
     )
 
 
-PLATES_SQL = """plate_obs as (
-  select user_id as track_id,
+# Track numbers repeat across cameras.  A frame in which the track was not visible has no
+# reading; a track's epoch counts its uninterrupted appearances.
+PLATES_SQL = """readings as (
+  select cast(user_id % 3 as varchar) as camera_id, 'vehicle' as domain, user_id // 3 as track_id,
     row_number() over (partition by user_id order by ts, event_id) as frame_index,
     event_id as obs_idx, 'b ' || event_type as plate,
     least(0.99, 0.5 + value/200) as conf,
     5 as x1, 5 as y1,
     5 + 50 + cast(json_extract(props, '$.k') as integer) as x2, 30 as y2,
     cast(60 + event_id % 60 as double) as sharpness, 140 as crop_w, 80 as crop_h
-  from events)"""
+  from events),
+islands as (
+  select *, frame_index - row_number() over (partition by camera_id, domain, track_id order by frame_index) as island
+  from readings where obs_idx % 13 <> 0),
+plate_obs as (
+  select * exclude (island), dense_rank() over (partition by camera_id, domain, track_id order by island) as track_epoch from islands)"""
+TRACK = ["camera_id", "domain", "track_id"]
+
+
+def track_of(user: Column) -> list[Column]:
+    """Camera, domain and track number of a user of the event table."""
+    return [
+        (user % 3).cast("string").alias("camera_id"),
+        F.lit("vehicle").alias("domain"),
+        F.floor(user / 3).alias("track_id"),
+    ]
 
 
 def plate_obs(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,8 +252,8 @@ def plate_obs(spark: SparkSession, sf: str) -> DataFrame:
         ev, ["user_id"], "at", ["event_id"], chunk=86_400_000_000, name="frame_index"
     )
     k = F.get_json_object("props", "$.k").cast("int")
-    return placed.select(
-        F.col("user_id").alias("track_id"),
+    readings = placed.where(F.col("event_id") % 13 != 0).select(
+        *track_of(F.col("user_id")),
         "frame_index",
         F.col("event_id").alias("obs_idx"),
         F.concat(F.lit("b "), F.col("event_type")).alias("plate"),
@@ -249,6 +266,8 @@ def plate_obs(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(140).alias("crop_w"),
         F.lit(80).alias("crop_h"),
     )
+    epochs = scan.with_runs(readings, TRACK).drop("run_start")
+    return epochs.withColumnRenamed("run_no", "track_epoch")
 
 
 LOG_SQL = """log_in as (

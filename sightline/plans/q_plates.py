@@ -150,42 +150,45 @@ def gated_plates(spark, sf):
     return quality.plate_gate(d.plate_obs(spark, sf), P)
 
 
-@query("f04_plate_gate", f"with {_GATED} select track_id, frame_index, obs_idx, np as plate, conf from gated")
+@query("f04_plate_gate", f"with {_GATED} select camera_id, track_id, frame_index, obs_idx, np as plate, conf from gated")
 def plate_gate(spark, sf):
-    return gated_plates(spark, sf).select("track_id", "frame_index", "obs_idx", "plate", "conf")
+    return gated_plates(spark, sf).select("camera_id", "track_id", "frame_index", "obs_idx", "plate", "conf")
 
 
 @query(
     "a23_plate_vote",
-    f"""with {_GATED}, h as (select track_id, np, count(*) as hits from gated group by 1, 2),
-    r as (select *, row_number() over (partition by track_id order by hits desc, np desc) as rn from h)
-    select track_id, np as plate, hits from r where rn = 1""",
+    f"""with {_GATED}, h as (select camera_id, track_id, np, count(*) as hits from gated group by 1, 2, 3),
+    r as (select *, row_number() over (partition by camera_id, track_id order by hits desc, np desc) as rn from h)
+    select camera_id, track_id, np as plate, hits from r where rn = 1""",
 )
 def plate_vote(spark, sf):
-    return plates.vote(gated_plates(spark, sf), ["track_id"])
+    return plates.vote(gated_plates(spark, sf), ["camera_id", "track_id"])
 
 
 @query(
     "a24_best_reading",
-    f"""with {_GATED}, r as (select *, frame_index // 4 as step, row_number() over (partition by track_id, frame_index // 4 order by conf desc, obs_idx) as rn from gated)
-    select track_id, step, obs_idx, np as plate, conf from r where rn = 1""",
+    f"""with {_GATED}, r as (select *, frame_index // 4 as step, row_number() over (partition by camera_id, track_id, frame_index // 4 order by conf desc, obs_idx) as rn from gated)
+    select camera_id, track_id, step, obs_idx, np as plate, conf from r where rn = 1""",
 )
 def best_reading(spark, sf):
     obs = gated_plates(spark, sf).select(
-        "track_id", F.floor(F.col("frame_index") / 4).alias("step"), "obs_idx", "plate", "conf"
+        "camera_id", "track_id", F.floor(F.col("frame_index") / 4).alias("step"), "obs_idx", "plate", "conf"
     )
-    return plates.best_reading(obs, ["track_id", "step"])
+    return plates.best_reading(obs, ["camera_id", "track_id", "step"])
 
 
-_CONFIRM = f"""{_GATED}, g1 as (select *, case when frame_index - lag(frame_index) over (partition by track_id order by frame_index) <= {P.pending_max_age} then 0 else 1 end as b from gated),
-g2 as (select *, sum(b) over (partition by track_id order by frame_index) as run from g1),
-g3 as (select *, row_number() over (partition by track_id, run, np order by frame_index) as vote from g2),
-g4 as (select *, row_number() over (partition by track_id order by frame_index) as first from g3 where vote = {P.hits}),
-confirmed as (select track_id, frame_index, np as plate, conf, sharpness from g4 where first = 1)"""
+_KEY = "camera_id, domain, track_id"
+# Every second track is bound to a target and keeps its plate through interruptions.
+_CONFIRM = f"""{_GATED}, g1 as (select *, case when frame_index - lag(frame_index) over (partition by {_KEY}, track_epoch order by frame_index) <= {P.pending_max_age} then 0 else 1 end as b from gated),
+g2 as (select *, sum(b) over (partition by {_KEY}, track_epoch order by frame_index) as run from g1),
+g3 as (select *, row_number() over (partition by {_KEY}, track_epoch, run, np order by frame_index) as vote from g2),
+g4 as (select *, row_number() over (partition by {_KEY}, case when track_id % 2 = 0 then -1 else track_epoch end order by frame_index) as first from g3 where vote = {P.hits}),
+confirmed as (select {_KEY}, track_epoch, frame_index, np as plate, conf, sharpness from g4 where first = 1)"""
 
 
 def confirmed_plates(spark, sf):
-    return plates.confirmations(gated_plates(spark, sf), ["track_id"], P)
+    bound = F.col("track_id") % 2 == 0
+    return plates.confirmations(gated_plates(spark, sf), d.TRACK, P, epoch="track_epoch", bound=bound)
 
 
 @query("t07_plate_confirmation", f"with {_CONFIRM} select * from confirmed")
@@ -194,11 +197,11 @@ def plate_confirmation(spark, sf):
 
 
 # Results of background readings: each event is one, arriving a few frames later.
-_RESULTS = """res as (select event_id as task_id, user_id as track_id, frame_no as submit_frame, frame_no + event_id % 19 as arrive_frame, event_id % 3 as track_epoch,
+_RESULTS = """res as (select event_id as task_id, cast(user_id % 3 as varchar) as camera_id, user_id // 3 as track_id, frame_no as submit_frame, frame_no + event_id % 19 as arrive_frame, event_id % 3 as track_epoch,
     case when event_id % 4 = 0 then null else user_id % 5 end as target_id, case when event_id % 2 = 0 then 'B1' end as plate_at_submit, event_id % 23 <> 0 as task_known,
     case when event_type = 'error' then 'Timeout' end as error
   from (select *, row_number() over (partition by user_id order by ts, event_id) as frame_no from events)),
-states as (select user_id as track_id, frame_no as frame_index, case when event_type = 'signup' then 0 else 2 end as class_id, event_id % 3 as track_epoch,
+states as (select cast(user_id % 3 as varchar) as camera_id, user_id // 3 as track_id, frame_no as frame_index, case when event_type = 'signup' then 0 else 2 end as class_id, event_id % 3 as track_epoch,
     case when event_id % 6 = 0 then null else user_id % 5 end as target_id, case event_id % 5 when 0 then 'B1' when 1 then 'B2' end as stable_plate
   from (select *, row_number() over (partition by user_id order by ts, event_id) as frame_no from events))"""
 
@@ -211,7 +214,7 @@ def late_results(spark, sf):
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     results = ev.select(
         e.alias("task_id"),
-        u.alias("track_id"),
+        *d.track_of(u),
         F.col("frame_no").alias("submit_frame"),
         (F.col("frame_no") + e % 19).alias("arrive_frame"),
         (e % 3).alias("track_epoch"),
@@ -221,7 +224,7 @@ def late_results(spark, sf):
         F.when(kind == "error", "Timeout").alias("error"),
     )
     states = ev.select(
-        u.alias("track_id"),
+        *d.track_of(u),
         F.col("frame_no").alias("frame_index"),
         F.when(kind == "signup", 0).otherwise(2).alias("class_id"),
         (e % 3).alias("track_epoch"),
@@ -237,7 +240,7 @@ def late_results(spark, sf):
       when s.class_id not in (2, 5, 7) then 'class_changed' when arrive_frame - submit_frame > {P.max_result_age} then 'result_expired'
       when s.track_epoch is distinct from r.track_epoch then 'track_epoch_changed' when r.target_id is not null and s.target_id is distinct from r.target_id then 'target_changed'
       when s.stable_plate is not null and s.stable_plate is distinct from r.plate_at_submit then 'plate_state_changed' else 'usable' end as outcome
-    from res r left join states s on s.track_id = r.track_id and s.frame_index = r.arrive_frame""",
+    from res r left join states s on s.camera_id = r.camera_id and s.track_id = r.track_id and s.frame_index = r.arrive_frame""",
 )
 def late_result_reasons(spark, sf):
     results, states = late_results(spark, sf)
@@ -262,25 +265,25 @@ def latest_only_slot(spark, sf):
     )
 
 
-_BOUND = f"""{_CONFIRM}, bound as (select distinct user_id as track_id, user_id // 3 as target_id, case when user_id // 3 % 4 <> 0 then user_id // 3 end as identity_id,
+_BOUND = f"""{_CONFIRM}, bound as (select distinct cast(user_id % 3 as varchar) as camera_id, 'vehicle' as domain, user_id // 3 as track_id, user_id // 2 as target_id, case when user_id // 2 % 4 <> 0 then user_id // 2 end as identity_id,
     user_id % 3 * 2 as from_frame, case when user_id % 2 = 0 then user_id % 3 * 2 + 30 end as to_frame from events),
-ident as (select distinct user_id // 3 as identity_id, case when user_id // 3 % 5 = 0 then 'KNOWN' end as plate_number from events),
-seen as (select * from confirmed join bound using (track_id) where frame_index >= from_frame and (to_frame is null or frame_index <= to_frame))"""
+ident as (select distinct user_id // 2 as identity_id, case when user_id // 2 % 5 = 0 then 'KNOWN' end as plate_number from events),
+seen as (select * from confirmed join bound using (camera_id, domain, track_id) where frame_index >= from_frame and (to_frame is null or frame_index <= to_frame))"""
 
 
 @query(
     "t10_plate_propagation",
-    f"""with {_BOUND}, t as (select 'target' as kind, target_id as id, plate, row_number() over (partition by target_id order by frame_index, track_id, plate) as rn from seen),
-    f as (select identity_id, plate, row_number() over (partition by identity_id order by frame_index, track_id, plate) as rn from seen where identity_id is not null)
+    f"""with {_BOUND}, t as (select 'target' as kind, target_id as id, plate, row_number() over (partition by target_id order by frame_index, camera_id, domain, track_id, plate) as rn from seen),
+    f as (select identity_id, plate, row_number() over (partition by identity_id order by frame_index, camera_id, domain, track_id, plate) as rn from seen where identity_id is not null)
     select kind, id, plate from t where rn = 1 union all
     select 'identity', i.identity_id, coalesce(i.plate_number, f.plate) from ident i left join f on f.identity_id = i.identity_id and f.rn = 1 where coalesce(i.plate_number, f.plate) is not null""",
 )
 def plate_propagation(spark, sf):
     u = F.col("user_id")
     users = d.table(spark, sf, "events").select("user_id").distinct()
-    target = F.floor(u / 3)
+    target = F.floor(u / 2)
     bound = users.select(
-        u.alias("track_id"),
+        *d.track_of(u),
         target.alias("target_id"),
         F.when(target % 4 != 0, target).alias("identity_id"),
         (u % 3 * 2).alias("from_frame"),
@@ -290,7 +293,7 @@ def plate_propagation(spark, sf):
         "plate_number", F.when(F.col("identity_id") % 5 == 0, "KNOWN")
     )
     targets, filled = plates.propagate(
-        confirmed_plates(spark, sf).select("track_id", "frame_index", "plate"), bound, identities
+        confirmed_plates(spark, sf).select(*d.TRACK, "frame_index", "plate"), bound, identities
     )
     known = filled.where(F.col("plate_number").isNotNull())
     return targets.select(F.lit("target").alias("kind"), F.col("target_id").alias("id"), "plate").unionByName(

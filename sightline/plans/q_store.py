@@ -293,10 +293,11 @@ def one_embedding_per_frame(spark, sf):
 
 @query(
     "t14_match_events",
-    f"""with {G}, {BINDINGS_SQL}, {_CONFIRM}, m as (select domain, identity_id * 10 as target_id, vec_id % 150 as track_id, vec_id as frame_index, round(embedding[1], 6) as score, 'cam' || (vec_id % 4) as source_label from refs)
+    f"""with {G}, {BINDINGS_SQL}, {_CONFIRM}, latest as (select camera_id, domain, track_id, max_by(plate, frame_index) as plate from confirmed group by 1, 2, 3),
+    m as (select domain, identity_id * 10 as target_id, cast(vec_id % 3 as varchar) as camera_id, vec_id % 50 as track_id, vec_id as frame_index, round(embedding[1], 6) as score, 'cam' || (vec_id % 4) as source_label from refs)
     select m.domain, b.identity_id, case m.domain when 'person' then 'P' else 'V' end || lpad(cast(b.identity_id as varchar), cast(greatest(3, length(cast(b.identity_id as varchar))) as integer), '0') as display_id,
       'recovery' as event_type, m.score as similarity, m.track_id, m.frame_index, m.source_label, case when m.domain = 'vehicle' then c.plate end as plate_number, true as requires_attention
-    from m join bindings b on b.domain = m.domain and b.target_id = m.target_id left join confirmed c on c.track_id = m.track_id""",
+    from m join bindings b on b.domain = m.domain and b.target_id = m.target_id left join latest c on c.camera_id = m.camera_id and c.domain = m.domain and c.track_id = m.track_id""",
 )
 def match_events(spark, sf):
     refs = d.references(spark, sf)
@@ -304,12 +305,15 @@ def match_events(spark, sf):
     matches = refs.select(
         "domain",
         (F.col("identity_id") * 10).alias("target_id"),
-        (vid % 150).alias("track_id"),
+        (vid % 3).cast("string").alias("camera_id"),
+        (vid % 50).alias("track_id"),
         vid.alias("frame_index"),
         F.round(v.as_double(F.col("embedding"))[0], 6).alias("score"),
         F.concat(F.lit("cam"), (vid % 4).cast("string")).alias("source_label"),
     )
-    return eventlog.match_events(matches, bindings(d.gallery(refs)), confirmed_plates(spark, sf), "recovery")
+    confirmed = confirmed_plates(spark, sf)
+    latest = confirmed.groupBy(*d.TRACK).agg(F.max_by("plate", "frame_index").alias("plate"))
+    return eventlog.match_events(matches, bindings(d.gallery(refs)), latest, "recovery")
 
 
 @query(

@@ -422,7 +422,13 @@ class Session:
         taken = sweep.owners | attached
         if not cands or free <= 0:
             return
-        scores = {(i, k): s for k, r in cands.items() for i, (s, _) in r.hits.items() if i not in taken}
+        # Two plates that are known and differ rule a pair out before any margin is looked at.
+        scores = {
+            (i, k): s
+            for k, r in cands.items()
+            for i, (s, plate) in r.hits.items()
+            if i not in taken and not (r.plate and plate and r.plate != plate)
+        }
         matches = {(i, k): s for i, k, s in claim(scores, p.threshold, p.margin)}
         named = {k for _, k in matches}
         self.naming = {k: v for k, v in self.naming.items() if k[1] not in cands or k in matches}

@@ -66,13 +66,18 @@ class SessionProcessor(StatefulProcessor):
         return pd.DataFrame(out, columns=EVENTS.names)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self._load(tuple(key))
+        held, late = self._load(tuple(key)), []
         for pdf in rows:
             heads = zip(pdf["frame_index"].tolist(), pdf["ts"].tolist(), pdf["n_identities"].tolist())
             for (frame, ts, n), values in zip(heads, zip(*[pdf[c].tolist() for c in INPUTS])):
-                # A frame that was already handled cannot be taken back.
+                # A frame that was already handled cannot be taken back; its rows are reported.
                 if held["done"] is None or frame > held["done"]:
                     held["waiting"].setdefault(frame, (ts, int(n), []))[2].append(values)
+                else:
+                    track = -1 if values[0] is None or values[0] != values[0] else int(values[0])
+                    late.append((*key, int(frame), "late", -1, track, -1, None, None))
+        if late:
+            yield pd.DataFrame(late, columns=EVENTS.names)
         yield self._release(tuple(key), held, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -101,56 +106,114 @@ def session_stream(inputs: DataFrame, options: dict | None = None, delay: str =
 
 CONFIRMED = T.StructType(
     [
+        T.StructField("camera_id", T.StringType()),
+        T.StructField("domain", T.StringType()),
         T.StructField("track_id", T.LongType()),
+        T.StructField("track_epoch", T.LongType()),
         T.StructField("frame_index", T.LongType()),
         T.StructField("plate", T.StringType()),
         T.StructField("conf", T.DoubleType()),
         T.StructField("sharpness", T.DoubleType()),
+        T.StructField("late", T.BooleanType()),
     ]
 )
+_READING = "at long, epoch long, bound boolean, plate string, conf double, sharpness double"
 
 
 class PlateProcessor(StatefulProcessor):
-    """Votes of one track: a map from plate to hits, and whether a plate is stable."""
+    """Votes of one track in typed state: waiting readings by frame, hits by plate, the last frame.
 
-    def __init__(self, policy: PlatePolicy) -> None:
-        self.policy = policy
+    Readings wait until the watermark has passed them and are then counted in order.  A reading
+    that comes after its time goes to the output with ``late`` set and changes nothing.  Votes
+    lapse like in the batch form; an idle track is forgotten by timer.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.votes = handle.getMapState(
-            "votes", T.StructType([T.StructField("plate", T.StringType())]), T.StructType([T.StructField("hits", T.IntegerType())])
-        )
-        self.last = handle.getValueState("last", T.StructType([T.StructField("frame", T.LongType())]))
-        self.stable = handle.getValueState("stable", T.StructType([T.StructField("plate", T.StringType())]))
+    def __init__(self, policy: PlatePolicy, idle_seconds: float) -> None:
+        self.policy, self.idle = policy, int(idle_seconds * 1000)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("frame_index")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "frame long", _READING)
+        self.votes = handle.getMapState("votes", "plate string", "hits int")
+        # The last frame that was counted, its epoch and time, and whether a plate is stable.
+        self.last = handle.getValueState("last", "frame long, epoch long, at long, stable boolean")
+
+    def _count(self, key: tuple, frame: int, reading: tuple) -> list:
+        at, epoch, bound, plate, conf, sharpness = reading
+        before, old, _, stable = self.last.get() if self.last.exists() else (None, None, None, False)
+        if old is not None and epoch != old:
+            self.votes.clear()
+            stable = stable and bound
+        elif before is not None and frame - before > self.policy.pending_max_age:
+            self.votes.clear()
         out = []
-        if not self.stable.exists():
-            for frame, plate, conf, sharpness in pdf[["frame_index", "plate", "conf", "sharpness"]].itertuples(index=False):
-                if self.last.exists() and frame - self.last.get()[0] > self.policy.pending_max_age:
-                    self.votes.clear()
-                self.last.update((int(frame),))
-                hits = (self.votes.getValue((plate,))[0] if self.votes.containsKey((plate,)) else 0) + 1
-                if hits >= self.policy.hits:
-                    self.stable.update((plate,))
-                    self.votes.clear()
-                    out.append((int(key[0]), int(frame), plate, float(conf), float(sharpness)))
-                    break
+        if not stable:
+            hits = (self.votes.getValue((plate,))[0] if self.votes.containsKey((plate,)) else 0) + 1
+            if hits >= self.policy.hits:
+                stable = True
+                self.votes.clear()
+                out.append((*key, epoch, frame, plate, conf, sharpness, False))
+            else:
                 self.votes.updateValue((plate,), (hits,))
+        self.last.update((frame, epoch, at, stable))
+        return out
+
+    def _release(self, key: tuple, timers: Any) -> list:
+        """Count what the watermark has passed; ask to be woken for the next reading or the end."""
+        watermark, out = timers.getCurrentWatermarkInMs(), []
+        for (frame,) in sorted(tuple(k) for k in self.waiting.keys()):
+            reading = tuple(self.waiting.getValue((frame,)))
+            if reading[0] > watermark:
+                self.handle.registerTimer(reading[0] + 1)
+                return out
+            self.waiting.removeKey((frame,))
+            out += self._count(key, frame, reading)
+        if self.last.exists():
+            self.handle.registerTimer(self.last.get()[2] + self.idle)
+        return out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        key, late = tuple(key), []
+        done = self.last.get()[0] if self.last.exists() else None
+        for pdf in rows:
+            columns = ["frame_index", "ts", "track_epoch", "bound", "plate", "conf", "sharpness"]
+            for frame, ts, epoch, bound, plate, conf, sharpness in zip(*[pdf[c].tolist() for c in columns]):
+                if done is not None and frame <= done:
+                    late.append((*key, int(epoch), int(frame), plate, float(conf), float(sharpness), True))
+                else:
+                    reading = (int(ts * 1000), int(epoch), bool(bound), plate, float(conf), float(sharpness))
+                    self.waiting.updateValue((int(frame),), reading)
+        yield pd.DataFrame(late + self._release(key, timerValues), columns=CONFIRMED.names)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        out = self._release(tuple(key), timerValues)
+        idle = self.last.exists() and self.last.get()[2] + self.idle <= timerValues.getCurrentWatermarkInMs()
+        if idle and not any(True for _ in self.waiting.keys()):
+            self.votes.clear()
+            self.last.clear()
         yield pd.DataFrame(out, columns=CONFIRMED.names)
 
     def close(self) -> None:
         pass
 
 
-def plate_stream(readings: DataFrame, policy: PlatePolicy) -> DataFrame:
-    """Confirmed plates of a stream of gated readings; a track's readings come in order."""
-    return readings.groupBy("track_id").transformWithStateInPandas(
-        statefulProcessor=PlateProcessor(policy),
-        outputStructType=CONFIRMED,
-        outputMode="Append",
-        timeMode="None",
+def plate_stream(
+    readings: DataFrame, policy: PlatePolicy, delay: str = "2 seconds", idle_seconds: float = 3600.0
+) -> DataFrame:
+    """Confirmed plates of a stream of gated readings, per camera, domain and track.
+
+    ``event_time`` is the time of the frame, ``ts`` the same in seconds; ``track_epoch`` counts
+    a track's uninterrupted appearances, ``bound`` tells whether it follows a target.
+    """
+    return (
+        readings.withWatermark("event_time", delay)
+        .groupBy("camera_id", "domain", "track_id")
+        .transformWithStateInPandas(
+            statefulProcessor=PlateProcessor(policy, idle_seconds),
+            outputStructType=CONFIRMED,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
 
 

@@ -156,11 +156,13 @@ def test_log_export_file(spark, tmp_path):
 
 
 def test_unbound_targets_emit_nothing(spark):
-    m = spark.createDataFrame([("person", 1, 5, 9, 0.9, "c"), ("person", 2, 6, 9, 0.9, "c")], "domain string, target_id bigint, track_id bigint, frame_index bigint, score double, source_label string")
-    b = spark.createDataFrame([("person", 1, 3)], "domain string, target_id bigint, identity_id bigint")
-    p = spark.createDataFrame([(5, "A")], "track_id bigint, plate string")
+    m = spark.createDataFrame([("0", "person", 1, 5, 9, 0.9, "c"), ("0", "person", 2, 6, 9, 0.9, "c"), ("1", "vehicle", 4, 5, 9, 0.9, "c")], "camera_id string, domain string, target_id bigint, track_id bigint, frame_index bigint, score double, source_label string")
+    b = spark.createDataFrame([("person", 1, 3), ("vehicle", 4, 8)], "domain string, target_id bigint, identity_id bigint")
+    # The same track number in two cameras and domains is three tracks.
+    plate = [("0", "vehicle", 5, "A"), ("1", "vehicle", 5, "B"), ("1", "person", 5, "C")]
+    p = spark.createDataFrame(plate, "camera_id string, domain string, track_id bigint, plate string")
     got = log_ops.match_events(m, b, p, "recognition").collect()
-    assert [(r.display_id, r.plate_number, r.requires_attention) for r in got] == [("P003", None, True)]
+    assert [(r.display_id, r.plate_number, r.requires_attention) for r in got] == [("P003", None, True), ("V008", "B", True)]
 
 
 def readings(spark, *items):
@@ -203,3 +205,15 @@ def test_retention_spares_other_files(spark):
     names = ["2024-01-01_00-00-00.mp4", "2024-01-01_00-00-00_2.mp4", "2024-01-01_00-00-00_10.mp4", "2024-01-02_00-00-00.mp4", "holiday.mp4", "2024-13-01_00-00-00.mp4"]
     df = spark.createDataFrame([("d", n) for n in names], "folder string, name string")
     assert rows(log_ops.retention(df, 2, ["folder"]).select("name")) == [(names[0],), (names[1],)]
+
+
+def test_interruption_clears_votes_and_the_plate_of_an_unbound_track(spark):
+    data = [(1, e, f, "A", 0.9, 50.0) for e, f in ((1, 0), (2, 5), (2, 6), (3, 20), (3, 21))]
+    df = spark.createDataFrame(data, "track_id bigint, track_epoch bigint, frame_index bigint, plate string, conf double, sharpness double")
+
+    def found(bound):
+        out = plates.confirmations(df, ["track_id"], pol.PLATE, epoch="track_epoch", bound=bound)
+        return sorted((r.track_epoch, r.frame_index) for r in out.collect())
+
+    assert found(None) == [(2, 6), (3, 21)] and found(F.lit(True)) == [(2, 6)]
+    assert plates.confirmations(df, ["track_id"], pol.PLATE).first().frame_index == 5

@@ -42,17 +42,44 @@ def test_session_stream_equals_batch(spark, tmp_path):
 
 
 def test_plate_stream_equals_batch(spark, tmp_path):
-    gated = q_plates.gated_plates(spark, SF)
+    gated = q_plates.gated_plates(spark, SF).withColumn("ts", F.col("frame_index") + 1.7e9)
+    gated = gated.withColumn("event_time", F.timestamp_seconds("ts")).withColumn("bound", F.col("track_id") % 2 == 0)
     gated.write.parquet(str(tmp_path / "all"))
     stored = spark.read.parquet(str(tmp_path / "all"))
+    # Readings of a file come in any order; two come after their time; one moves the watermark on.
     for low, high in ((0, 20), (20, 40), (40, 10**6)):
         part = stored.where((F.col("frame_index") >= low) & (F.col("frame_index") < high))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = stored.limit(1).withColumn("camera_id", F.lit("end"))
+    end = end.withColumn("ts", F.lit(1.8e9)).withColumn("event_time", F.timestamp_seconds("ts"))
+    end.select(stored.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = stream.table_stream(spark, str(tmp_path / "in"), stored.schema)
-    out = drain(stream.plate_stream(source, pol.PLATE), tmp_path, "plates")
-    columns = ["track_id", "frame_index", "plate"]
+    out = drain(stream.plate_stream(source, pol.PLATE, idle_seconds=1e6), tmp_path, "plates")
+    columns = ["camera_id", "track_id", "track_epoch", "frame_index", "plate"]
     want = rows(q_plates.confirmed_plates(spark, SF).select(columns))
-    assert want and rows(spark.read.parquet(out).select(columns)) == want
+    got = spark.read.parquet(out)
+    assert want and rows(got.where("not late").select(columns)) == want
+    assert got.where("late").count() == 0
+
+
+def test_late_plate_readings_are_reported(spark, tmp_path):
+    def write(*frames):
+        data = [("c", "vehicle", 1, 1, f, f + 1.7e9, "A", 0.9, 50.0, False) for f in frames]
+        df = spark.createDataFrame(
+            data,
+            "camera_id string, domain string, track_id bigint, track_epoch bigint, frame_index bigint, ts double, plate string, conf double, sharpness double, bound boolean",
+        )
+        df.withColumn("event_time", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    write(1, 2)
+    write(500)
+    write(501)
+    write(480, 502)
+    write(900)
+    source = stream.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    out = drain(stream.plate_stream(source, pol.PLATE, delay="30 seconds"), tmp_path, "plates")
+    got = rows(spark.read.parquet(out).select("frame_index", "late"))
+    assert (2, False) in got
 
 
 def test_log_sink_repeats_a_batch_without_doubles(spark, tmp_path):
