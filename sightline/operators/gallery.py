@@ -172,3 +172,13 @@ def centroids(refs: DataFrame) -> DataFrame:
     return refs.groupBy(*KEY).agg(v.mean_vector(F.col("embedding")).alias("_m")).select(
         *KEY, v.normalized(F.col("_m")).alias("centroid")
     )
+
+
+def share_embeddings(asks: DataFrame, embeddings: DataFrame, keys: list[str]) -> DataFrame:
+    """One embedding per track and frame for all its consumers, never one of another frame.
+
+    ``embeddings`` may hold several rows per crop (a consumer that computed its own); they
+    are merged to one before anybody is served, so all consumers see the same vector.
+    """
+    one = embeddings.groupBy(*keys).agg(F.min("embedding").alias("embedding"))
+    return asks.join(one, keys)

@@ -59,13 +59,16 @@ def assess(
     policy: QualityPolicy | dict[str, QualityPolicy],
     keys: list[str] | None = None,
     dense: int = DENSE_FRAME,
+    accept: Column | None = None,
 ) -> DataFrame:
     """Add ``overlap``, the integer ``crop`` and ``reason`` (null means accepted).
 
     ``tracks`` needs the box, ``conf``, ``class_id``, ``track_id``, ``frame_width`` and
     ``frame_height``.  Only boxes that pass the cheap gates are compared with others.
     With one policy every other class is a stranger; with a policy per domain each row is
-    judged by the limits of its ``domain``, in one pass.
+    judged by the limits of its ``domain``, in one pass.  ``accept`` replaces all gates by
+    the caller's own assessor, a condition on the columns of ``tracks`` (and ``overlap`` and
+    ``crop``); boxes it refuses have the reason ``assessor``.
     """
     policies = {policy.domain: policy} if isinstance(policy, QualityPolicy) else policy
     # Strangers have no group, so they are nobody's partner and pass through in the same pass.
@@ -112,9 +115,14 @@ def assess(
         .when(F.col("overlap") > limit["max_overlap"], F.concat(F.col("_domain"), F.lit("_overlap")))
         .when(F.col("_small"), "small_crop")
     )
-    return boxes.select(
-        *rest, *[F.col(f"raw_{n}").alias(n) for n in corners], "overlap", "crop", reason.alias("reason")
+    out = boxes.select(
+        *rest, *[F.col(f"raw_{n}").alias(n) for n in corners], "overlap", "crop", judged.alias("_own"), reason.alias("reason")
     )
+    if accept is not None:
+        # Strangers keep their reason: the assessor is only asked about its own domain.
+        refused = F.when(~F.coalesce(accept, F.lit(False)), "assessor")
+        out = out.withColumn("reason", F.when(F.col("_own"), refused).otherwise(F.col("reason")))
+    return out.drop("_own")
 
 
 def plate_gate(observations: DataFrame, policy: PlatePolicy) -> DataFrame:

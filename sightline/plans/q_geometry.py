@@ -471,6 +471,17 @@ def rejection_counts(spark, sf):
     return judged.groupBy("camera_id", "reason").agg(F.count(F.lit(1)).alias("boxes"))
 
 
+@query(
+    "u03_quality_assessor",
+    f"""with {T} select {_KEY}, case when domain <> 'person' then 'not_person' when conf >= 0.45 and k % 7 <> 0 then 'accepted' else 'assessor' end as reason from tracks""",
+)
+def quality_assessor(spark, sf):
+    """A caller's assessor instead of the gates, for one domain."""
+    mine = (F.col("conf") >= 0.45) & (F.col("k") % 7 != 0)
+    judged = quality.assess(d.sized(d.tracks(spark, sf)), pol.PERSON_QUALITY, accept=mine)
+    return judged.select(*KEY, F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
 _PAIR_JOIN = "p.camera_id=q.camera_id and p.frame_index=q.frame_index and p.domain=q.domain and p.track_id<>q.track_id"
 
 

@@ -182,6 +182,29 @@ def recognition_matching(spark, sf):
     return matched.select("domain", "attempt", "target_id", "track_id", F.round("score", 6).alias("score"))
 
 
+# One core, two domains: people are recognised under stricter limits than vehicles.
+_DOMAIN_LIMITS = {"person": (0.34, 0.03), "vehicle": (THRESHOLD, MARGIN)}
+
+
+def _domain_case(i: int) -> str:
+    return "(case domain " + " ".join(f"when '{k}' then {x[i]}" for k, x in _DOMAIN_LIMITS.items()) + " end)"
+
+
+@query(
+    "u05_domain_adapter",
+    f"with {_FREE}, "
+    + _match_sql("domain, attempt", False, "asc").replace(f">= {THRESHOLD}", f">= {_domain_case(0)}").replace(f">= {MARGIN}", f">= {_domain_case(1)}")
+    + " select domain, attempt, target_id, track_id, round(score, 6) as score from matches",
+)
+def domain_adapter(spark, sf):
+    parts = []
+    for domain, (threshold, margin) in _DOMAIN_LIMITS.items():
+        pairs = recognition_pairs(spark, sf, threshold - margin).where(F.col("domain") == domain)
+        parts.append(matching.margin_match(pairs, ["domain", "attempt"], threshold, margin))
+    both = parts[0].unionByName(parts[1])
+    return both.select("domain", "attempt", "target_id", "track_id", F.round("score", 6).alias("score"))
+
+
 # A visible frame is an attempt of its track; the partner is missing when it failed.
 @query(
     "w08_confirmation_hits",

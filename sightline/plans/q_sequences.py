@@ -264,6 +264,17 @@ def sampling_summary(spark, sf):
     return picked.join(available, "vehicle_id").select("vehicle_id", "available", "selected", "cameras")
 
 
+@query(
+    "u06_image_validator",
+    f"""with {_IMAGES}, ok as (select * from images where image_name like '%1%' and camera_id is not null)
+    select vehicle_id, count(*) as available from ok group by 1 having count(*) >= 2""",
+)
+def image_validator(spark, sf):
+    """Eligible identities under a caller's own idea of a valid image."""
+    mine = F.col("image_name").contains("1") & F.col("camera_id").isNotNull()
+    return calibration.eligible_identities(images(spark, sf), mine, 2)
+
+
 @query(
     "f09_identities_with_valid_images",
     f"with {_IMAGES} select vehicle_id, count(*) as images from images where vehicle_id in (select vehicle_id from valid) group by 1",

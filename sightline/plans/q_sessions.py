@@ -263,6 +263,24 @@ def expired_targets(spark, sf):
     return lifecycle.expired_targets(lost, 86400.0, horizon, ["user_id"]).select("user_id", "event_id")
 
 
+@query(
+    "u07_given_clock",
+    """with n as (select epoch(max(ts)) - 3 * 86400 as now from events), l as (select user_id, event_id, epoch(ts) as lost_since from events where event_type = 'error' and epoch(ts) <= (select now from n))
+    select user_id, event_id, round(lost_since + 86400, 3) as expires_at from l where lost_since + 86400 <= (select now from n)""",
+)
+def given_clock(spark, sf):
+    """What has expired at a moment of the caller's choosing: three days before the end."""
+    ev = d.table(spark, sf, "events").withColumn("at", d.epoch_micros(F.col("ts")) / 1e6)
+    now = ev.agg((F.max("at") - 3 * 86400).alias("horizon"))
+    # One row, one number.
+    clock = ev.select("user_id").distinct().withColumn("horizon", F.lit(now.first()["horizon"]))
+    lost = ev.where((F.col("event_type") == "error")).select(
+        "user_id", "event_id", F.col("at").alias("lost_since"), F.lit(None).cast("double").alias("recovered_at")
+    )
+    due = lifecycle.expired_targets(lost, 86400.0, clock, ["user_id"])
+    return due.select("user_id", "event_id", F.round("expires_at", 3).alias("expires_at"))
+
+
 @query(
     "t16_state_changes",
     """with s as (select user_id, event_id, case when event_type in ('error', 'signup') then 'LOST' else 'ACTIVE' end as state, case when event_type in ('error', 'signup') then null else event_id % 7 end as track_id,

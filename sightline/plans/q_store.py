@@ -276,18 +276,30 @@ def recording_retention(spark, sf):
 
 @query(
     "t13_one_embedding_per_frame",
-    f"""with {G}, asks as (select camera_id, domain, attempt as frame_index, track_id, c.who from candidates, (values ('recovery'), ('recognition'), ('guard')) c(who) where (c.who <> 'guard' or domain = 'person'))
-    select camera_id, domain, frame_index, track_id, count(*) as consumers, 1 as computed from asks group by 1, 2, 3, 4""",
+    f"""with {G}, asks as (select camera_id, domain, attempt as frame_index, track_id, c.who from candidates, (values ('recovery'), ('recognition'), ('guard')) c(who) where (c.who <> 'guard' or domain = 'person')),
+    made as (select camera_id, domain, attempt as frame_index, track_id, embedding from candidates
+      union all select camera_id, domain, attempt, track_id, list_transform(embedding, lambda x: x * 2) from candidates where track_id % 3 = 0
+      union all select camera_id, domain, attempt + 1, track_id, embedding from candidates),
+    one as (select camera_id, domain, frame_index, track_id, min(embedding) as e from made group by 1, 2, 3, 4)
+    select camera_id, domain, frame_index, track_id, count(*) as consumers, count(distinct e) as vectors, round(min(sqrt(list_dot_product(e, e))), 6) as norm
+    from asks join one using (camera_id, domain, frame_index, track_id) group by 1, 2, 3, 4""",
 )
 def one_embedding_per_frame(spark, sf):
-    """Consumers of the same crop share one embedding, never across frames."""
+    """Consumers of a crop share its one embedding; some crops were embedded twice."""
+    keys = ["camera_id", "domain", "frame_index", "track_id"]
     cands = d.candidates(d.references(spark, sf)).withColumnRenamed("attempt", "frame_index")
+    own = cands.select(*keys, v.as_double(F.col("embedding")).alias("embedding"))
+    twice = own.where(F.col("track_id") % 3 == 0).withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    later = own.withColumn("frame_index", F.col("frame_index") + 1)
     who = F.when(F.col("domain") == "person", F.array(F.lit("recovery"), F.lit("recognition"), F.lit("guard"))).otherwise(
         F.array(F.lit("recovery"), F.lit("recognition"))
     )
-    asks = cands.select("camera_id", "domain", "frame_index", "track_id", F.explode(who).alias("who"))
-    return asks.groupBy("camera_id", "domain", "frame_index", "track_id").agg(
-        F.count(F.lit(1)).alias("consumers"), F.lit(1).alias("computed")
+    asks = cands.select(*keys, F.explode(who).alias("who"))
+    served = gallery.share_embeddings(asks, own.unionByName(twice).unionByName(later), keys)
+    return served.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("consumers"),
+        F.countDistinct("embedding").alias("vectors"),
+        F.round(F.min(v.norm(F.col("embedding"))), 6).alias("norm"),
     )
 
 
