@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions import geometry as g
 from sightline.operators import scan
 from sightline.policy import GuardPolicy
+from sightline.session import cut_lineage
 
 
 def track_age(tracks: DataFrame, keys: list[str], frame: str = "frame_index") -> DataFrame:
@@ -23,6 +24,19 @@ def track_age(tracks: DataFrame, keys: list[str], frame: str = "frame_index") ->
     )
 
 
+def _seen(
+    tracks: DataFrame, frames: DataFrame, scope: list[str], track: str, frame: str
+) -> tuple[DataFrame, DataFrame]:
+    """Numbered frames, and the numbered frames of each track.
+
+    Both are read several times below, so these narrow tables are written once instead of
+    computing the tracks again for every reader.
+    """
+    placed = frames.select(*scope, frame)
+    numbered = cut_lineage(scan.with_position(placed, scope, frame, name="_pos"))
+    return numbered, cut_lineage(tracks.select(*scope, track, frame).join(numbered, [*scope, frame]))
+
+
 def presence_changes(
     tracks: DataFrame, frames: DataFrame, scope: list[str], track: str = "track_id", frame: str = "frame_index"
 ) -> DataFrame:
@@ -31,8 +45,7 @@ def presence_changes(
     Frames are numbered per scope, so that a frame nobody saw (not in ``frames``) does not
     interrupt a track while a processed frame without it does.
     """
-    numbered = scan.with_position(frames.select(*scope, frame), scope, frame, name="_pos")
-    seen = tracks.select(*scope, track, frame).join(numbered, [*scope, frame])
+    numbered, seen = _seen(tracks, frames, scope, track, frame)
     runs = scan.with_runs(seen, [*scope, track], "_pos").groupBy(*scope, track, "run_start").agg(
         F.max("_pos").alias("_last")
     )
@@ -59,9 +72,8 @@ def lost_periods(
     back earlier keeps it ACTIVE.  With a fixed binding there is one such moment at most:
     a LOST target stays lost until something rebinds it.
     """
-    numbered = scan.with_position(frames.select(*scope, frame), scope, frame, name="_pos")
+    numbered, seen = _seen(tracks, frames, scope, track, frame)
     last = numbered.groupBy(*scope).agg(F.max("_pos").alias("_end"))
-    seen = tracks.select(*scope, track, frame).join(numbered, [*scope, frame])
     runs = (
         scan.with_runs(seen, [*scope, track], "_pos", limits={"_pos": grace})
         .groupBy(*scope, track, "run_no")
@@ -246,31 +258,28 @@ def sweep_batches(candidates: DataFrame, sweep: list[str], budget: int) -> DataF
     return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / budget))
 
 
-def failure_runs(status: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
-    """Runs of consecutive failed reads: when they began, how long, and whether they ended."""
-    placed = scan.with_position(status.withColumn("_failed", failed), keys, order, name="_position")
+def failed_reads(status: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
+    """Failed reads with their run, place and whether a later read followed; written once."""
+    placed = scan.with_position(status.withColumn("_failed", failed).select(*keys, order, "_failed"), keys, order, name="_position")
+    placed = cut_lineage(placed)
     ends = placed.groupBy(*keys).agg(F.max("_position").alias("_end"))
-    runs = (
-        scan.with_runs(placed.where("_failed"), keys, "_position")
-        .groupBy(*keys, "run_no")
-        .agg(
-            F.min(order).alias("first_failure"),
-            F.max("_position").alias("_last"),
-            F.count(F.lit(1)).alias("failures"),
-        )
-    )
-    return runs.join(ends, keys).select(
-        *keys, "run_no", "first_failure", "failures", (F.col("_last") < F.col("_end")).alias("recovered")
+    return cut_lineage(scan.with_runs(placed.where("_failed"), keys, "_position").join(ends, keys))
+
+
+def failure_runs(reads: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Runs of :func:`failed_reads`: when they began, how long, and whether they ended."""
+    runs = reads.groupBy(*keys, "run_no").agg(
+        F.min(order).alias("first_failure"),
+        F.count(F.lit(1)).alias("failures"),
+        (F.max("_position") < F.max("_end")).alias("recovered"),
     )
+    return runs.select(*keys, "run_no", "first_failure", "failures", "recovered")
 
 
-def reconnect_attempts(
-    status: DataFrame, keys: list[str], order: str, failed: Column, gap: int
-) -> DataFrame:
-    """Reconnects per failure run: the first failed read, then one every ``gap``."""
-    placed = scan.with_position(status.withColumn("_failed", failed), keys, order, name="_position")
-    runs = scan.with_runs(placed.where("_failed"), keys, "_position").select(*keys, "run_no", order)
-    tries = thin(runs.withColumnRenamed("run_no", "failure_run"), [*keys, "failure_run"], order, gap)
+def reconnect_attempts(reads: DataFrame, keys: list[str], order: str, gap: int) -> DataFrame:
+    """Reconnects per run of :func:`failed_reads`: the first failed read, then one every ``gap``."""
+    runs = reads.select(*keys, F.col("run_no").alias("failure_run"), order)
+    tries = thin(runs, [*keys, "failure_run"], order, gap)
     return tries.groupBy(*keys, F.col("failure_run").alias("run_no")).agg(
         F.count(F.lit(1)).alias("reconnect_attempts")
     )

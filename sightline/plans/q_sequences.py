@@ -10,6 +10,7 @@ from sightline.operators import calibration, diagnostics, scan, sequences
 from sightline.plans import derived as d
 from sightline.plans.q_matching import AGES_SQL
 from sightline.plans.registry import query
+from sightline.session import cut_lineage
 
 T = d.TRACKS_SQL
 TRACK = ["camera_id", "domain", "track_id"]
@@ -50,9 +51,9 @@ lost as (select lp.camera_id, lp.domain, lp.track_id, pos.frame_index as lost_fr
 
 
 @query("w04_lost_periods", f"with {_LOST} select * from lost")
-def lost_periods(spark, sf):
+def lost_periods(spark, sf, tracks=None):
     # Frames belong to the camera; the domain only splits the tracks.
-    tracks = d.tracks(spark, sf).withColumn("target", F.struct("domain", "track_id"))
+    tracks = (d.tracks(spark, sf) if tracks is None else tracks).withColumn("target", F.struct("domain", "track_id"))
     lost = sequences.lost_periods(
         tracks, d.frames(spark, sf), ["camera_id"], pol.PERSON_RECOVERY.lost_grace_frames, track="target"
     )
@@ -211,8 +212,9 @@ def moving_fps(spark, sf):
 def failure_runs(spark, sf):
     status = d.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), "event_id", "event_type")
     failed = F.col("event_type").isin("error", "signup")
-    runs = sequences.failure_runs(status, ["source_id"], "event_id", failed)
-    attempts = sequences.reconnect_attempts(status, ["source_id"], "event_id", failed, 200)
+    reads = sequences.failed_reads(status, ["source_id"], "event_id", failed)
+    runs = sequences.failure_runs(reads, ["source_id"], "event_id")
+    attempts = sequences.reconnect_attempts(reads, ["source_id"], "event_id", 200)
     return runs.join(attempts, ["source_id", "run_no"]).select(
         "source_id", "run_no", "first_failure", "failures", "recovered", "reconnect_attempts"
     )
@@ -411,9 +413,11 @@ def timing_report(spark, sf):
 )
 def domain_counters(spark, sf):
     keys = ["camera_id", "frame_index"]
-    tracks, frames = d.tracks(spark, sf), d.frames(spark, sf)
+    # Two readers: first appearances and losses.
+    tracks = cut_lineage(d.tracks(spark, sf).select("camera_id", "domain", "track_id", "frame_index"))
+    frames = d.frames(spark, sf)
     starts = tracks.groupBy("camera_id", "domain", "track_id").agg(F.min("frame_index").alias("frame_index"))
-    lost = lost_periods(spark, sf).withColumnRenamed("lost_frame", "frame_index")
+    lost = lost_periods(spark, sf, tracks).withColumnRenamed("lost_frame", "frame_index")
     changes = diagnostics.target_changes(starts, lost, keys)
     counts = ["person_active", "person_lost", "vehicle_active", "vehicle_lost"]
     filled = frames.select(*keys).join(changes, keys, "left").fillna(0, counts)
