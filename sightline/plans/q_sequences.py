@@ -237,7 +237,7 @@ def images(spark, sf):
 
 
 _SAMPLE = f"""{_IMAGES}, avail as (select vehicle_id, count(*) as available from valid group by 1 having count(*) >= 4),
-chosen as (select vehicle_id from avail order by md5('42|' || vehicle_id) limit 20),
+chosen as (select vehicle_id from avail order by md5('42|' || vehicle_id) limit 10),
 r1 as (select v.*, row_number() over (partition by v.vehicle_id, cam order by md5('42|' || image_name), image_name) as rnd from valid v join chosen using (vehicle_id)),
 r2 as (select *, row_number() over (partition by vehicle_id order by rnd, md5('42|' || vehicle_id || '|' || cam), cam) as pick from r1),
 picked as (select * from r2 where pick <= 4)"""
@@ -245,7 +245,7 @@ picked as (select * from r2 where pick <= 4)"""
 
 def _picked(spark, sf):
     ok = text.image_suffix_ok(F.col("image_name"))
-    return calibration.balanced_sample(images(spark, sf), ok, 20, 4, "42")
+    return calibration.balanced_sample(images(spark, sf), ok, 10, 4, "42")
 
 
 @query("w15_balanced_sample", f"with {_SAMPLE} select vehicle_id, image_name, camera_id, cast(pick as integer) as pick from picked")

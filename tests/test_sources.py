@@ -217,3 +217,23 @@ def test_interruption_clears_votes_and_the_plate_of_an_unbound_track(spark):
 
     assert found(None) == [(2, 6), (3, 21)] and found(F.lit(True)) == [(2, 6)]
     assert plates.confirmations(df, ["track_id"], pol.PLATE).first().frame_index == 5
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session started elsewhere runs queries with Python functions."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "for name in ('w14_failure_runs', 'u01_embedding_provider'):\n"
+        "    name = next(q for q in e.queries() if q.startswith(name.split('_')[0] + '_'))\n"
+        "    assert e.queries()[name](spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
