@@ -81,6 +81,9 @@ def test_store_versions_deletion_and_numbers(spark, tmp_path):
     version = gallery_store.current_version(spark, path)
     gallery_store.save(spark, path, gallery_store.load(spark, path), batch_id=7)
     assert gallery_store.current_version(spark, path) == version
+    with pytest.raises(RuntimeError, match="somebody else"):
+        gallery_store.save(spark, path, gallery_store.load(spark, path), based_on=version - 1)
+    assert gallery_store.current_version(spark, path) == version
     now = gallery_store.load(spark, path)
     assert rows(now["identities"].select("identity_id")) == [(1,), (2,), (4,)]
     assert now["identities"].where("recognition_enabled").count() == 0
