@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from sightline.llm.texts import fresh, utf8
 from sightline.session import cut_lineage
 
-WINDOW, PREFIX = 20, 5
+WINDOW, PREFIX = 20, 4
 #: Occurrences from which a prefix is made as long as the window.
 GROUP = 8192
 #: Bytes of text whose anchors are found at once, and over which prefix sums run.
@@ -234,8 +234,8 @@ def _long_key(body: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
-    """``d, short, start`` of the windows of one group that no earlier window of it equals.
+def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``d, short, start, n``: runs of windows of one group that no earlier window of it equals.
 
     ``rows`` are ``d, start, n, short, body`` in order of ``d, start``.
     """
@@ -247,7 +247,7 @@ def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) ->
     if len(bodies) == 1:
         # Windows of one stretch have different places around its anchor: they differ.
         for d, start, n, shorts in bodies.values():
-            yield from ((d, short, start + j) for short in shorts for j in range(n))
+            yield from ((d, short, start, n) for short in shorts)
         return
     # The subtree, cut at the window's depth: suffixes sorted by their first words.
     suffixes = []
@@ -255,27 +255,34 @@ def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) ->
         gaps = [-1, *(m.start() for m in re.finditer(b" ", body)), len(body)]
         suffixes += [(body[gaps[j] + 1 : gaps[j + window]], d, start + j, shorts) for j in range(n)]
     suffixes.sort()
+    found = []
     for _, node in groupby(suffixes, key=lambda s: s[0]):
         _, d, start, shorts = next(node)
-        yield from ((d, short, start) for short in shorts)
+        found += [(d, short, start) for short in shorts]
         for _, other, place, more in node:
             if (other, place) != (d, start):
                 break
-            yield from ((d, short, start) for short in more)
+            found += [(d, short, start) for short in more]
+    found.sort()
+    at = 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or found[i] != (*found[i - 1][:2], found[i - 1][2] + 1):
+            yield *found[at], i - at
+            at = i
 
 
 def _subtrees(window: int):
-    """Streams rows sorted by key, d, start; yields the first windows of each key's group."""
+    """Streams rows sorted by key, d, start; yields runs (start, length) of first windows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [(), (), ()]
+            columns = list(zip(*out)) or [(), (), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["d", "short", "start"]
-            )
+            runs = [start << 16 | n for start, n in zip(columns[2], columns[3])]
+            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(runs, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["d", "short", "run"])
 
         for part in batches:
             for k, d, start, n, short, body in zip(*(c.to_pylist() for c in part.columns)):
@@ -314,8 +321,8 @@ def _cleaned(window: int):
                     np.add.at(edges, runs.last[part][spots] + 1, -1)
                     windows = np.cumsum(edges[:-1])
                     stays = batch["stays"].iat[a + i]
-                    if stays is not None and len(stays):
-                        windows[np.asarray(stays, np.int64)] = 0
+                    for run in stays if stays is not None else ():
+                        windows[run >> 16 : (run >> 16) + (run & 0xFFFF)] = 0
                     starts = np.flatnonzero(windows)
                     if not len(starts):
                         continue
@@ -338,6 +345,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     ``sha`` is the SHA-256 of the words, ``kept`` what is left of them, joined by one space (with
     ``digest_only`` its SHA-256 in hexadecimal digits); ``kept`` is null where nothing is removed.
     """
+    if not 1 <= window < 1 << 16:
+        raise ValueError("a window has 1 to 65535 words")
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), utf8(text).alias("text"))
     summary = cut_lineage(texts.mapInPandas(_summary, "doc_id long, d long, n_words long, sha binary"))
@@ -360,8 +369,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     rows = rows.mapInPandas(_stretch_rows(window), "key long, d long, start int, n int, short int, body binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "d", "start")
-    stays = rows.mapInArrow(_subtrees(window), "d long, short int, start int")
-    stays = stays.groupBy("d", "short").agg(F.collect_set("start").alias("stays"))
+    stays = rows.mapInArrow(_subtrees(window), "d long, short int, run long")
+    stays = stays.groupBy("d", "short").agg(F.collect_set("run").alias("stays"))
     known = listed.join(stays, ["d", "short"], "left")
     found = source.join(known, "d").select("d", "short", "listed", "stays", "text")
     found = found.mapInPandas(_cleaned(window), "d long, sha binary, n_removed long, kept binary").where("n_removed > 0")
