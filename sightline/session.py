@@ -63,7 +63,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may not see the driver's folders."""
+    """Send this package to the Python workers, which may not see the driver's folders.
+
+    The archive is made on the driver, and Spark serves it from there.
+    """
     context = spark.sparkContext
     if getattr(context, "_sightline_shipped", False):
         return
