@@ -315,6 +315,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame
     Of repeated rows with that id one stays; rows without an id stay, as nothing tells them apart.
     """
     groups = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, **options)
+    return keep_first(docs, groups, doc_id=doc_id)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each ``component_id`` of ``groups``, and the rows without an id."""
     name = fresh(docs.columns, "keeper")
     keepers = groups.select(F.col("component_id").alias(name)).distinct()
     kept = docs.join(keepers, F.col(doc_id) == F.col(name), "left_semi")
