@@ -121,7 +121,7 @@ _READING = "at long, epoch long, bound boolean, plate string, conf double, sharp
 
 
 class PlateProcessor(StatefulProcessor):
-    """Votes of one track in typed state: waiting readings by frame, hits by plate, the last frame.
+    """Votes of one track in typed state: waiting readings by frame and number, hits by plate, the last frame.
 
     Readings wait until the watermark has passed them and are then counted in order.  A reading
     that comes after its time goes to the output with ``late`` set and changes nothing.  Votes
@@ -133,7 +133,7 @@ class PlateProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "frame long", _READING)
+        self.waiting = handle.getMapState("waiting", "frame long, number long", _READING)
         self.votes = handle.getMapState("votes", "plate string", "hits int")
         # The last frame that was counted, its epoch and time, and whether a plate is stable.
         self.last = handle.getValueState("last", "frame long, epoch long, at long, stable boolean")
@@ -161,12 +161,12 @@ class PlateProcessor(StatefulProcessor):
     def _release(self, key: tuple, timers: Any) -> list:
         """Count what the watermark has passed; ask to be woken for the next reading or the end."""
         watermark, out = timers.getCurrentWatermarkInMs(), []
-        for (frame,) in sorted(tuple(k) for k in self.waiting.keys()):
-            reading = tuple(self.waiting.getValue((frame,)))
+        for frame, number in sorted(tuple(k) for k in self.waiting.keys()):
+            reading = tuple(self.waiting.getValue((frame, number)))
             if reading[0] > watermark:
                 self.handle.registerTimer(reading[0] + 1)
                 return out
-            self.waiting.removeKey((frame,))
+            self.waiting.removeKey((frame, number))
             out += self._count(key, frame, reading)
         if self.last.exists():
             self.handle.registerTimer(self.last.get()[2] + self.idle)
@@ -182,7 +182,10 @@ class PlateProcessor(StatefulProcessor):
                     late.append((*key, int(epoch), int(frame), plate, float(conf), float(sharpness), True))
                 else:
                     reading = (int(ts * 1000), int(epoch), bool(bound), plate, float(conf), float(sharpness))
-                    self.waiting.updateValue((int(frame),), reading)
+                    number = 0
+                    while self.waiting.containsKey((int(frame), number)):
+                        number += 1
+                    self.waiting.updateValue((int(frame), number), reading)
         yield pd.DataFrame(late + self._release(key, timerValues), columns=CONFIRMED.names)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:

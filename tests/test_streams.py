@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF, rows
 from sightline import policy as pol
-from sightline.operators import eventlog
+from sightline.operators import eventlog, plates
 from sightline.plans import derived as d, q_plates, q_sessions as q
 from sightline.streaming import batch, stream
 
@@ -82,6 +82,21 @@ def test_late_plate_readings_are_reported(spark, tmp_path):
     assert (2, False) in got
 
 
+def test_repeated_plate_readings_of_a_frame_all_count(spark, tmp_path):
+    """Two readings of one track in one frame are two votes, as in the batch form."""
+    schema = "camera_id string, domain string, track_id bigint, track_epoch bigint, frame_index bigint, ts double, plate string, conf double, sharpness double, bound boolean"
+    frames = [7] * pol.PLATE.hits + [8]
+    readings = spark.createDataFrame([("c", "vehicle", 1, 1, f, f + 1.7e9, "A", 0.9, 50.0, False) for f in frames], schema)
+    ahead = spark.createDataFrame([("end", "vehicle", 2, 1, f, f + 1.7e9, "B", 0.9, 50.0, False) for f in (900,)], schema)
+    for part in (readings, ahead):
+        part.withColumn("event_time", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = stream.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    out = drain(stream.plate_stream(source, pol.PLATE, idle_seconds=1e6), tmp_path, "plates")
+    want = rows(plates.confirmations(readings, ["camera_id", "track_id"], pol.PLATE).select("camera_id", "track_id", "frame_index", "plate"))
+    assert want == [("c", 1, 7, "A")]
+    assert rows(spark.read.parquet(out).where("not late").select("camera_id", "track_id", "frame_index", "plate")) == want
+
+
 def test_log_sink_repeats_a_batch_without_doubles(spark, tmp_path):
     log = d.log_events(spark, SF)
     log.repartition(3).write.parquet(str(tmp_path / "in"))
