@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from sightline.llm import (  # noqa: F401
+    q_bpe,
     q_decontaminate,
     q_language,
     q_mixing,
