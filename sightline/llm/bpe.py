@@ -35,7 +35,7 @@ RUN = 1 << 12
 ROWS = 1024
 
 #: Unicode's White_Space property: the space of the pattern. Fixed values.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LONG_SPACE = re.compile(f"[{SPACE}]{{{RUN},}}")
 _CUT = re.compile(r"(?<=[!-~])(?=[\t-\r ])")
 
