@@ -4,6 +4,7 @@ import corpus_pipeline
 from sightline.llm import (  # noqa: F401
     q_bpe,
     q_collocations,
+    q_conversations,
     q_decontaminate,
     q_language,
     q_mixing,
