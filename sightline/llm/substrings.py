@@ -23,7 +23,8 @@ Defined results: a null or empty text has no words; texts of fewer words than a
 all of them; a null id comes after all ids; rows with the same id are one document as to what
 is earlier, and neither of two windows at the same id and place is; repeated rows get the same
 result; extra columns pass through ``dedup`` unchanged. Hashes choose anchors and groups;
-windows are compared word by word.
+windows are compared word by word. Rows of one id (null ids are one) are told apart by a 32-bit
+hash of their text.
 """
 
 from __future__ import annotations
@@ -165,16 +166,11 @@ def _digest(joined: bytes) -> bytes:
     return hashlib.sha256(joined).digest()
 
 
-def _short(digest: bytes) -> int:
-    """Tells texts with the same id apart."""
-    return int.from_bytes(digest[:4], "big", signed=True)
-
-
 def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [b" ".join(t.split()) if t is not None else b"" for t in batch["text"]]
         n_words = [t.count(b" ") + 1 if t else 0 for t in texts]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "d": batch["d"], "n_words": n_words, "sha": [_digest(t) for t in texts]})
+        yield batch[["doc_id", "d", "short"]].assign(n_words=n_words, sha=[_digest(t) for t in texts])
 
 
 def _anchors(window: int):
@@ -182,12 +178,10 @@ def _anchors(window: int):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, texts, runs in _chunks((t.as_py() for t in batch.column(1)), window):
-                digests = [_digest(t) for t in texts]
-                short = np.array([_short(x) for x in digests], np.int64)
-                long = np.array([int.from_bytes(x[:8], "big") for x in digests], np.uint64)
-                at = (short[runs.text] << 32) | runs.first
+            ids, shorts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for a, texts, runs in _chunks((t.as_py() for t in batch.column(2)), window):
+                long = np.array([int.from_bytes(_digest(t)[:8], "big") for t in texts], np.uint64)
+                at = (shorts[a + runs.text].astype(np.int64) << 32) | runs.first
                 place = _mix(long[runs.text] + runs.first.astype(np.uint64) * _ODD[0])
                 columns = [runs.anchor.view(np.int64), ids[a + runs.text].astype(np.int64), at, place.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "d", "at", "place"])
@@ -204,9 +198,7 @@ def _stretch_rows(window: int):
             ids, shorts, listed = batch["d"].tolist(), batch["short"].tolist(), batch["listed"]
             for a, texts, runs in _chunks(batch["text"], window):
                 anchor = runs.anchor.view(np.int64)
-                for i, text in enumerate(texts):
-                    if _short(_digest(text)) != shorts[a + i]:
-                        continue
+                for i in range(len(texts)):
                     d, short = ids[a + i], shorts[a + i]
                     part, spots, flags = runs.listed(i, listed.iat[a + i])
                     firsts, lasts = runs.first[part][spots].tolist(), runs.last[part][spots].tolist()
@@ -271,6 +263,16 @@ def first_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) ->
             at = i
 
 
+def packed(start: int, n: int) -> int:
+    """A run of windows in one number; a text has fewer than 2**31 words."""
+    return start << 32 | n
+
+
+def unpacked(run: int) -> slice:
+    start = run >> 32
+    return slice(start, start + (run & 0xFFFFFFFF))
+
+
 def _subtrees(window: int):
     """Streams rows sorted by key, d, start; yields runs (start, length) of first windows."""
 
@@ -280,7 +282,7 @@ def _subtrees(window: int):
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out)) or [(), (), (), ()]
             out.clear()
-            runs = [start << 16 | n for start, n in zip(columns[2], columns[3])]
+            runs = [packed(start, n) for start, n in zip(columns[2], columns[3])]
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(runs, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["d", "short", "run"])
 
@@ -308,12 +310,9 @@ def _cleaned(window: int):
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            ids, shorts = batch["d"].tolist(), batch["short"].tolist()
+            ids = batch["d"].tolist()
             for a, texts, runs in _chunks(batch["text"], window):
                 for i, text in enumerate(texts):
-                    digest = _digest(text)
-                    if _short(digest) != shorts[a + i]:
-                        continue
                     part, spots, _ = runs.listed(i, batch["listed"].iat[a + i])
                     n = int(runs.sizes[i])
                     edges = np.zeros(n + 1, np.int64)
@@ -322,7 +321,7 @@ def _cleaned(window: int):
                     windows = np.cumsum(edges[:-1])
                     stays = batch["stays"].iat[a + i]
                     for run in stays if stays is not None else ():
-                        windows[run >> 16 : (run >> 16) + (run & 0xFFFF)] = 0
+                        windows[unpacked(run)] = 0
                     starts = np.flatnonzero(windows)
                     if not len(starts):
                         continue
@@ -332,7 +331,7 @@ def _cleaned(window: int):
                     gone = np.concatenate(([True], np.cumsum(edges[:-1]) > 0, [True])).astype(np.int8)
                     turns = np.diff(gone)
                     kept = b" ".join(runs.words(i, x, y) for x, y in zip(np.flatnonzero(turns < 0).tolist(), np.flatnonzero(turns > 0).tolist()))
-                    rows.append((ids[a + i], digest, int(gone.sum()) - 2, kept))
+                    rows.append((ids[a + i], _digest(text), int(gone.sum()) - 2, kept))
             if rows:
                 yield pd.DataFrame(rows, columns=["d", "sha", "n_removed", "kept"])
 
@@ -348,11 +347,12 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     if not 1 <= window < 1 << 16:
         raise ValueError("a window has 1 to 65535 words")
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), utf8(text).alias("text"))
-    summary = cut_lineage(texts.mapInPandas(_summary, "doc_id long, d long, n_words long, sha binary"))
-    firsts = cut_lineage(summary.groupBy("sha").agg(F.min("d").alias("d")))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), F.hash(text).alias("short"), utf8(text).alias("text"))
+    summary = cut_lineage(texts.mapInPandas(_summary, "doc_id long, d long, short int, n_words long, sha binary"))
+    firsts = cut_lineage(summary.groupBy("sha").agg(F.min(F.struct("d", "short")).alias("at")).select("sha", "at.*"))
+    summary = summary.drop("short")
 
-    source = texts.select("d", "text").where("text is not null")
+    source = texts.select("d", "short", "text").where("text is not null")
     anchors = source.mapInArrow(_anchors(window), "h long, d long, at long, place long")
     counted = anchors.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
     repeated = cut_lineage(counted.where("a <> b").select("h", (F.col("n") > GROUP).cast("int").alias("long")))
@@ -361,24 +361,22 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
         "d", F.expr("cast(shiftright(at, 32) as int)").alias("short"), F.expr("(at & 4294967295L) * 2 + long").alias("at")
     )
     listed = listed.groupBy("d", "short").agg(F.collect_set("at").alias("listed"))
-    short = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
-    short = F.when(short >= 1 << 31, short - (1 << 32)).otherwise(short).cast("int")
-    listed = cut_lineage(listed.join(firsts.select("d", short.alias("short")).distinct(), ["d", "short"], "left_semi"))
+    listed = cut_lineage(listed.join(firsts.select("d", "short"), ["d", "short"], "left_semi"))
 
-    rows = source.join(listed, "d").select("d", "short", "listed", "text")
+    rows = source.join(listed, ["d", "short"]).select("d", "short", "listed", "text")
     rows = rows.mapInPandas(_stretch_rows(window), "key long, d long, start int, n int, short int, body binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "d", "start")
     stays = rows.mapInArrow(_subtrees(window), "d long, short int, run long")
     stays = stays.groupBy("d", "short").agg(F.collect_set("run").alias("stays"))
     known = listed.join(stays, ["d", "short"], "left")
-    found = source.join(known, "d").select("d", "short", "listed", "stays", "text")
+    found = source.join(known, ["d", "short"]).select("d", "short", "listed", "stays", "text")
     found = found.mapInPandas(_cleaned(window), "d long, sha binary, n_removed long, kept binary").where("n_removed > 0")
     kept = F.sha2("kept", 256) if digest_only else F.decode("kept", "utf-8")
     found = found.select("d", "sha", "n_removed", kept.alias("kept"))
     found = found.groupBy("d", "sha").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
 
-    own = firsts.withColumn("first", F.lit(True)).join(cut_lineage(found), ["d", "sha"], "left")
+    own = firsts.drop("short").withColumn("first", F.lit(True)).join(cut_lineage(found), ["d", "sha"], "left")
     out = summary.join(cut_lineage(own), ["d", "sha"], "left")
     copy = F.col("first").isNull() & (F.col("n_words") >= window)
     nothing = F.lit(hashlib.sha256(b"").hexdigest() if digest_only else "")
@@ -393,7 +391,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with repeats cut out of ``text``; texts without repeats stay as they are."""
-    key, words, kept = (fresh(docs.columns, n) for n in ("sha", "id", "kept"))
+    key, own, words, kept = (fresh(docs.columns, n) for n in ("sha", "own_sha", "id", "kept"))
     found = repeats(docs, doc_id=doc_id, text=text, **options).where(F.col("kept").isNotNull())
     found = found.select(F.col("doc_id").alias(words), F.col("sha").alias(key), F.col("kept").alias(kept)).distinct()
 
@@ -401,6 +399,6 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opti
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _digest(b" ".join(t.split()) if t is not None else b""))
 
-    keyed = docs.withColumn("_" + key, digest(utf8(text)))
-    out = keyed.join(found, F.col("_" + key).eqNullSafe(F.col(key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(words)), "left")
+    keyed = docs.withColumn(own, digest(utf8(text)))
+    out = keyed.join(found, F.col(own).eqNullSafe(F.col(key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(words)), "left")
     return out.withColumn(text, F.coalesce(kept, text)).select(*docs.columns)

@@ -108,9 +108,10 @@ def test_short_windows_and_digests(spark):
 
 def test_dedup_keeps_columns_and_untouched_texts(spark):
     rows = made(7, n=30) + ODD
-    docs = spark.createDataFrame([(i, t, "c", 2) for i, t in rows], "doc_id long, text string, sha string, kept int")
+    docs = spark.createDataFrame([(i, t, "c", 2, "s", "o") for i, t in rows], "doc_id long, text string, sha string, kept int, _sha string, own_sha string")
     out = substrings.dedup(docs, window=8)
     assert out.columns == docs.columns
+    assert {(r.sha, r.kept, r["_sha"], r.own_sha) for r in out.collect()} == {("c", 2, "s", "o")}
     got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
     texts = {(str(i), " ".join(words(t))): t or "" for i, t in rows}
     want = sorted((d, kept if removed else texts[d, kept]) for d, _, removed, kept in brute(rows, 8))
@@ -120,3 +121,37 @@ def test_dedup_keeps_columns_and_untouched_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.repeats(docs).count() == 0
+
+
+def rare_anchor():
+    """Four words whose hash is smaller than that of about a million others."""
+    import numpy as np
+
+    pool = [f"a{i}".encode() for i in range(40)]
+    joined = b" ".join(pool)
+    ends = np.cumsum([len(w) + 1 for w in pool]) - 1
+    ids = substrings._word_hashes(joined, np.concatenate(([0], ends[:-1] + 1)), ends)
+    at = np.stack(np.meshgrid(*[np.arange(40)] * 4, indexing="ij")).reshape(4, -1)
+    grams = substrings._mix(sum(ids[at[j]] * substrings._ODD[j] for j in range(4)))
+    return [pool[i].decode() for i in at[:, int(grams.argmin())]]
+
+
+def test_run_of_more_than_65535_windows(spark):
+    """All windows differ and share one anchor: nothing may go, but for a planted repeat."""
+    anchor, fill = rare_anchor(), iter(range(10**6))
+    text = [w for _ in range(5000) for w in [*anchor, *(f"n{next(fill)}" for _ in range(13))]]
+    runs = substrings.Stretches([" ".join(text).encode()], 20)
+    assert len(set(runs.anchor.tolist())) == 1
+    copy = text[40_000:40_030]
+    rows = [(1, " ".join(text)), (2, " ".join([*copy, "end"])), (3, "other words only " * 2)]
+    assert found(spark, rows, 20) == [("1", 85_000, 0, rows[0][1]), ("2", 31, 30, "end"), ("3", 6, 0, rows[2][1].strip())]
+
+
+@pytest.mark.parametrize("start, n", [(0, 1), (0, 65_536), (70_000, 1 << 20), ((1 << 31) - 1, (1 << 31) - 1)])
+def test_packed_runs(start, n):
+    assert substrings.unpacked(substrings.packed(start, n)) == slice(start, start + n)
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"{i} " + " ".join(f"v{j}" for j in range(i, i + 30))) for i in range(300)]
+    assert found(spark, rows, 20) == brute(rows, 20)
