@@ -2,7 +2,8 @@
 
 No pair table is built.  Targets whose vectors were measured to fit ``BROADCAST_BYTES`` are
 broadcast and multiplied with the candidates where these lie, so no candidate moves.
-Beyond that rows are cut into blocks of a bounded size by a hash of their id; a task
+Beyond that rows are cut into blocks of a bounded size of vectors that lie near each other
+(``metric_index``); pairs of blocks that cannot reach the floor are skipped, and a task
 receives one block of each side, multiplies the two matrices and keeps only what the
 caller can still use.  A camera, label or identity that holds a large share of all rows
 simply has more blocks.
@@ -14,6 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sightline.operators import metric_index
+from sightline.operators.metric_index import units as _units
+
 LEFT_BLOCK = 1024
 RIGHT_BLOCK = 4096
 # A candidate block of the large case: a target is copied once per so many candidates.
@@ -21,7 +25,6 @@ WIDE_BLOCK = 16_384
 # Most bytes of target vectors (as doubles) that are broadcast.
 BROADCAST_BYTES = 64 << 20
 SLACK = 1e-9
-_EPS = 1.1920928955078125e-07
 
 
 def nothing(columns: list[str]) -> pd.DataFrame:
@@ -29,20 +32,6 @@ def nothing(columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(columns=columns, dtype=object)
 
 
-def _units(values: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Unit vectors by dimension: ``{dim: (row numbers, matrix)}``; unusable rows drop out."""
-    sizes = np.fromiter((0 if v is None else len(v) for v in values), dtype=np.int64, count=len(values))
-    result = {}
-    for size in np.unique(sizes[sizes > 0]):
-        rows = np.flatnonzero(sizes == size)
-        matrix = np.stack([np.asarray(values.iloc[r], dtype=np.float64) for r in rows])
-        lengths = np.sqrt((matrix * matrix).sum(axis=1))
-        ok = np.isfinite(matrix).all(axis=1) & (lengths > _EPS)
-        if ok.any():
-            result[int(size)] = (rows[ok], matrix[ok] / lengths[ok, None])
-    return result
-
-
 def _two_best(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the two largest entries of every row (first of equals)."""
     n, m = scores.shape
@@ -149,26 +138,12 @@ def scored_pairs(
 
         return candidates.dropna(subset=same).mapInPandas(against_all, schema)
 
-    n_left = candidates.groupBy(*same).agg(
-        F.ceil(F.count(F.lit(1)) / left_block).cast("int").alias("_nl")
-    )
-    n_right = targets.groupBy(*same).agg(
-        F.ceil(F.count(F.lit(1)) / right_block).cast("int").alias("_nr")
-    )
-    sizes = n_left.join(n_right, same)
-
-    def place(df: DataFrame, id_cols: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        spread = df.join(sizes, same)
-        return (
-            spread.withColumn(names[0], F.pmod(F.xxhash64(*id_cols), F.col(own)).cast("int"))
-            .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_nl", "_nr")
-        )
-
-    left = place(candidates, list(ids), "_nl", "_nr", ("_lb", "_rb"))
-    right = place(targets, ["target_id"], "_nr", "_nl", ("_rb", "_lb"))
+    left, right, reached = _reached(candidates, targets, same, ids, None if limit == -np.inf else limit, left_block, right_block)
+    on = [*same, "_dim", "_lb", "_rb"]
+    reached = reached.where("reachable").select(*on)
+    left = left.drop("_angles").withColumnRenamed("_block", "_lb").join(reached, on[:-1])
+    right = right.drop("_angles").withColumnRenamed("_block", "_rb").join(reached, [*on[:-2], "_rb"])
     # Both sides often come from one table; fresh names keep their keys apart.
-    on = [*same, "_lb", "_rb"]
     renamed = right.toDF(*[f"r_{c}" for c in right.columns])
     return (
         left.groupBy(*on)
@@ -177,6 +152,30 @@ def scored_pairs(
     )
 
 
+def _reached(
+    candidates: DataFrame, targets: DataFrame, same: list[str], ids: tuple[str, ...], floor: float | None, left_block: int, right_block: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides in blocks, and the pairs of blocks with a flag where the floor can be reached."""
+    chosen = metric_index.pivots(targets, ["target_id"], "centroid")
+    left = metric_index.blocked(metric_index.angled(candidates, "embedding", chosen), same, list(ids), left_block)
+    right = metric_index.blocked(metric_index.angled(targets, "centroid", chosen), same, ["target_id"], right_block)
+    return left, right, metric_index.block_pairs(left, right, same, floor)
+
+
+def reach(
+    candidates: DataFrame,
+    targets: DataFrame,
+    same: list[str],
+    floor: float,
+    ids: tuple[str, ...] = ("attempt", "track_id"),
+    left_block: int = WIDE_BLOCK,
+    right_block: int = RIGHT_BLOCK,
+) -> DataFrame:
+    """``block_pairs, multiplied``: how many pairs of blocks ``scored_pairs`` has and multiplies."""
+    _, _, reached = _reached(candidates, targets, same, ids, floor - SLACK, left_block, right_block)
+    return reached.agg(F.count(F.lit(1)).alias("block_pairs"), F.coalesce(F.sum(F.col("reachable").cast("long")), F.lit(0)).alias("multiplied"))
+
+
 def _vector_bytes(targets: DataFrame) -> int:
     """Size of all target vectors as doubles; one number."""
     size = targets.agg(F.sum(F.greatest(F.size("centroid"), F.lit(1)) * 8).alias("n")).first()["n"]

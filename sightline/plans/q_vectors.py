@@ -96,7 +96,7 @@ support as (
   group by 1, 2)"""
 
 
-def recovery_pairs(spark, sf, floor, later_wins=True, every=False):
+def recovery_pairs(spark, sf, floor, later_wins=True, every=False, **blocks):
     """Scored pairs of lost targets (one per identity) and tracks of the same camera."""
     refs = d.references(spark, sf)
     targets = d.gallery(refs).select(
@@ -106,7 +106,7 @@ def recovery_pairs(spark, sf, floor, later_wins=True, every=False):
         "centroid",
     )
     cands = d.candidates(refs)
-    pairs = similarity.scored_pairs(cands, targets, ["domain", "camera_id"], floor, later_wins, every=every)
+    pairs = similarity.scored_pairs(cands, targets, ["domain", "camera_id"], floor, later_wins, every=every, **blocks)
     return refs, cands, pairs
 
 
@@ -116,11 +116,11 @@ def with_support(refs, cands, pairs):
     return similarity.support(full, bank, ["target_id"], 3)
 
 
-@query(
-    "j05_target_candidate_scores",
-    f"""with {RECOVERY_PAIRS_SQL} select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score
-    from pairs where score >= {THRESHOLD - MARGIN}""",
-)
+J05_SQL = f"""with {RECOVERY_PAIRS_SQL} select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score
+    from pairs where score >= {THRESHOLD - MARGIN}"""
+
+
+@query("j05_target_candidate_scores", J05_SQL)
 def target_candidate_scores(spark, sf):
     """Every compatible pair that can still matter: at or above threshold minus margin."""
     _, _, pairs = recovery_pairs(spark, sf, THRESHOLD - MARGIN, every=True)
@@ -128,6 +128,15 @@ def target_candidate_scores(spark, sf):
     return pairs.select("domain", "camera_id", "attempt", "track_id", "target_id", F.round("score", 6).alias("score"))
 
 
+@query("j05_indexed_candidate_scores", J05_SQL)
+def indexed_candidate_scores(spark, sf):
+    """The same pairs by the metric index, which serves targets that are too many to broadcast."""
+    blocks = {"left_block": 64, "right_block": 32, "broadcast_bytes": -1}
+    _, _, pairs = recovery_pairs(spark, sf, THRESHOLD - MARGIN, every=True, **blocks)
+    pairs = pairs.where(F.col("score") >= THRESHOLD - MARGIN)
+    return pairs.select("domain", "camera_id", "attempt", "track_id", "target_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "a03_recovery_evidence",
     f"""with {RECOVERY_PAIRS_SQL} select domain, camera_id, attempt, track_id, target_id, round(score, 6) as score, round(support, 6) as support
