@@ -20,6 +20,7 @@ The rest is joins and grouping over the frequent n-grams only.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 22
 PARTITIONS = 1 << 12
 #: Bits of the filter at most.
 FILTER_BITS = 1 << 27
-#: N-grams that a task counts as text before it hands the counts on.
-HELD = 1 << 17
+#: N-grams that a task counts as text before it hands the counts on (some 140 bytes each).
+HELD = 1 << 19
 #: Parts of a group that are ranked apart before the last ranking.
 SALTS = 64
 
@@ -177,23 +178,20 @@ def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int):
             ok &= (bits[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
         return ok
 
-    def rows(counts: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], list(counts.values())]
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "n", "phrase", "f"])
+    def rows(counts: dict[tuple[str, int], Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+        for (group, n), found in counts.items():
+            columns = [pa.array([group] * len(found), pa.string()), pa.array([n] * len(found), pa.int32())]
+            columns += [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
+            yield pa.record_batch(columns, ["group", "n", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
-        counts: dict[tuple[str, int, bytes], int] = {}
-
-        def count(key: tuple[str, int, bytes], by: int) -> None:
-            counts[key] = counts.get(key, 0) + by
-
+        counts: defaultdict[tuple[str, int], Counter[bytes]] = defaultdict(Counter)
         for chunk in ngrams.chunks(batches):
             for n, (at, hashes) in enumerate(chunk.hashes(longest), 1):
                 if n == 1:
-                    count((chunk.group, 0, b""), len(at))
+                    counts[chunk.group, 0][b""] += len(at)
+                found = counts[chunk.group, n]
                 kept = passing(dealt(hashes, parts), bits)
                 at, hashes = at[kept], hashes[kept]
                 if not len(at):
@@ -208,13 +206,13 @@ def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int):
                 for j in range(n):
                     same &= chunk.word[at + j] == chunk.word[own + j]
                 for place, by in zip(at[first].tolist(), np.add.reduceat(same.astype(np.int64), first).tolist()):
-                    count((chunk.group, n, chunk.phrase(place, n)), by)
+                    found[chunk.phrase(place, n)] += by
                 for place in at[~same].tolist():
-                    count((chunk.group, n, chunk.phrase(place, n)), 1)
-            if len(counts) > HELD:
-                yield rows(counts)
+                    found[chunk.phrase(place, n)] += 1
+            if sum(map(len, counts.values())) > HELD:
+                yield from rows(counts)
                 counts.clear()
-        yield rows(counts)
+        yield from rows(counts)
 
     return run
 
@@ -245,7 +243,7 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", threshold
     )
     # Bounded: all slices together have the size of the filter.
     filled = bytearray(parts * slice_bits // 8)
-    for row in slices.toLocalIterator():
+    for row in slices.collect():
         at = row["part"] * slice_bits // 8
         filled[at : at + slice_bits // 8] = row["bits"]
     held = spark.sparkContext.broadcast(bytes(filled))
