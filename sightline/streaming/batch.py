@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sightline import policy as pol
 from sightline.operators import scan
+from sightline.operators.greedy import greedy_pairs, suppress  # noqa: F401
 from sightline.operators.sequences import row_fold
 from sightline.policy import EnrichmentPolicy, RecoveryPolicy
 from sightline.streaming.steps import Bank, Fifo, Registry, Seen, Session, unit
@@ -155,54 +156,6 @@ def diverse_bank(offers: DataFrame, keys: list[str], order: list[str], policy: E
     )
 
 
-def _in_order(df: DataFrame, keys: list[str], order: list, item: Column) -> DataFrame:
-    """``_items``: per key its ``item`` structs in the given order (a frame's rows, so few)."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(window))
-    return ranked.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", item.alias("item")))), lambda x: x["item"]).alias("_items")
-    )
-
-
-def _rows_of(folded: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows again from ``_kept`` structs, with the columns of ``df`` in their order."""
-    rows = folded.select(*keys, F.explode("_kept").alias("_k"))
-    return rows.select(*[F.col(c) if c in keys else F.col(f"_k.{c}").alias(c) for c in df.columns])
-
-
-def greedy_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
-    """One-to-one pairs of a frame taken best first; equal scores prefer the higher numbers.
-
-    Pairs below the matching threshold must be gone already, which also keeps this small.
-    """
-    rest = [c for c in pairs.columns if c not in keys]
-    ordered = _in_order(pairs, keys, [F.desc(score), F.desc(a), F.desc(b)], F.struct(*rest))
-    kind = dict(pairs.dtypes)
-    row = f"struct<{', '.join(f'`{c}`:{kind[c]}' for c in rest)}>"
-    step = (
-        f"if(array_contains(s.a, x.`{a}`) or array_contains(s.b, x.`{b}`), s, "
-        f"struct(array_append(s.a, x.`{a}`) as a, array_append(s.b, x.`{b}`) as b, array_append(s.k, x) as k))"
-    )
-    start = f"struct(cast(array() as array<{kind[a]}>) as a, cast(array() as array<{kind[b]}>) as b, cast(array() as array<{row}>) as k)"
-    kept = ordered.withColumn("_kept", F.expr(f"aggregate(_items, {start}, (s, x) -> {step}).k"))
-    return _rows_of(kept, pairs, keys)
-
-
-def suppress(boxes: DataFrame, keys: list[str], order: list, max_iou: float) -> DataFrame:
-    """Non-maximum suppression: drop a box that overlaps a better kept one too much."""
-    rest = [c for c in boxes.columns if c not in keys]
-    ordered = _in_order(boxes, keys, order, F.struct(*rest))
-    kind = dict(boxes.dtypes)
-    row = f"struct<{', '.join(f'`{c}`:{kind[c]}' for c in rest)}>"
-    inter = "greatest(0D, least(x.x2, k.x2) - greatest(x.x1, k.x1)) * greatest(0D, least(x.y2, k.y2) - greatest(x.y1, k.y1))"
-    union = f"((x.x2 - x.x1) * (x.y2 - x.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {inter})"
-    clash = f"exists(s, k -> {union} > 0 and {inter} / {union} > {float(max_iou)!r}D)"
-    kept = ordered.withColumn(
-        "_kept", F.expr(f"aggregate(_items, cast(array() as array<{row}>), (s, x) -> if({clash}, s, array_append(s, x)))")
-    )
-    return _rows_of(kept, boxes, keys)
-
-
 def make_session(domain: str, options: dict) -> Session:
     """A fresh session with the default policies, unless ``options`` replaces some."""
     people = domain == "person"
