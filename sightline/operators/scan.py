@@ -161,6 +161,24 @@ def running_totals(
     )
 
 
+def running(
+    df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], maxima: dict[str, Column] | None = None, chunk: int = CHUNK
+) -> DataFrame:
+    """Add sums and maxima of all rows of the key up to each one along ``order`` (unique per key)."""
+    how = {n: (F.sum, c) for n, c in sums.items()} | {n: (F.max, c) for n, c in (maxima or {}).items()}
+    rows = _chunked(df, order, chunk)
+    upto = Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(*keys, _CHUNK).agg(*[f(c).alias(f"_s_{n}") for n, (f, c) in how.items()])
+    chunks = chunks.select(*keys, _CHUNK, *[f(f"_s_{n}").over(before).alias(f"_s_{n}") for n, (f, _) in how.items()])
+    for n, (f, c) in how.items():
+        rows = rows.withColumn(f"_h_{n}", f(c).over(upto))
+    joined = rows.alias("r").join(chunks.alias("s"), _same(keys, "r", "s"))
+    total = {n: F.coalesce(F.col(f"s._s_{n}"), F.lit(0)) + F.col(f"r._h_{n}") for n in sums}
+    largest = {n: F.greatest(f"s._s_{n}", f"r._h_{n}") for n in maxima or {}}
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], *[c.alias(n) for n, c in (total | largest).items()])
+
+
 def next_minimum(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, chunk: int = CHUNK
 ) -> DataFrame:

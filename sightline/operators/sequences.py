@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline.functions import geometry as g
-from sightline.operators import scan
+from sightline.operators import jumps, scan
 from sightline.policy import GuardPolicy
 from sightline.session import cut_lineage
 
@@ -177,30 +177,17 @@ def row_fold(
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def _thin_step(state: dict, gap: int, at: int):
-    if state["last"] is not None and at - state["last"] < gap:
-        return None
-    state["last"] = at
-    return (True,)
-
-
 def thin(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
     """Keep the first row of a key and then every row at least ``gap`` after the last kept.
 
-    After a pause of ``gap`` the next row is kept whatever came before, so a key is cut
-    there first; the cuts make independent groups and spread a long key over tasks.
+    Of rows with equal times one can stay. Marks are found by chunks (``jumps``), so a long key is
+    spread over tasks.
     """
-    pieces = scan.with_runs(df, keys, at, limits={at: gap - 1}).drop("run_start")
-    kept = row_fold(
-        pieces,
-        [*keys, "run_no"],
-        [at],
-        [at],
-        lambda: {"last": None},
-        lambda state, now: _thin_step(state, gap, now),
-        "_kept boolean",
-    )
-    return kept.drop("run_no", "_kept")
+    kept = jumps.marks(df, keys, at, gap)
+    on = F.lit(True)
+    for c in [*keys, at]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return df.alias("r").join(kept.alias("m"), on, "left_semi").dropDuplicates([*keys, at])
 
 
 def segments(
@@ -210,22 +197,29 @@ def segments(
 
     A new one starts with the first frame, with another frame size, and once the time
     since the segment began reaches ``duration``.
-    """
 
-    def step(state: dict, now: int, *dims):
-        if state["start"] is None or dims != state["size"] or now - state["start"] >= duration:
-            state.update(no=state["no"] + 1, start=now, size=dims)
-        return state["no"], state["start"]
-
-    return row_fold(
-        frames,
-        keys,
-        [at, *(ties or [])],
-        [at, *size],
-        lambda: {"no": 0, "start": None, "size": None},
-        step,
-        "segment bigint, segment_start bigint",
-    )
+    A change of size starts a segment whatever came before, so it cuts a source into pieces;
+    inside a piece the starts are marks (``jumps``). No step needs a source in one task.
+    """
+    placed = scan.with_position(frames, keys, at, ties, name="_position")
+    dims = F.struct(*size)
+    before = {"_before": lambda w: F.lag(dims).over(w)}
+    placed = scan.over_last_rows(placed, keys, 1, before, position="_position")
+    changed = F.col("_before").isNull() | ~dims.eqNullSafe(F.col("_before"))
+    placed = placed.withColumn("_changed", changed.cast("long"))
+    pieces = cut_lineage(scan.running(placed, keys, "_position", {"_piece": F.col("_changed")}).drop("_before", "_changed"))
+    starts = jumps.marks(pieces, [*keys, "_piece"], at, duration)
+    on = F.lit(True)
+    for c in [*keys, "_piece", at]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
+    # Of several frames in the moment of a start the first one starts.
+    moment = [*(F.col(f"r.{c}") for c in [*keys, "_piece", at])]
+    first = F.min("r._position").over(Window.partitionBy(*moment)) == F.col("r._position")
+    starting = F.col(f"m.{at}").isNotNull() & first
+    marked = pieces.alias("r").join(starts.alias("m"), on, "left").select("r.*", F.when(starting, F.col(f"r.{at}")).alias("_start"))
+    number = F.col("_start").isNotNull().cast("long")
+    numbered = scan.running(marked, keys, "_position", {"segment": number}, {"segment_start": F.col("_start")})
+    return numbered.drop("_position", "_piece", "_start")
 
 
 def name_suffix(starts: DataFrame, keys: list[str], second: str, order: list) -> DataFrame:
