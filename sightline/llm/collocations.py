@@ -11,8 +11,8 @@ Two passes over the corpus count every n-gram that occurs ``threshold`` times or
    take off more and gets more counters instead. Nothing frequent is lost.
 2. **Exact counts.** The surviving hashes make a bit filter of fixed size (at most 16 MB, each
    partition makes its own slice), which is broadcast. Each task counts the n-grams that it lets
-   through, as words, and Spark adds the counts up. Equal hashes and a crowded filter let more
-   through and change no result.
+   through, as words; counts are dealt by phrase and added up. Equal hashes and a crowded filter let
+   more through and change no result.
 
 The rest is joins and grouping over the frequent n-grams only.
 """
@@ -20,11 +20,13 @@ The rest is joins and grouping over the frequent n-grams only.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,8 +169,12 @@ def _slices(capacity: int, threshold: int, slice_bits: int):
     return run
 
 
-def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int):
-    """Maps texts to (group, n, phrase, count) of the n-grams that pass the filter; n = 0 counts words."""
+def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int, deals: int):
+    """Maps texts to counts of the n-grams that pass the filter; n = 0 counts words.
+
+    Counts are handed on as one row for each deal (a hash of the phrase), group and n: the phrases,
+    one in a line (no word holds a line feed), and their numbers.
+    """
 
     def passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
         start = (keys >> np.uint64(32)) * np.uint64(slice_bits)
@@ -180,9 +186,17 @@ def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int):
 
     def rows(counts: dict[tuple[str, int], Counter[bytes]]) -> Iterator[pa.RecordBatch]:
         for (group, n), found in counts.items():
-            columns = [pa.array([group] * len(found), pa.string()), pa.array([n] * len(found), pa.int32())]
-            columns += [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
-            yield pa.record_batch(columns, ["group", "n", "phrase", "f"])
+            hands: defaultdict[int, list[bytes]] = defaultdict(list)
+            for phrase in found:
+                hands[xxhash.xxh64_intdigest(phrase) % deals].append(phrase)
+            columns = [
+                pa.array(list(hands), pa.int64()),
+                pa.array([group] * len(hands), pa.string()),
+                pa.array([n] * len(hands), pa.int32()),
+                pa.array([zlib.compress(b"\n".join(phrases), 1) for phrases in hands.values()], pa.binary()),
+                pa.array([[found[phrase] for phrase in phrases] for phrases in hands.values()], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(columns, ["deal", "group", "n", "phrases", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
@@ -217,6 +231,31 @@ def _counts(held: Broadcast, parts: int, slice_bits: int, longest: int):
     return run
 
 
+def _totals(threshold: int):
+    """Adds up the counts of each deal, group and n, rows in order of them; infrequent n-grams go."""
+
+    def rows(group: str, n: int, total: Counter[bytes]) -> pa.RecordBatch:
+        kept = [(p, f) for p, f in total.items() if f >= threshold or n == 0]
+        columns = [[group] * len(kept), [n] * len(kept), [p for p, _ in kept], [f for _, f in kept]]
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "n", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, Counter()
+        for batch in batches:
+            for deal, group, n, phrases, f in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if (deal, group, n) != key:
+                    if key is not None:
+                        yield rows(*key[1:], total)
+                    key, total = (deal, group, n), Counter()
+                for phrase, by in zip(zlib.decompress(phrases).split(b"\n"), f):
+                    total[phrase] += by
+        if key is not None:
+            yield rows(*key[1:], total)
+
+    return run
+
+
 def frequent(docs: DataFrame, text: str = "text", group: str = "lang", threshold: int = 30, longest: int = 4) -> DataFrame:
     """(group, n, phrase, f): every n-gram of up to ``longest`` words with ``threshold`` occurrences.
 
@@ -248,9 +287,13 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", threshold
         filled[at : at + slice_bits // 8] = row["bits"]
     held = spark.sparkContext.broadcast(bytes(filled))
 
-    counted = rows.mapInArrow(_counts(held, parts, slice_bits, longest), "group string, n int, phrase binary, f long")
-    total = counted.groupBy("group", "n", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
-    return cut_lineage(total.where((F.col("n") == 0) | (F.col("f") >= threshold)))
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.mapInArrow(
+        _counts(held, parts, slice_bits, longest, deals), "deal long, group string, n int, phrases binary, f array<long>"
+    )
+    dealt_out = counted.repartition("deal").sortWithinPartitions("deal", "group", "n")
+    total = dealt_out.mapInArrow(_totals(threshold), "group string, n int, phrase binary, f long")
+    return cut_lineage(total.withColumn("phrase", F.col("phrase").cast("string")))
 
 
 def scored(grams: DataFrame) -> DataFrame:

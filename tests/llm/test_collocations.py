@@ -111,7 +111,7 @@ def test_equal_hashes_change_nothing(spark, monkeypatch):
         value = b"\xff" * 8
 
     out = Counter()
-    for batch in c._counts(Held, 1, 64, 2)(iter([rows])):
+    for batch in c._totals(1)(c._counts(Held, 1, 64, 2, 3)(iter([rows]))):
         for n, phrase, f in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             out[n, phrase] += f
     assert out == {(0, b""): 5, (1, b"a"): 2, (1, b"b"): 2, (1, b"c"): 1, (2, b"a b"): 2, (2, b"b a"): 1, (2, b"b c"): 1}
