@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sightline.operators.similarity import _block_scores, block_grid, nothing
-from sightline.session import cut_lineage
 
-# Cells of the histogram: scores lie in [-1, 1], so there are at most 2 000 003 of them.
-CELLS = 1_000_000
+# Cells of the histogram per unit: scores lie in [-1, 1], so a block of pairs has at most 4 099 of a kind.
+CELLS = 2048
+# A cell that holds a wanted order statistic is cut into so many, until so few pairs are in it.
+RADIX, LISTED = 4096, 4096
+# Digits after which a cell holds a handful of different doubles at most.
+DIGITS = 4
 QUANTILES = (0.1, 0.5, 0.9, 0.95)
 MAX_BLOCK = 2048
 
@@ -60,12 +63,16 @@ def pair_histogram(samples: DataFrame, block: int | None = None) -> DataFrame:
         parts = []
         for flag, rows, columns, scores, mask in _kinds(pdf):
             values = scores[mask]
-            cells, at = np.unique(_cell(values), return_inverse=True)
-            part = pd.DataFrame({"same_label": flag, "cell": cells, "pairs": np.bincount(at), "total": np.bincount(at, values)})
-            low, high = np.full(len(cells), np.inf), np.full(len(cells), -np.inf)
+            at = _cell(values)
+            base = int(at.min())
+            at -= base
+            pairs = np.bincount(at)
+            cells = np.flatnonzero(pairs)
+            part = pd.DataFrame({"same_label": flag, "cell": cells + base, "pairs": pairs[cells], "total": np.bincount(at, values)[cells]})
+            low, high = np.full(len(pairs), np.inf), np.full(len(pairs), -np.inf)
             np.minimum.at(low, at, values)
             np.maximum.at(high, at, values)
-            part["low"], part["high"] = low, high
+            part["low"], part["high"] = low[cells], high[cells]
             # The block's hardest pair stands in the row of its cell.
             worst = values.min() if flag else values.max()
             i, j = np.nonzero(mask & (scores == worst))
@@ -90,70 +97,105 @@ def pair_histogram(samples: DataFrame, block: int | None = None) -> DataFrame:
     )
 
 
-def _wanted_cells(histogram: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-    """Cells that hold the order statistics around each quantile: a few rows per kind."""
-    along = Window.partitionBy("same_label").orderBy("cell")
-    upto = F.sum("pairs").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("pairs").over(Window.partitionBy("same_label"))
-    placed = histogram.select("same_label", "cell", "pairs", upto.alias("upto"), n.alias("n"))
-    ranks = F.array(*[x for q in quantiles for x in (F.floor((F.col("n") - 1) * q), F.ceil((F.col("n") - 1) * q))])
-    held = placed.withColumn("ranks", ranks).withColumn("before", F.col("upto") - F.col("pairs"))
-    return held.where(F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto")))).select(
-        "same_label", "cell", "before", "n"
-    )
+def _inside(values: np.ndarray, path: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Values in the cell that ``path`` names, and how far (0 to 1) each lies in it.
 
+    The first number of a path is a cell of the histogram, each further one a digit inside the cell
+    before. Digits are powers of two, so all steps are exact.
+    """
+    scaled = values * CELLS
+    here = np.rint(scaled) == path[0]
+    values, rest = values[here], scaled[here] - path[0] + 0.5
+    for digit in path[1:]:
+        cut = np.minimum(np.floor(rest * RADIX), RADIX - 1)
+        here = cut == digit
+        values, rest = values[here], rest[here] * RADIX - digit
+    return values, rest
 
-def distribution(samples: DataFrame, block: int | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """min, percentiles (linear interpolation), mean and max of both kinds of pairs.
 
-    All are exact.  The histogram tells in which cells the order statistics lie; a second
-    pass over the blocks counts the scores of these few cells one by one.
-    """
-    histogram = cut_lineage(pair_histogram(samples, block))
-    wanted = _wanted_cells(histogram, quantiles)
-    # At most four cells per quantile (two kinds of pairs, two order statistics each).
-    cells = {(r.same_label, r.cell): (r.before, r.n) for r in wanted.collect()}
-    names = ["same_label", "cell", "score", "pairs"]
+def _paths(samples: DataFrame, block: int | None, paths: set, listed: bool) -> dict[tuple, list[tuple[float, int]]]:
+    """For each (kind, path): pairs by next digit, or by score itself. Bounded, so it comes to the driver."""
+    names = ["path", "value", "pairs"]
+    ordered = sorted(paths)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for flag, _, _, scores, mask in _kinds(pdf):
             values = scores[mask]
-            at = _cell(values)
-            for kind, cell in cells:
-                if kind == flag:
-                    found, n = np.unique(values[at == cell], return_counts=True)
-                    parts.append(pd.DataFrame({"same_label": flag, "cell": cell, "score": found, "pairs": n}))
+            for i, (kind, path) in enumerate(ordered):
+                if kind != flag:
+                    continue
+                found, rest = _inside(values, path)
+                if not listed:
+                    found = np.minimum(np.floor(rest * RADIX), RADIX - 1)
+                found, n = np.unique(found, return_counts=True)
+                parts.append(pd.DataFrame({"path": i, "value": found, "pairs": n}))
         return pd.concat(parts)[names] if parts else nothing(names)
 
-    schema = "same_label boolean, cell bigint, score double, pairs bigint"
-    values = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, schema)
-    values = values.groupBy("same_label", "cell", "score").agg(F.sum("pairs").alias("pairs"))
-    inside = Window.partitionBy("same_label", "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("pairs").over(inside)
-    places = samples.sparkSession.createDataFrame(
-        [(*k, *v) for k, v in cells.items()], "same_label boolean, cell bigint, before bigint, n bigint"
-    )
-    ranked = values.withColumn("upto", upto).join(F.broadcast(places), ["same_label", "cell"])
-    ranked = ranked.withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("pairs") + 1)
+    counted = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, "path int, value double, pairs bigint")
+    rows = counted.groupBy("path", "value").agg(F.sum("pairs").alias("pairs")).collect()
+    out: dict[tuple, list[tuple[float, int]]] = {p: [] for p in ordered}
+    for r in sorted(rows):
+        out[ordered[r.path]].append((r.value, r.pairs))
+    return out
 
-    def order_statistic(rank):
-        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("score")))
 
-    def quantile(q: float, name: str):
-        at = (F.col("n") - 1) * F.lit(q)
-        low, high = order_statistic(F.floor(at)), order_statistic(F.ceil(at))
-        return (low + (high - low) * F.first(at - F.floor(at))).alias(name)
+def _place(counts: list[tuple[float, int]], rank: int) -> tuple[float, int, int]:
+    """Value that holds the pair of this rank (from zero), the rank inside it, and its pairs."""
+    for value, n in counts:
+        if rank < n:
+            return value, rank, n
+        rank -= n
+    raise ValueError("a rank beyond the last pair")
 
+
+def _order_statistics(samples: DataFrame, block: int | None, cells: dict, wanted: set) -> dict[tuple[bool, int], float]:
+    """Scores of the wanted (kind, rank), all found in the same passes.
+
+    Radix descent: the histogram names the cell of a rank, a pass over the pairs cuts the cells that
+    still hold many of them, and the last pass reads the scores of the cells that are left.
+    """
+    at = {}
+    for flag, rank in wanted:
+        cell, inner, n = _place(cells[flag], rank)
+        at[flag, rank] = ((int(cell),), inner, n)
+    while True:
+        wide = {(flag, path) for (flag, _), (path, _, n) in at.items() if n > LISTED and len(path) <= DIGITS}
+        if not wide:
+            break
+        digits = _paths(samples, block, wide, listed=False)
+        for (flag, rank), (path, inner, _) in list(at.items()):
+            if (flag, path) in wide:
+                digit, inner, n = _place(digits[flag, path], inner)
+                at[flag, rank] = ((*path, int(digit)), inner, n)
+    scores = _paths(samples, block, {(flag, path) for (flag, _), (path, _, _) in at.items()}, listed=True)
+    return {key: _place(scores[key[0], path], inner)[0] for key, (path, inner, _) in at.items()}
+
+
+def distribution(samples: DataFrame, block: int | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """min, percentiles (linear interpolation), mean and max of both kinds of pairs; all are exact."""
     labels = ["p10", "median", "p90", "p95"] if quantiles == QUANTILES else [f"q{i}" for i in range(len(quantiles))]
-    found = ranked.groupBy("same_label").agg(*[quantile(q, name) for q, name in zip(quantiles, labels)])
-    stats = histogram.groupBy("same_label").agg(
-        F.sum("pairs").alias("n_pairs"),
-        F.min("low").alias("min"),
-        (F.sum("total") / F.sum("pairs")).alias("mean"),
-        F.max("high").alias("max"),
-    )
-    return stats.join(found, "same_label").select("same_label", "n_pairs", "min", *labels, "mean", "max")
+    # At most 4 099 cells of each kind.
+    histogram = pair_histogram(samples, block).drop("pair").collect()
+    kinds: dict[bool, list] = {}
+    for r in sorted(histogram, key=lambda r: r.cell):
+        kinds.setdefault(r.same_label, []).append(r)
+    cells = {flag: [(r.cell, r.pairs) for r in found] for flag, found in kinds.items()}
+    sizes = {flag: sum(n for _, n in found) for flag, found in cells.items()}
+    spots = {(flag, q): (n - 1) * q for flag, n in sizes.items() for q in quantiles}
+    wanted = {(flag, rank) for (flag, _), x in spots.items() for rank in (math.floor(x), math.ceil(x))}
+    score = _order_statistics(samples, block, cells, wanted) if wanted else {}
+    rows = []
+    for flag, found in kinds.items():
+        middle = []
+        for q in quantiles:
+            x = spots[flag, q]
+            low, high = score[flag, math.floor(x)], score[flag, math.ceil(x)]
+            middle.append(low + (high - low) * (x - math.floor(x)))
+        mean = math.fsum(r.total for r in found) / sizes[flag]
+        rows.append((flag, sizes[flag], min(r.low for r in found), *middle, mean, max(r.high for r in found)))
+    columns = ", ".join(f"{c} double" for c in ("min", *labels, "mean", "max"))
+    return samples.sparkSession.createDataFrame(rows, f"same_label boolean, n_pairs bigint, {columns}")
 
 
 def hardest_pairs(histogram: DataFrame) -> DataFrame:

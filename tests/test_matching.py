@@ -157,6 +157,27 @@ def test_calibration_counts_pairs(spark, block):
     assert hard == {"hardest_positive": min(pos)[1:], "hardest_negative": max(neg)[1:]}
 
 
+@pytest.mark.parametrize("listed", [1, 20, 4096])
+def test_order_statistics_by_digits(spark, monkeypatch, listed):
+    """Crowded cells are cut into digits; copies share a score, however small the cell."""
+    monkeypatch.setattr(calibration, "LISTED", listed)
+    rng = np.random.default_rng(11)
+    near = np.array([1.0, 0.0, 0.0]) + 1e-4 * rng.normal(size=(40, 3))
+    data = [(f"n{i:02d}", 1, [float(x) for x in v]) for i, v in enumerate(near)]
+    data += [(f"c{i:02d}", 2, [0.6, 0.8, 0.0]) for i in range(12)] + [("bad", 2, [float("nan")] * 3), ("none", 2, None)]
+    df = spark.createDataFrame(data, "name string, label bigint, embedding array<double>")
+    got = {r.same_label: r for r in calibration.distribution(df, block=16, quantiles=(0.0, 0.13, 0.5, 0.77, 1.0)).collect()}
+    for flag in (True, False):
+        s = [cos(a[2], b[2]) for a, b in itertools.combinations(data[:52], 2) if (a[1] == b[1]) == flag]
+        assert got[flag].n_pairs == len(s)
+        for i, q in enumerate((0, 13, 50, 77, 100)):
+            assert got[flag][f"q{i}"] == pytest.approx(np.percentile(s, q), abs=1e-14)
+        assert got[flag].mean == pytest.approx(np.mean(s), abs=1e-12)
+    rows_of_blocks = calibration.pair_histogram(df, block=16)
+    assert rows_of_blocks.count() <= 2 * (2 * calibration.CELLS + 3)
+    assert calibration.distribution(df.limit(0)).count() == 0
+
+
 def test_known_calibration_case(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.0, 1.0])], "name string, label bigint, embedding array<double>")
     got = {r.same_label: (r.n_pairs, r.min, r.max) for r in calibration.distribution(df).collect()}
