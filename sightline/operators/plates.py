@@ -93,15 +93,25 @@ def stale_reason(
     (``class_id``, ``track_epoch``, ``target_id``, ``stable_plate``); the first reason in
     order decides.  Track numbers repeat across cameras, so ``keys`` names the track.
     """
-    now = states.select(
+    joined = results.join(current_state(states, keys), [*keys, "arrive_frame"], "left")
+    return with_stale_reason(joined, policy)
+
+
+def current_state(states: DataFrame, keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """State of a track in the frame in which a result may arrive."""
+    return states.select(
         *keys,
         F.col("frame_index").alias("arrive_frame"),
         F.col("class_id").alias("now_class"),
         F.col("track_epoch").alias("now_epoch"),
         F.col("target_id").alias("now_target"),
         F.col("stable_plate").alias("now_plate"),
+        *more,
     )
-    joined = results.join(now, [*keys, "arrive_frame"], "left")
+
+
+def with_stale_reason(joined: DataFrame, policy: PlatePolicy) -> DataFrame:
+    """``reason`` of results that stand beside the ``current_state`` of their frame."""
     reason = (
         F.when(~F.col("task_known"), "unknown_task")
         .when(F.col("error").isNotNull(), "failed")

@@ -173,9 +173,13 @@ class PlateProcessor(StatefulProcessor):
         return out
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        key, late = tuple(key), []
+        key, late, ended = tuple(key), [], False
         done = self.last.get()[0] if self.last.exists() else None
         for pdf in rows:
+            if "end" in pdf.columns:
+                marks = pdf["end"].fillna(False).astype(bool)
+                ended = ended or bool(marks.any())
+                pdf = pdf[~marks]
             columns = ["frame_index", "ts", "track_epoch", "bound", "plate", "conf", "sharpness"]
             for frame, ts, epoch, bound, plate, conf, sharpness in zip(*[pdf[c].tolist() for c in columns]):
                 if done is not None and frame <= done:
@@ -186,7 +190,18 @@ class PlateProcessor(StatefulProcessor):
                     while self.waiting.containsKey((int(frame), number)):
                         number += 1
                     self.waiting.updateValue((int(frame), number), reading)
-        yield pd.DataFrame(late + self._release(key, timerValues), columns=CONFIRMED.names)
+        out = self._finish(key) if ended else self._release(key, timerValues)
+        yield pd.DataFrame(late + out, columns=CONFIRMED.names)
+
+    def _finish(self, key: tuple) -> list:
+        """The recording is over: count all that waits, and forget the track."""
+        out = []
+        for frame, number in sorted(tuple(k) for k in self.waiting.keys()):
+            out += self._count(key, frame, tuple(self.waiting.getValue((frame, number))))
+            self.waiting.removeKey((frame, number))
+        self.votes.clear()
+        self.last.clear()
+        return out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         out = self._release(tuple(key), timerValues)
@@ -206,7 +221,8 @@ def plate_stream(
     """Confirmed plates of a stream of gated readings, per camera, domain and track.
 
     ``event_time`` is the time of the frame, ``ts`` the same in seconds; ``track_epoch`` counts
-    a track's uninterrupted appearances, ``bound`` tells whether it follows a target.
+    a track's uninterrupted appearances, ``bound`` tells whether it follows a target. A row with
+    ``end`` set (``feeds.end_rows``) finishes its track: readings that still wait are counted.
     """
     return (
         readings.withWatermark("event_time", delay)
