@@ -330,6 +330,21 @@ def run_stats(spark, sf):
     return diagnostics.run_stats(d.frames(spark, sf), d.tracks(spark, sf), ["camera_id"])
 
 
+@query(
+    "a11_track_sketches",
+    f"""with {T}, u as (select domain, count(distinct camera_id || '|' || track_id) as exact from tracks group by 1)
+    select domain, exact, true as within_two_percent from u""",
+)
+def track_sketches(spark, sf):
+    """Sketches of every camera and stretch of frames, united, beside the exact counts."""
+    tracks = d.tracks(spark, sf)
+    parts = diagnostics.track_sketches(tracks.withColumn("part", F.floor(F.col("frame_index") / 1000)), ["camera_id", "part"])
+    united = diagnostics.united_tracks(parts, []).select("domain", "unique_tracks")
+    exact = tracks.select("domain", "camera_id", "track_id").distinct().groupBy("domain").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.abs(F.col("unique_tracks") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.02)
+    return exact.join(united, "domain").select("domain", "exact", near.alias("within_two_percent"))
+
+
 @query(
     "a12_recent_unique_tracks",
     """with r as (select event_type as source, user_id, row_number() over (partition by event_type order by event_id desc) as rn from events)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sightline import policy as pol
@@ -11,7 +13,8 @@ from sightline.plans import derived as d
 from sightline.plans.q_matching import BINDINGS_SQL, bindings
 from sightline.plans.q_plates import _CONFIRM, confirmed_plates, recordings
 from sightline.plans.registry import query
-from sightline.sources import dumps as dump_files, embeddings as codec
+from sightline.session import checkpoint_dir, cut_lineage, remove_folder
+from sightline.sources import delta_store, dumps as dump_files, embeddings as codec
 
 T, G, L = d.TRACKS_SQL, d.GALLERY_SQL, d.LOG_SQL
 
@@ -81,11 +84,11 @@ def legacy_columns(spark, sf):
     )
 
 
-@query(
-    "s07_save_new_identities",
-    f"""with {G}, nx as (select domain, max(identity_id) + 1 as n from gallery group by 1), inc as (select domain, identity_id + case when identity_id % 2 = 0 then 500000 else 0 end + case when identity_id % 3 = 0 then 600000 else 0 end as identity_id from gallery)
-    select i.domain, i.identity_id, case when i.identity_id < nx.n then 'id_already_used' else 'saved' end as outcome from inc i join nx using (domain)""",
-)
+S07_SQL = f"""with {G}, nx as (select domain, max(identity_id) + 1 as n from gallery group by 1), inc as (select domain, identity_id + case when identity_id % 2 = 0 then 500000 else 0 end + case when identity_id % 3 = 0 then 600000 else 0 end as identity_id from gallery)
+    select i.domain, i.identity_id, case when i.identity_id < nx.n then 'id_already_used' else 'saved' end as outcome from inc i join nx using (domain)"""
+
+
+@query("s07_save_new_identities", S07_SQL)
 def save_new_identities(spark, sf):
     ids = _tables(spark, sf)["identities"]
     i = F.col("identity_id")
@@ -99,12 +102,12 @@ def save_new_identities(spark, sf):
     )
 
 
-@query(
-    "s08_replace_features",
-    f"""with {G}, upd as (select * from gallery where identity_id % 4 = 2), new_refs as (select domain, identity_id, embedding_index, vec_id from refs where identity_id % 4 = 2 and embedding_index < 5),
+S08_SQL = f"""with {G}, upd as (select * from gallery where identity_id % 4 = 2), new_refs as (select domain, identity_id, embedding_index, vec_id from refs where identity_id % 4 = 2 and embedding_index < 5),
     r as (select domain, identity_id, embedding_index, 'old' as source from refs where identity_id % 4 <> 2 union all select domain, identity_id, embedding_index, 'new' from new_refs)
-    select r.domain, r.identity_id, r.embedding_index, r.source, g.label, round(case when g.identity_id % 4 = 2 then g.centroid[2] else g.centroid[1] end, 6) as first_value from r join gallery g using (domain, identity_id)""",
-)
+    select r.domain, r.identity_id, r.embedding_index, r.source, g.label, round(case when g.identity_id % 4 = 2 then g.centroid[2] else g.centroid[1] end, 6) as first_value from r join gallery g using (domain, identity_id)"""
+
+
+@query("s08_replace_features", S08_SQL)
 def replace_features(spark, sf):
     t = _tables(spark, sf)
     refs = t["references"].withColumn("source", F.lit("old"))
@@ -123,12 +126,12 @@ def replace_features(spark, sf):
     )
 
 
-@query(
-    "s09_set_column",
-    f"""with {G}, upd as (select domain, identity_id + case when identity_id % 7 = 0 then 900000 else 0 end as identity_id, identity_id % 2 = 0 as flag from gallery where identity_id % 3 = 0)
+S09_SQL = f"""with {G}, upd as (select domain, identity_id + case when identity_id % 7 = 0 then 900000 else 0 end as identity_id, identity_id % 2 = 0 as flag from gallery where identity_id % 3 = 0)
     select g.domain, g.identity_id, coalesce(u.flag, g.recognition_enabled) as recognition_enabled, 'stored' as state from gallery g left join upd u using (domain, identity_id)
-    union all select domain, identity_id, false, 'unknown' from upd where identity_id not in (select identity_id from gallery)""",
-)
+    union all select domain, identity_id, false, 'unknown' from upd where identity_id not in (select identity_id from gallery)"""
+
+
+@query("s09_set_column", S09_SQL)
 def set_column(spark, sf):
     ids = _tables(spark, sf)["identities"]
     i = F.col("identity_id")
@@ -141,14 +144,14 @@ def set_column(spark, sf):
     )
 
 
-@query(
-    "s10_delete_cascade",
-    f"""with {G}, req as (select domain, identity_id from refs where vec_id % 3 = 0 and identity_id % 5 in (1, 2) union all select 'person', 777777), gone as (select distinct domain, identity_id from req where identity_id in (select identity_id from gallery))
+S10_SQL = f"""with {G}, req as (select domain, identity_id from refs where vec_id % 3 = 0 and identity_id % 5 in (1, 2) union all select 'person', 777777), gone as (select distinct domain, identity_id from req where identity_id in (select identity_id from gallery))
     select 'deleted' as part, domain, count(*) as rows from gone group by 2
     union all select 'identities', domain, count(*) from gallery where identity_id not in (select identity_id from req) group by 2
     union all select 'references', domain, count(*) from refs where identity_id not in (select identity_id from req) group by 2
-    union all select 'snapshots', domain, count(*) from gallery where identity_id % 4 <> 1 and identity_id not in (select identity_id from req) group by 2""",
-)
+    union all select 'snapshots', domain, count(*) from gallery where identity_id % 4 <> 1 and identity_id not in (select identity_id from req) group by 2"""
+
+
+@query("s10_delete_cascade", S10_SQL)
 def delete_cascade(spark, sf):
     tables = _tables(spark, sf)
     asked = d.references(spark, sf).where((F.col("vec_id") % 3 == 0) & (F.col("identity_id") % 5).isin(1, 2))
@@ -162,6 +165,98 @@ def delete_cascade(spark, sf):
     return out.groupBy("part", "domain").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _changed_store(spark, sf, change, read):
+    """``read`` of a store after ``change``, both through files in the shared folder, which go afterwards."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    tables = _tables(spark, sf)
+    ids = tables["identities"]
+    tables["meta"] = ids.groupBy("domain").agg((F.max("identity_id") + 1).alias("next_id"))
+    delta_store.create(spark, path, tables)
+    found = change(path, tables)
+    out = cut_lineage(read(delta_store.load(spark, path), found))
+    remove_folder(spark, path)
+    return out
+
+
+@query("s07_stored_identities", S07_SQL)
+def stored_identities(spark, sf):
+    """New identities as a delta of the stored ones."""
+    i = F.col("identity_id")
+    bump = F.when(i % 2 == 0, 500000).otherwise(0) + F.when(i % 3 == 0, 600000).otherwise(0)
+
+    def change(path, t):
+        moved = {n: t[n].withColumn("identity_id", i + bump) for n in ("identities", "references", "snapshots")}
+        return t["identities"], delta_store.add_identities(spark, path, *moved.values())
+
+    def read(now, found):
+        old, refused = found
+        saved = now["identities"].join(old.select("domain", "identity_id"), ["domain", "identity_id"], "left_anti")
+        saved = saved.select("domain", "identity_id", F.lit("saved").alias("outcome"))
+        return saved.unionByName(refused.withColumnRenamed("reason", "outcome"))
+
+    return _changed_store(spark, sf, change, read)
+
+
+@query("s08_stored_features", S08_SQL)
+def stored_features(spark, sf):
+    """New centroids and banks of some identities as a delta."""
+    chosen = F.col("identity_id") % 4 == 2
+
+    def change(path, t):
+        centroids = t["identities"].where(chosen).select("domain", "identity_id", F.slice("centroid", 2, 63).alias("centroid"))
+        banks = t["references"].where(chosen & (F.col("embedding_index") < 5))
+        delta_store.replace_features(spark, path, centroids, banks.withColumn("source", F.lit("new")))
+
+    def read(now, _):
+        ids = now["identities"].select("domain", "identity_id", "label", "centroid")
+        return now["references"].join(ids, ["domain", "identity_id"]).select(
+            "domain",
+            "identity_id",
+            "embedding_index",
+            F.coalesce("source", F.lit("old")).alias("source"),
+            "label",
+            F.round(F.col("centroid")[0], 6).alias("first_value"),
+        )
+
+    return _changed_store(spark, sf, change, read)
+
+
+@query("s09_stored_column", S09_SQL)
+def stored_column(spark, sf):
+    """One flag of some identities as a delta of flags."""
+    i = F.col("identity_id")
+
+    def change(path, t):
+        moved = (i + F.when(i % 7 == 0, 900000).otherwise(0)).alias("identity_id")
+        flags = t["identities"].where(i % 3 == 0).select("domain", moved, (i % 2 == 0).alias("recognition_enabled"))
+        return delta_store.set_column(spark, path, flags, "recognition_enabled")
+
+    def read(now, unknown):
+        known = now["identities"].select("domain", "identity_id", "recognition_enabled", F.lit("stored").alias("state"))
+        off = F.lit(False).alias("recognition_enabled")
+        return known.unionByName(unknown.select("domain", "identity_id", off, F.lit("unknown").alias("state")))
+
+    return _changed_store(spark, sf, change, read)
+
+
+@query("s10_stored_delete", S10_SQL)
+def stored_delete(spark, sf):
+    """Deleted identities as tombstones."""
+    asked = d.references(spark, sf).where((F.col("vec_id") % 3 == 0) & (F.col("identity_id") % 5).isin(1, 2))
+    unknown = spark.range(777777, 777778).select(F.lit("person").alias("domain"), F.col("id").alias("identity_id"))
+
+    def change(path, _):
+        return delta_store.remove_identities(spark, path, asked.select("domain", "identity_id").unionByName(unknown))
+
+    def read(now, deleted):
+        out = deleted.withColumn("part", F.lit("deleted"))
+        for name in ("identities", "references", "snapshots"):
+            out = out.unionByName(now[name].select("domain", "identity_id").withColumn("part", F.lit(name)))
+        return out.groupBy("part", "domain").agg(F.count(F.lit(1)).alias("rows"))
+
+    return _changed_store(spark, sf, change, read)
+
+
 @query(
     "s11_allocate_ids",
     f"""with {G}, nx as (select domain, greatest(max(identity_id) + 1, case when domain = 'person' then 1000 else 1 end) as n from gallery group by 1)
