@@ -103,16 +103,16 @@ def test_no_store(spark, tmp_path):
         store.set_column(spark, str(tmp_path), None, "created_at")
 
 
-def test_united_sketches_of_any_parts_are_equal(spark):
-    tracks = spark.range(40_000).select(
-        F.when(F.col("id") % 3 == 0, "person").otherwise("vehicle").alias("domain"), (F.col("id") % 9000).alias("track_id"), (F.col("id") % 24).alias("hour"), (F.col("id") % 7).alias("run")
+def test_union_of_sketches_is_the_sketch_of_all(spark):
+    tracks = spark.range(400_000).select(
+        F.when(F.col("id") % 3 == 0, "person").otherwise("vehicle").alias("domain"), (F.col("id") % 90_001).alias("track_id"), (F.col("id") % 24).alias("hour"), (F.col("id") % 7).alias("run")
     )
     hours = diagnostics.track_sketches(tracks, ["hour"])
     parts = diagnostics.united_tracks(hours, [])
-    # However the parts are cut, and united at once or step by step (one sketch alone is estimated another way).
-    runs = diagnostics.united_tracks(diagnostics.track_sketches(tracks, ["run"]), [])
+    whole = diagnostics.united_tracks(diagnostics.track_sketches(tracks, []), [])
     steps = diagnostics.united_tracks(hours.withColumn("day", F.col("hour") % 2), ["day"]).drop("unique_tracks")
-    assert rows(parts.select("domain", "unique_tracks")) == rows(runs.select("domain", "unique_tracks"))
-    assert rows(parts.select("domain", "unique_tracks")) == rows(diagnostics.united_tracks(steps, []).select("domain", "unique_tracks"))
+    runs = diagnostics.united_tracks(diagnostics.track_sketches(tracks, ["run"]), [])
+    for other in (whole, runs, diagnostics.united_tracks(steps, [])):
+        assert rows(parts.select("domain", "unique_tracks")) == rows(other.select("domain", "unique_tracks"))
     exact = dict(rows(tracks.groupBy("domain").agg(F.countDistinct("track_id"))))
     assert all(abs(n - exact[k]) <= 0.02 * exact[k] for k, n in rows(parts.select("domain", "unique_tracks")))
