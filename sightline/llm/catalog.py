@@ -1,6 +1,5 @@
-"""Imports every query module of this subpackage, and the pipeline at the repository top."""
+"""Imports every query module of this subpackage."""
 
-import corpus_pipeline
 from sightline.llm import (  # noqa: F401
     q_bpe,
     q_collocations,
@@ -16,8 +15,6 @@ from sightline.llm import (  # noqa: F401
     q_toxicity,
     q_urls,
 )
-from sightline.llm.registry import ORACLES, QUERIES, query
-
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+from sightline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.texts import ALNUM_LOWER, alnum_words, fresh, utf8
+from sightline.llm.texts import ALNUM_LOWER, alnum_words, fresh, utf8, vacant
 
 WINDOW = 10
 #: Most bytes of benchmark text that may be broadcast; a larger set is an error, never cut.
@@ -134,7 +134,7 @@ def scan(
             yield pd.DataFrame([_judge(t, automaton) for t in batch], columns=names)
 
     # Marked as not deterministic so that filters on the result do not run it twice.
-    return docs.withColumn(result, judged.asNondeterministic()(utf8(text)))
+    return docs.withColumn(vacant(docs.columns, result), judged.asNondeterministic()(utf8(text)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.texts import vacant
+
 DIMENSIONS = 1024
 OTHER = 37
 CLASSES = 27 + OTHER
@@ -164,7 +166,7 @@ def predict(
         for batch in batches:
             yield _judge(batch.tolist(), names, prototypes)
 
-    return docs.withColumn(result, judged.asNondeterministic()(F.col(text)))
+    return docs.withColumn(vacant(docs.columns, result), judged.asNondeterministic()(F.col(text)))
 
 
 def _judge(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.texts import fresh
+from sightline.llm.texts import fresh, vacant
 from sightline.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -221,7 +221,7 @@ def draw(
         (F.col(words) * F.size(taken)).alias("taken"),
         taken.alias("shards"),
     )
-    return rows.select(*docs.columns, mix.alias(result))
+    return rows.select(*docs.columns, mix.alias(vacant(docs.columns, result)))
 
 
 def _shards(docs: DataFrame, text: str, share: float) -> int:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.texts import ALNUM_LOWER, LOWER, fresh, utf8
+from sightline.llm.texts import ALNUM_LOWER, LOWER, fresh, utf8, vacant
 
 BUCKETS = 1 << 13
 SAMPLE = 8000
@@ -178,7 +178,7 @@ RESULT = "expected_grade double, tail double"
 def score(docs: DataFrame, model: Model | None, *, at_least: float = 1.0, text: str = "text", result: str = "quality") -> DataFrame:
     """Every row of ``docs`` with a struct: the expected grade and P(grade >= ``at_least``)."""
     if model is None:
-        return docs.withColumn(result, F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail")))
+        return docs.withColumn(vacant(docs.columns, result), F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model | None, *, at_least: float = 1.0, text:
                     values[i] = (sum(map(known.__getitem__, words)) + weights[REPEATED] * _repeats(words)) / len(words)
             yield pd.DataFrame({"expected_grade": fitted.expected(values), "tail": fitted.at_least(values, at_least)})
 
-    return docs.withColumn(result, scored.asNondeterministic()(utf8(text)))
+    return docs.withColumn(vacant(docs.columns, result), scored.asNondeterministic()(utf8(text)))
 
 
 def select(docs: DataFrame, model: Model | None, *, probability: float = 0.5, **options) -> DataFrame:

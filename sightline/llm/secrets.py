@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.texts import LOWER, fresh, utf8
+from sightline.llm.texts import LOWER, fresh, utf8, vacant
 
 DICTIONARY, SAMPLE = 5000, 20_000
 TREES, LEVELS, BINS, LEAST = 40, 10, 32, 2
@@ -304,7 +304,7 @@ def scan(
             yield pd.DataFrame(rows, columns=["candidates", "secrets", "spans", "redacted"])
 
     where = F.lit(None).cast("binary") if path is None else F.col(path).cast("string").cast("binary")
-    return docs.withColumn(result, judged.asNondeterministic()(utf8(text), where))
+    return docs.withColumn(vacant(docs.columns, result), judged.asNondeterministic()(utf8(text), where))
 
 
 def redact(docs: DataFrame, model: Model, *, text: str = "text", **options) -> DataFrame:

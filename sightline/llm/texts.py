@@ -38,5 +38,12 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def vacant(taken: list[str], name: str) -> str:
+    """``name``, which no column in ``taken`` may have: a result replaces no given column."""
+    if name.lower() in {c.lower() for c in taken}:
+        raise ValueError(f"the table has a column {name} already; name another one for the result")
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,9 +10,10 @@ before the next block. Each task gives at most k rows per query, and a window ta
 of these. Only the number of rows goes to the driver, to choose the number of blocks.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, and rows
-without an id take no part; rows that repeat an id count once, with the smallest vector; a
-shorter vector counts as padded with zeros; ties go to the smaller id; with fewer than k other
-rows there are fewer results. Scores that do not fit a long raise an error.
+without an id take no part; rows that repeat an id are candidates each, for queries of other ids,
+and queries of one id share one list of k; a shorter vector counts as padded with zeros; ties go to
+the smaller id; with fewer than k other rows there are fewer results; further columns do not matter.
+Scores that do not fit a long raise an error.
 """
 
 from __future__ import annotations
@@ -123,7 +124,6 @@ def top_k(
         F.transform(v, lambda x: F.floor(scale * x.cast("double")).cast("double")).alias("v"),
         is_query.alias("q"),
     )
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     number = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     spread = vectors.sparkSession.sparkContext.defaultParallelism
     parts = max(min(4 * spread, number[0] // 512 + 1), -(-number[0] // CANDIDATE_ROWS))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.language import CLASSES, _classes, _chunks, grams_of
-from sightline.llm.texts import fresh
+from sightline.llm.texts import fresh, vacant
 
 SAMPLE, FEATURES, LEAST = 16_000, 2048, 4
 PREFIXES = (4, 5, 6)
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", result: str = "t
             raw = np.array([fitted.intercept + fitted.weights[known.document(t)].sum() for t in batch])
             yield pd.Series(1 / (1 + np.exp(-raw.clip(-700, 700))))
 
-    return docs.withColumn(result, scored.asNondeterministic()(F.col(text)))
+    return docs.withColumn(vacant(docs.columns, result), scored.asNondeterministic()(F.col(text)))
 
 
 def clean(docs: DataFrame, model: Model, *, threshold: float = 0.5, **options) -> DataFrame:

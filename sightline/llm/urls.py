@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.texts import fresh
+from sightline.llm.texts import fresh, vacant
 from sightline.session import cut_lineage
 
 DEPTH = 4
@@ -151,4 +151,4 @@ def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", result: str
         F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), F.col(y)["_t"].alias("template"),
         F.col(y)["_b"].alias("blocked"), F.coalesce(F.col(v), method).alias("verdict"),
     )
-    return rows.select(*pages.columns, struct.alias(result))
+    return rows.select(*pages.columns, struct.alias(vacant(pages.columns, result)))

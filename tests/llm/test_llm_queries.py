@@ -19,7 +19,10 @@ def duck():
 
 
 def test_all_are_there():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
+    import __spark_entry__
+
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
+    assert {*QUERIES, "pipeline"} <= __spark_entry__.queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -28,6 +31,16 @@ def test_query(spark, duck, name):
     assert status == ("same" if name in ORACLES else "rows"), detail
 
 
+def test_the_pipeline_alone_may_be_missing():
+    code = (
+        "import sys; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e\n"
+        "assert 'op1_decontaminate' in e.queries() and 'pipeline' not in e.queries()\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry_works_without_the_subpackage():
     code = (
         "import sys; sys.modules['sightline.llm'] = None; sys.modules['corpus_pipeline'] = None\n"

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from sightline.llm import mixing
 from test_decontaminate import UPPER, WORD
-from test_simhash import linked, slow_fingerprint
+from test_nearcopies import first_of_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BAD = ["stupid", "moron", "idiot"]
@@ -57,12 +57,7 @@ def test_toxicity(stages):
 
 def test_near_duplicates(stages):
     _, tables, _ = stages
-    values = {r.doc_id: slow_fingerprint(r.text) for r in tables[1]}
-    label = linked(sorted(set(values.values())), corpus_pipeline.NEAR_BITS)
-    first = {}
-    for i in sorted(values):
-        first.setdefault(label[values[i]], i)
-    assert ids(tables[2]) == sorted(first.values())
+    assert ids(tables[2]) == first_of_components({r.doc_id: r.text for r in tables[1]})
     assert not {200, 201} & set(ids(tables[2])) and 205 not in ids(tables[2])
 
 

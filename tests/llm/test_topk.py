@@ -8,17 +8,14 @@ from sightline.llm import topk
 
 
 def brute(rows, k):
-    exact = {}
+    exact = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(1024 * x) for x in v]
-        exact[i] = min(exact[i], w) if i in exact else w
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            exact.append((i, [math.floor(1024 * x) for x in v]))
     out = []
-    for q in exact:
-        if q % 2 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(exact[q], exact[c])), c) for c in exact if c != q)
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
+    for q in {i for i, _ in exact if i % 2 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(w, v)), c) for i, w in exact if i == q for c, v in exact if c != q)
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -31,7 +28,8 @@ def test_like_brute_force_with_odd_rows_and_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=40) * (1 + i % 3)).tolist()) for i in range(60)]
     rows += [(100 + i, rows[4][1]) for i in range(8)]
-    rows += [(5, rows[5][1]), (200, None), (201, [1.0, None]), (202, [math.nan] * 40), (203, [math.inf] * 40), (204, []), (206, [0.5]), (None, [1.0])]
+    # Ids with several rows: equal ones and different ones, of a candidate and of a query.
+    rows += [(5, rows[5][1]), (7, rows[9][1]), (7, rows[11][1]), (8, rows[3][1]), (200, None), (201, [1.0, None]), (202, [math.nan] * 40), (203, [math.inf] * 40), (204, []), (206, [0.5]), (None, [1.0])]
     assert run(spark, rows) == brute(rows, 3)
 
 
