@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.texts import LOWER, fresh, utf8, vacant
+from sightline.session import cut_lineage
 
 DICTIONARY, SAMPLE = 5000, 20_000
 TREES, LEVELS, BINS, LEAST = 40, 10, 32, 2
@@ -148,11 +149,11 @@ class Tree:
         return self.share[at]
 
 
-def grow(bins: np.ndarray, label: np.ndarray, seed: int) -> Tree:
-    """One tree on a bootstrap: at each node the best Gini cut of a few random features."""
+def grow(bins: np.ndarray, label: np.ndarray, seed: int, weight: np.ndarray | None = None) -> Tree:
+    """One tree on a (weighted) bootstrap: at each node the best Gini cut of a few random features."""
     rng = np.random.default_rng(seed)
     n, width = bins.shape
-    start = rng.integers(0, n, n)
+    start = rng.integers(0, n, n) if weight is None else rng.choice(n, n, p=weight / weight.sum())
     nodes: list[list] = []
     todo = [(start, 0, -1, "left")]
     while todo:
@@ -247,8 +248,13 @@ def known_findings(docs: DataFrame, words: frozenset[str], *, text: str = "text"
 def fit(labelled: DataFrame, words: frozenset[str], *, seed: int = 7) -> Model:
     """A forest from ``features, label``; the trees are grown as Spark tasks."""
     spark = labelled.sparkSession
+    # Equal findings are one row with a count, so copies neither crowd out others nor get lost.
+    counted = labelled.where("label in (0, 1)").groupBy("features", "label").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(counted)
+    totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     order = F.xxhash64(F.to_json(F.struct("features", "label")))
-    rows = labelled.where("label in (0, 1)").orderBy(order, "label").limit(SAMPLE).toPandas()
+    drawn = [counted.where(F.col("label") == k).orderBy(order).limit(SAMPLE // 2).toPandas() for k in sorted(totals)]
+    rows = pd.concat(drawn, ignore_index=True) if drawn else pd.DataFrame(columns=["features", "label", "n"])
     none = np.zeros((len(FEATURES), BINS - 1))
     if rows.empty or rows["label"].nunique() < 2:
         return Model(words, none, [], 1.0 if rows.empty else float(rows["label"].iloc[0]))
@@ -256,13 +262,16 @@ def fit(labelled: DataFrame, words: frozenset[str], *, seed: int = 7) -> Model:
     # Cuts lie between different values; a feature with few values has a cut for each.
     edges = np.quantile(features, np.linspace(0, 1, BINS + 1)[1:-1], axis=0, method="lower").T
     model = Model(words, edges, [])
-    shared = spark.sparkContext.broadcast((model.bins(features), label, seed))
+    # The labels keep their shares of all findings.
+    held = {k: float(part["n"].sum()) for k, part in zip(sorted(totals), drawn)}
+    weight = rows["n"].to_numpy(np.float64) * rows["label"].map(lambda k: totals[k] / held[k]).to_numpy(np.float64)
+    shared = spark.sparkContext.broadcast((model.bins(features), label, weight, seed))
 
     def planted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins, labels, first = shared.value
+        bins, labels, weights, first = shared.value
         for batch in batches:
             for i in batch["id"]:
-                t = grow(bins, labels, first + int(i))
+                t = grow(bins, labels, first + int(i), weights)
                 yield pd.DataFrame({"id": [i], "feature": [t.feature], "cut": [t.cut], "left": [t.left], "right": [t.right], "share": [t.share]})
 
     schema = "id long, feature array<long>, cut array<long>, left array<long>, right array<long>, share array<double>"

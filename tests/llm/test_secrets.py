@@ -82,3 +82,16 @@ def test_reruns_agree(spark, model):
     words = secrets.dictionary(docs)
     again = secrets.fit(secrets.known_findings(docs, words), words)
     assert words == model.words and all(np.array_equal(a.share, b.share) for a, b in zip(again.trees, model.trees))
+
+
+def test_copies_do_not_crowd_out_other_findings(spark, monkeypatch):
+    """A finding with very many copies is one row of the draw; both labels are drawn, with their shares as weights."""
+    monkeypatch.setattr(secrets, "SAMPLE", 40)
+    width = len(secrets.FEATURES)
+    row = lambda x, label: ([float(x)] * width, label)
+    data = [row(1, 1)] * 3000 + [row(100 + i, 1) for i in range(30)] + [row(-i, 0) for i in range(300)]
+    model = secrets.fit(spark.createDataFrame(data, "features array<double>, label int"), frozenset())
+    assert len(model.trees) == secrets.TREES
+    seen = np.array([[float(x)] * width for x in (1, 110, -150, -250)])
+    chance = model.probability(seen)
+    assert chance[0] > 0.8 and chance[1] > 0.8 and chance[2] < 0.2 and chance[3] < 0.2
