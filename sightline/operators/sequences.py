@@ -222,10 +222,14 @@ def segments(
     return numbered.drop("_position", "_piece", "_start")
 
 
-def name_suffix(starts: DataFrame, keys: list[str], second: str, order: list) -> DataFrame:
-    """Running number of the names that fall into the same second; the first has none."""
-    w = Window.partitionBy(*keys, second).orderBy(*order)
-    return starts.withColumn("suffix", F.row_number().over(w) - 1)
+def name_suffix(starts: DataFrame, keys: list[str], second: str, order: list[str]) -> DataFrame:
+    """Running number of the names that fall into the same second; the first has none.
+
+    The first column of ``order`` is a whole number: names are numbered by stretches of it, so that
+    a second with very many names is spread over tasks.
+    """
+    placed = scan.with_position(starts, [*keys, second], order[0], order[1:], name="suffix")
+    return placed.withColumn("suffix", F.col("suffix") - 1)
 
 
 def moving_fps(times: DataFrame, keys: list[str], frame: str, seconds: str, n: int) -> DataFrame:
