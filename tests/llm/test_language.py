@@ -52,8 +52,8 @@ def test_chunks_do_not_change_vectors(monkeypatch):
 def test_nothing_to_learn_and_order_of_rows(spark):
     assert language.fit(train(spark).limit(0))[0] == []
     assert language.fit(table(spark, [("abc", None), (None, "en")]))[0] == []
-    empty = language.predict(table(spark, [("abc", "en")]), ([], np.empty((0, language.DIMENSIONS))))
-    assert empty.first().asDict()["language"].lang == "und"
+    empty = language.predict(table(spark, [("abc", "en")]), ([], np.empty((0, language.DIMENSIONS))), result="r")
+    assert empty.first().asDict()["r"].lang == "und"
     a, b = language.fit(train(spark)), language.fit(train(spark).repartition(5).orderBy(F.rand(3)))
     assert (a[1] == b[1]).all()
 
