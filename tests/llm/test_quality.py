@@ -73,7 +73,7 @@ def test_nothing_or_one_grade_to_learn(spark):
     model = quality.fit(docs, ratings.where("quality = 2"))
     found = quality.score(docs, model, at_least=2.0, result="r").select("r.*").distinct().collect()
     assert [tuple(r) for r in found] == [(2.0, 1.0)]
-    assert quality.score(docs.limit(0), model).count() == 0
+    assert quality.score(docs.limit(0), model, result="r").count() == 0
 
 
 def test_held_out_accuracy(spark):
