@@ -3,89 +3,162 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sightline.operators.similarity import _block_scores, block_grid, nothing
+from sightline.operators.similarity import _units, block_grid
 
-# Cells of the histogram per unit: scores lie in [-1, 1], so a block of pairs has at most 4 099 of a kind.
+# Cells of the histogram per unit: scores lie in [-1, 1], so a task has at most 4 099 of a kind.
 CELLS = 2048
+# Cells of a published histogram.
+FINE_CELLS = 1_000_000
 # A cell that holds a wanted order statistic is cut into so many, until so few pairs are in it.
-RADIX, LISTED = 4096, 4096
+RADIX, LISTED = 1 << 14, 1 << 15
 # Digits after which a cell holds a handful of different doubles at most.
 DIGITS = 4
 QUANTILES = (0.1, 0.5, 0.9, 0.95)
-MAX_BLOCK = 2048
+# Samples of a block, and scores of a block pair that are looked at together.
+MAX_BLOCK = 8192
+TILE = (1024, 2048)
+# Tasks per core; a task counts the pairs of many block pairs before it hands anything on.
+TASKS = 4
 
 
 def _blocks(samples: DataFrame, block: int | None) -> DataFrame:
-    """Samples dealt to block pairs, so that every unordered pair meets in one group."""
+    """Samples dealt to block pairs, so that every unordered pair meets in one; a task gets whole ones in turn."""
     total = samples.count()
+    cores = samples.sparkSession.sparkContext.defaultParallelism
     if block is None:
         # Small inputs are cut finer, so that every core gets a block pair.
-        cores = samples.sparkSession.sparkContext.defaultParallelism
         block = min(MAX_BLOCK, max(256, math.ceil(total / (2 * math.sqrt(cores)))))
     blocks = max(1, -(-total // block))
     home = F.pmod(F.xxhash64("name"), F.lit(blocks))
-    return block_grid(samples.select("name", "label", "embedding"), [], home, F.lit(blocks))
-
-
-def _kinds(pdf: pd.DataFrame):
-    """Per block of pairs and kind: row names, column names, scores, and where a pair counts."""
-    for left, right, scores in _block_scores(pdf, "name", "embedding"):
-        same = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
-        for flag in (True, False):
-            mask = np.isfinite(scores) & (same == flag)
-            if mask.any():
-                yield flag, left["name"].to_numpy(), right["name"].to_numpy(), scores, mask
-
-
-def _cell(scores: np.ndarray) -> np.ndarray:
-    return np.rint(scores * CELLS).astype(np.int64)
-
-
-def pair_histogram(samples: DataFrame, block: int | None = None) -> DataFrame:
+    grid = block_grid(samples.select("name", "label", "embedding"), [], home, F.lit(blocks))
+    tasks = min(blocks * (blocks + 1) // 2, TASKS * cores)
+    return grid.repartition(tasks, "_lo", "_hi").sortWithinPartitions("_lo", "_hi")
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one block pair after another."""
+    held, key = [], None
+    for pdf in batches:
+        for now, part in pdf.groupby(["_lo", "_hi"]):
+            if now != key and held:
+                yield pd.concat(held)
+                held = []
+            key = now
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _kinds(batches: Iterator[pd.DataFrame]):
+    """Per tile of pairs and kind: row names, column names, scores, where a pair counts, and its scores."""
+    for pdf in _groups(batches):
+        pdf = pdf.sort_values("name", ignore_index=True)
+        own, names = pdf["_b"].to_numpy(), pdf["name"].to_numpy()
+        labels, low, high = pd.factorize(pdf["label"])[0], pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+        for rows, matrix in _units(pdf["embedding"]).values():
+            side = own[rows]
+            a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
+            for i in range(0, len(a), TILE[0]):
+                for j in range(0, len(b), TILE[1]):
+                    x, y = a[i : i + TILE[0]], b[j : j + TILE[1]]
+                    if low == high and y[-1] <= x[0]:
+                        continue
+                    scores = matrix[x] @ matrix[y].T
+                    left, right = labels[rows[x]], labels[rows[y]]
+                    same = (left[:, None] == right[None, :]) & (left >= 0)[:, None]
+                    counts = x[:, None] < y[None, :] if low == high and y[0] <= x[-1] else True
+                    for flag in (True, False):
+                        mask = (same if flag else ~same) & counts
+                        values = scores[mask]
+                        if len(values):
+                            yield flag, names[rows[x]], names[rows[y]], scores, mask, values
+
+
+class _Histogram:
+    """Pairs of one kind per cell, and the hardest of them."""
+
+    def __init__(self, cells: int, extremes: bool):
+        self.cells, self.extremes = cells, extremes
+        size = 2 * cells + 3
+        self.pairs, self.total = np.zeros(size, np.int64), np.zeros(size)
+        self.low, self.high = np.full(size, np.inf), np.full(size, -np.inf)
+        self.hardest: tuple | None = None
+
+    def add(self, values: np.ndarray) -> None:
+        if self.extremes:
+            values = np.sort(values)
+        at = np.rint(values * self.cells).astype(np.int64) + self.cells + 1
+        if not self.extremes:
+            size = len(self.pairs)
+            self.pairs += np.bincount(at, minlength=size)
+            self.total += np.bincount(at, values, minlength=size)
+            for ends, pick, best in ((self.low, values.argmin(), min), (self.high, values.argmax(), max)):
+                ends[at[pick]] = best(ends[at[pick]], values[pick])
+            return
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        ends = np.r_[starts[1:], len(at)]
+        cells = at[starts]
+        self.pairs[cells] += ends - starts
+        self.total[cells] += np.add.reduceat(values, starts)
+        self.low[cells] = np.minimum(self.low[cells], values[starts])
+        self.high[cells] = np.maximum(self.high[cells], values[ends - 1])
+
+    def judge(self, flag: bool, rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, mask: np.ndarray, values: np.ndarray) -> None:
+        worst, sign = (values.min(), 1) if flag else (values.max(), -1)
+        if self.hardest is not None and sign * worst > sign * self.hardest[0]:
+            return
+        i, j = np.nonzero(mask & (scores == worst))
+        x, y = rows[i], columns[j]
+        first, second = np.where(x < y, x, y), np.where(x < y, y, x)
+        k = np.lexsort((second, first))[0]
+        found = (worst, first[k], second[k])
+        if self.hardest is None or worst != self.hardest[0] or found[1:] < self.hardest[1:]:
+            self.hardest = found
+
+    def rows(self, flag: bool, names: list[str]) -> Iterator[pd.DataFrame]:
+        used = np.flatnonzero(self.pairs)
+        for i in range(0, len(used), 1 << 16):
+            at = used[i : i + (1 << 16)]
+            low, high = (np.where(np.isfinite(e[at]), e[at], np.nan) for e in (self.low, self.high))
+            part = pd.DataFrame({"same_label": flag, "cell": at - self.cells - 1, "pairs": self.pairs[at], "total": self.total[at]})
+            part["low"], part["high"] = pd.array(low, "Float64"), pd.array(high, "Float64")
+            yield part.reindex(columns=names).astype({"hardest": object, "a": object, "b": object}).replace({np.nan: None})
+        worst, a, b = self.hardest
+        cell = int(np.rint(worst * self.cells))
+        yield pd.DataFrame([(flag, cell, 0, 0.0, None, None, worst, a, b)], columns=names)
+
+
+def pair_histogram(samples: DataFrame, block: int | None = None, cells: int = CELLS, extremes: bool = True) -> DataFrame:
     """Pairs per ``(same_label, cell)``: their number, sum, extremes, and the hardest pair.
 
-    ``samples``: ``name``, ``label``, ``embedding``.  Pairs are never materialised: every
-    block pair is multiplied and counted in place.  A label with many samples is spread
-    over blocks like everything else.  Only the cell is rounded; ``low``, ``high``,
-    ``total`` and the hardest pair (lowest score inside a label, highest across labels,
-    the first names among equals) come from the scores themselves.
+    ``samples``: ``name``, ``label``, ``embedding``.  Pairs are never materialised: a task
+    multiplies its block pairs and counts them all in one array of ``cells`` a unit.  A label
+    with many samples is spread over blocks like everything else.  Only the cell is rounded;
+    ``low``, ``high``, ``total`` and the hardest pair (lowest score inside a label, highest
+    across labels, the first names among equals) come from the scores themselves.  Without
+    ``extremes`` only the least ``low`` and the largest ``high`` of a kind are right.
     """
     kind = dict(samples.dtypes)["name"]
     schema = f"same_label boolean, cell bigint, pairs bigint, total double, low double, high double, hardest double, a {kind}, b {kind}"
     names = ["same_label", "cell", "pairs", "total", "low", "high", "hardest", "a", "b"]
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for flag, rows, columns, scores, mask in _kinds(pdf):
-            values = scores[mask]
-            at = _cell(values)
-            base = int(at.min())
-            at -= base
-            pairs = np.bincount(at)
-            cells = np.flatnonzero(pairs)
-            part = pd.DataFrame({"same_label": flag, "cell": cells + base, "pairs": pairs[cells], "total": np.bincount(at, values)[cells]})
-            low, high = np.full(len(pairs), np.inf), np.full(len(pairs), -np.inf)
-            np.minimum.at(low, at, values)
-            np.maximum.at(high, at, values)
-            part["low"], part["high"] = low[cells], high[cells]
-            # The block's hardest pair stands in the row of its cell.
-            worst = values.min() if flag else values.max()
-            i, j = np.nonzero(mask & (scores == worst))
-            x, y = rows[i], columns[j]
-            first, second = np.where(x < y, x, y), np.where(x < y, y, x)
-            k = np.lexsort((second, first))[0]
-            part = part.astype(object)
-            part[["hardest", "a", "b"]] = None
-            part.loc[0 if flag else len(cells) - 1, ["hardest", "a", "b"]] = [worst, first[k], second[k]]
-            parts.append(part)
-        return pd.concat(parts)[names] if parts else nothing(names)
-
-    partial = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, schema)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds: dict[bool, _Histogram] = {}
+        for flag, rows, columns, scores, mask, values in _kinds(batches):
+            if flag not in kinds:
+                kinds[flag] = _Histogram(cells, extremes)
+            kinds[flag].judge(flag, rows, columns, scores, mask, values)
+            kinds[flag].add(values)
+        for flag, found in kinds.items():
+            yield from found.rows(flag, names)
+
+    partial = _blocks(samples, block).mapInPandas(count, schema)
     sign = F.when(F.col("same_label"), 1).otherwise(-1)
     pair = F.when(F.col("a").isNotNull(), F.struct((F.col("hardest") * sign).alias("rank"), "a", "b", "hardest"))
     return partial.groupBy("same_label", "cell").agg(
@@ -118,21 +191,27 @@ def _paths(samples: DataFrame, block: int | None, paths: set, listed: bool) -> d
     names = ["path", "value", "pairs"]
     ordered = sorted(paths)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for flag, _, _, scores, mask in _kinds(pdf):
-            values = scores[mask]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = {flag: np.zeros(2 * CELLS + 3, bool) for flag in (True, False)}
+        for flag, path in ordered:
+            wanted[flag][path[0] + CELLS + 1] = True
+        found: dict[int, dict[float, int]] = {}
+        for flag, _, _, _, _, values in _kinds(batches):
+            # Few scores lie in a cell that holds a wanted rank.
+            values = values[wanted[flag][np.rint(values * CELLS).astype(np.int64) + CELLS + 1]]
             for i, (kind, path) in enumerate(ordered):
-                if kind != flag:
+                if kind != flag or not len(values):
                     continue
-                found, rest = _inside(values, path)
+                here, rest = _inside(values, path)
                 if not listed:
-                    found = np.minimum(np.floor(rest * RADIX), RADIX - 1)
-                found, n = np.unique(found, return_counts=True)
-                parts.append(pd.DataFrame({"path": i, "value": found, "pairs": n}))
-        return pd.concat(parts)[names] if parts else nothing(names)
-
-    counted = _blocks(samples, block).groupBy("_lo", "_hi").applyInPandas(count, "path int, value double, pairs bigint")
+                    here = np.minimum(np.floor(rest * RADIX), RADIX - 1)
+                seen = found.setdefault(i, {})
+                for value, n in zip(*(x.tolist() for x in np.unique(here, return_counts=True))):
+                    seen[value] = seen.get(value, 0) + n
+        for i, seen in found.items():
+            yield pd.DataFrame({"path": i, "value": list(seen.keys()), "pairs": list(seen.values())}, columns=names)
+
+    counted = _blocks(samples, block).mapInPandas(count, "path int, value double, pairs bigint")
     rows = counted.groupBy("path", "value").agg(F.sum("pairs").alias("pairs")).collect()
     out: dict[tuple, list[tuple[float, int]]] = {p: [] for p in ordered}
     for r in sorted(rows):
@@ -176,7 +255,7 @@ def distribution(samples: DataFrame, block: int | None = None, quantiles: tuple[
     """min, percentiles (linear interpolation), mean and max of both kinds of pairs; all are exact."""
     labels = ["p10", "median", "p90", "p95"] if quantiles == QUANTILES else [f"q{i}" for i in range(len(quantiles))]
     # At most 4 099 cells of each kind.
-    histogram = pair_histogram(samples, block).drop("pair").collect()
+    histogram = pair_histogram(samples, block, extremes=False).drop("pair").collect()
     kinds: dict[bool, list] = {}
     for r in sorted(histogram, key=lambda r: r.cell):
         kinds.setdefault(r.same_label, []).append(r)
@@ -193,7 +272,7 @@ def distribution(samples: DataFrame, block: int | None = None, quantiles: tuple[
             low, high = score[flag, math.floor(x)], score[flag, math.ceil(x)]
             middle.append(low + (high - low) * (x - math.floor(x)))
         mean = math.fsum(r.total for r in found) / sizes[flag]
-        rows.append((flag, sizes[flag], min(r.low for r in found), *middle, mean, max(r.high for r in found)))
+        rows.append((flag, sizes[flag], min(r.low for r in found if r.low is not None), *middle, mean, max(r.high for r in found if r.high is not None)))
     columns = ", ".join(f"{c} double" for c in ("min", *labels, "mean", "max"))
     return samples.sparkSession.createDataFrame(rows, f"same_label boolean, n_pairs bigint, {columns}")
 

@@ -215,11 +215,11 @@ def _samples(spark, sf):
 
 @query(
     "a07_pair_histogram",
-    f"""with {_ALL_PAIRS} select same_label, cast(round(score * {calibration.CELLS}) as bigint) as cell, count(*) as pairs, round(min(score), 9) as low, round(max(score), 9) as high
+    f"""with {_ALL_PAIRS} select same_label, cast(round(score * {calibration.FINE_CELLS}) as bigint) as cell, count(*) as pairs, round(min(score), 9) as low, round(max(score), 9) as high
       from pairs group by 1, 2""",
 )
 def pair_histogram(spark, sf):
-    found = calibration.pair_histogram(_samples(spark, sf))
+    found = calibration.pair_histogram(_samples(spark, sf), cells=calibration.FINE_CELLS)
     return found.select("same_label", "cell", "pairs", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
@@ -241,7 +241,7 @@ def pair_distribution(spark, sf):
     select case when same_label then 'hardest_positive' else 'hardest_negative' end as kind, round(score, 10) as score, a, b from r where rn = 1""",
 )
 def hardest_pairs(spark, sf):
-    found = calibration.hardest_pairs(calibration.pair_histogram(_samples(spark, sf)))
+    found = calibration.hardest_pairs(calibration.pair_histogram(_samples(spark, sf), extremes=False))
     return found.withColumn("score", F.round("score", 10))
 
 

@@ -206,3 +206,19 @@ def test_sampling_spreads_over_cameras(spark):
     assert calibration.sampling_shortage(df, F.lit(True), 5, 4).count() == 0
     with pytest.raises(ValueError, match="5 identities"):
         calibration.balanced_sample(df, F.lit(True), 6, 4, "42")
+
+
+def test_published_histogram_has_a_cell_per_millionth(spark, tmp_path):
+    """Scores that differ by a few millionths are not counted together."""
+    from sightline.plans.catalog import ORACLES, QUERIES
+    from sightline.plans.compare import compare, connect
+
+    angles = [0.3 + i * 3e-6 for i in range(12)] + [1.2 + i * 5e-6 for i in range(12)]
+    data = [(i, [math.cos(x), math.sin(x), 0.0], i % 2) for i, x in enumerate(angles)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/made")
+    next(tmp_path.glob("made/*.parquet")).rename(tmp_path / "embeddings.parquet")
+    name = "a07_pair_histogram"
+    assert compare(spark, str(tmp_path), name, QUERIES, ORACLES, connect(str(tmp_path)))[0] == "same"
+    cells = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(cells) > 40 and sum(r.pairs for r in cells) == 24 * 23 // 2
