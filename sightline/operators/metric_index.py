@@ -91,14 +91,20 @@ def angled(df: DataFrame, vector: str, chosen: dict[int, np.ndarray]) -> DataFra
 
 
 def blocked(rows: DataFrame, keys: list[str], ids: list[str], size: int) -> DataFrame:
-    """``angled`` rows with their ``_block``: neighbouring rings of a cell, about ``size`` rows."""
+    """``angled`` rows with their ``_block``: neighbouring rings of a cell, about ``size`` rows.
+
+    All rows of a key are one block where they are no more than ``size``.
+    """
     at = [*keys, "_dim", "_cell"]
     rings = rows.groupBy(*at, "_ring").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*at).orderBy("_ring")) - F.col("_n")
-    layout = rings.select(*at, "_ring", F.floor(before / size).alias("_run"), F.ceil(F.col("_n") / size).alias("_parts"))
+    few = F.sum("_n").over(Window.partitionBy(*keys, "_dim")) <= size
+    layout = rings.select(
+        *at, "_ring", F.floor(before / size).alias("_run"), F.ceil(F.col("_n") / size).alias("_parts"), few.alias("_few")
+    )
     part = F.pmod(F.xxhash64(*ids), F.col("_parts"))
-    named = F.concat_ws(".", F.col("_cell"), F.col("_run"), part)
-    return rows.join(layout, [*at, "_ring"]).withColumn("_block", named).drop("_cell", "_ring", "_run", "_parts")
+    named = F.when(F.col("_few"), "all").otherwise(F.concat_ws(".", F.col("_cell"), F.col("_run"), part))
+    return rows.join(layout, [*at, "_ring"]).withColumn("_block", named).drop("_cell", "_ring", "_run", "_parts", "_few")
 
 
 def bounds(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,3 +72,14 @@ def test_floor_of_one_finds_copies(spark):
     cdf, tdf = frames(spark, left, left * 3.0, 1)
     found = similarity.scored_pairs(cdf, tdf, ["domain"], 1.0, every=True, left_block=10, right_block=10, broadcast_bytes=0)
     assert {(r.track_id, r.target_id) for r in found.collect()} == {(i, i) for i in range(120)}
+
+
+def test_small_keys_are_one_block(spark):
+    """A key with few vectors is not cut by cells: a pair of blocks costs a task's turn."""
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(600, 8)), rng.normal(size=(120, 8))
+    cdf, tdf = frames(spark, left, right, 30)
+    reach = similarity.reach(cdf, tdf, ["domain"], 0.3, left_block=64, right_block=32).first()
+    assert reach.block_pairs == 30
+    found = similarity.scored_pairs(cdf, tdf, ["domain"], 0.3, every=True, left_block=64, right_block=32, broadcast_bytes=-1)
+    assert {(r.track_id, r.target_id) for r in found.collect()} == brute(left, right, 0.3, 30)
