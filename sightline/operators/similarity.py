@@ -11,6 +11,8 @@ simply has more blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,6 +24,8 @@ LEFT_BLOCK = 1024
 RIGHT_BLOCK = 4096
 # A candidate block of the large case: a target is copied once per so many candidates.
 WIDE_BLOCK = 16_384
+# Candidates and targets that are multiplied at once, whatever the size of a block or a batch.
+TILE = (512, 2048)
 # Most bytes of target vectors (as doubles) that are broadcast.
 BROADCAST_BYTES = 64 << 20
 SLACK = 1e-9
@@ -78,7 +82,7 @@ def scored_pairs(
     valid when ``same`` agrees, the dimensions agree and, with ``plates``, the two plates
     are not both known and different.
 
-    Returned are, within each block, the two best targets of a candidate and the two best
+    Returned are, within each tile of a block, the two best targets of a candidate and the two best
     candidates of a target in an attempt, at or above ``floor``.  The overall first and
     second of every list is among them, which is all that thresholds and margins look at.
     With ``every`` all pairs at or above ``floor`` are returned instead, for callers that
@@ -91,37 +95,44 @@ def scored_pairs(
     out_types = [(c, types[c]) for c in [*same, *ids]]
     schema = ", ".join(f"`{c}` {t}" for c, t in out_types)
     schema += f", target_id {dict(targets.dtypes)['target_id']}, score double"
-    columns = [*same, *ids, "target_id", "score"]
-
-    def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame, rights: dict | None = None) -> pd.DataFrame:
-        parts = []
-        if len(lpdf) and len(rpdf):
-            if not every:
-                lpdf = lpdf.sort_values(["attempt", "track_id"], ascending=[True, not later_wins])
-            if rights is None:
-                rpdf = rpdf.rename(columns=lambda c: c.removeprefix("r_")).sort_values("target_id")
-                rights = _units(rpdf["centroid"])
-            lefts = _units(lpdf["embedding"])
-            for dim in lefts.keys() & rights.keys():
-                lrows, lmat = lefts[dim]
-                rrows, rmat = rights[dim]
-                scores = lmat @ rmat.T
-                if plates:
-                    a = lpdf["plate"].to_numpy(dtype=object)[lrows]
-                    b = rpdf["plate_number"].to_numpy(dtype=object)[rrows]
-                    known = pd.notna(a)[:, None] & pd.notna(b)[None, :]
-                    scores[known & (a[:, None] != b[None, :])] = -np.inf
-                if every:
-                    i, j = np.nonzero(scores >= limit)
-                else:
-                    i, j = _pick(scores, lpdf["attempt"].to_numpy()[lrows], limit)
-                part = lpdf.iloc[lrows[i]][[*same, *ids]].reset_index(drop=True)
-                part["target_id"] = rpdf["target_id"].to_numpy()[rrows[j]]
-                part["score"] = scores[i, j]
-                parts.append(part)
-        if not parts:
-            return nothing(columns)
-        return pd.concat(parts)[columns]
+    columns_out = [*same, *ids, "target_id", "score"]
+
+    def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame, rights: dict | None = None) -> Iterator[pd.DataFrame]:
+        """Pairs to send on, tile by tile: no task holds the scores of a whole block."""
+        if not len(lpdf) or not len(rpdf):
+            return
+        if not every:
+            lpdf = lpdf.sort_values(["attempt", "track_id"], ascending=[True, not later_wins])
+        if rights is None:
+            rpdf = rpdf.rename(columns=lambda c: c.removeprefix("r_")).sort_values("target_id")
+            rights = _units(rpdf["centroid"])
+        lefts = _units(lpdf["embedding"])
+        named = lpdf[[*same, *ids]]
+        for dim in lefts.keys() & rights.keys():
+            lrows, lmat = lefts[dim]
+            rrows, rmat = rights[dim]
+            if plates:
+                # Equal plates have equal numbers, unknown ones -1.
+                both = pd.concat([lpdf["plate"].iloc[lrows], rpdf["plate_number"].iloc[rrows]], ignore_index=True)
+                codes = pd.factorize(both)[0]
+                a, b = codes[: len(lrows)], codes[len(lrows) :]
+            for x in range(0, len(lrows), TILE[0]):
+                for y in range(0, len(rrows), TILE[1]):
+                    rows, columns = slice(x, x + TILE[0]), slice(y, y + TILE[1])
+                    scores = lmat[rows] @ rmat[columns].T
+                    if plates:
+                        known = (a[rows] >= 0)[:, None] & (b[columns] >= 0)[None, :]
+                        scores[known & (a[rows, None] != b[None, columns])] = -np.inf
+                    if every:
+                        i, j = np.nonzero(scores >= limit)
+                    else:
+                        i, j = _pick(scores, lpdf["attempt"].to_numpy()[lrows[rows]], limit)
+                    if not len(i):
+                        continue
+                    part = named.iloc[lrows[rows][i]].reset_index(drop=True)
+                    part["target_id"] = rpdf["target_id"].to_numpy()[rrows[columns][j]]
+                    part["score"] = scores[i, j]
+                    yield part[columns_out]
 
     left_cols = [*same, *ids, "embedding"] + (["plate"] if plates else [])
     right_cols = [*same, "target_id", "centroid"] + (["plate_number"] if plates else [])
@@ -134,7 +145,7 @@ def scored_pairs(
                 for key, part in pdf.groupby(same, sort=False):
                     known = shared.value.get(key)
                     if known is not None:
-                        yield score(part, *known)
+                        yield from score(part, *known)
 
         return candidates.dropna(subset=same).mapInPandas(against_all, schema)
 
@@ -145,10 +156,15 @@ def scored_pairs(
     right = right.drop("_angles").withColumnRenamed("_block", "_rb").join(reached, [*on[:-2], "_rb"])
     # Both sides often come from one table; fresh names keep their keys apart.
     renamed = right.toDF(*[f"r_{c}" for c in right.columns])
+
+    def together(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        parts = list(score(lpdf, rpdf))
+        return pd.concat(parts) if parts else nothing(columns_out)
+
     return (
         left.groupBy(*on)
         .cogroup(renamed.groupBy(*[f"r_{c}" for c in on]))
-        .applyInPandas(lambda lpdf, rpdf: score(lpdf, rpdf), schema)
+        .applyInPandas(together, schema)
     )
 
 

@@ -222,3 +222,32 @@ def test_published_histogram_has_a_cell_per_millionth(spark, tmp_path):
     assert compare(spark, str(tmp_path), name, QUERIES, ORACLES, connect(str(tmp_path)))[0] == "same"
     cells = QUERIES[name](spark, str(tmp_path)).collect()
     assert len(cells) > 40 and sum(r.pairs for r in cells) == 24 * 23 // 2
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_scores_are_held_by_tiles(spark, monkeypatch, broadcast):
+    """However many candidates and targets meet, only a tile of their scores is held."""
+    monkeypatch.setattr(similarity, "TILE", (16, 8))
+    seen = spark.sparkContext.accumulator(0)
+    whole = similarity._pick
+
+    def pick(scores, attempts, floor):
+        seen.add(int(scores.shape[0] > 16 or scores.shape[1] > 8))
+        return whole(scores, attempts, floor)
+
+    monkeypatch.setattr(similarity, "_pick", pick)
+    rng = np.random.default_rng(6)
+    cands = [("p", i // 9, i, v, [None, "A", "B"][i % 3]) for i, v in enumerate(vectors(rng, 90))]
+    targets = [("p", i, v, [None, "A", "C"][i % 3]) for i, v in enumerate(vectors(rng, 50))]
+    cdf = spark.createDataFrame(cands, "domain string, attempt bigint, track_id bigint, embedding array<double>, plate string").coalesce(1)
+    tdf = spark.createDataFrame(targets, "domain string, target_id bigint, centroid array<double>, plate_number string")
+    want = []
+    for attempt in range(10):
+        scores = {
+            (t, c): cos(v, e) for (_, t, v, q), (_, a, c, e, p) in itertools.product(targets, cands) if a == attempt and not (p and q and p != q)
+        }
+        want += [(attempt, t, c) for t, c in greedy_model(scores, 0.3, 0.01, False)]
+    pairs = similarity.scored_pairs(cdf, tdf, ["domain"], 0.29, plates=True, broadcast_bytes=broadcast)
+    got = matching.margin_match(pairs, ["domain", "attempt"], 0.3, 0.01)
+    assert rows(got.select("attempt", "target_id", "track_id")) == sorted(want) and want
+    assert seen.value == 0
