@@ -35,20 +35,26 @@ GATES = {"person": pol.PERSON_QUALITY, "vehicle": pol.VEHICLE_QUALITY}
 FPS = 25.0
 
 
-def track_vectors(spark, sf, tracks):
-    """A vector per box: mostly the one of its track, partly one of the frame."""
-    e = d.table(spark, sf, "embeddings")
+def _vector_ids(e, tracks):
+    """The numbers of the two vectors that make up the one of a box, as ``_a`` and ``_b``."""
     n = e.count()
     base = F.pmod(F.col("camera_id").cast("bigint") * 7 + F.col("track_id") * 3, F.lit(max(1, n // 8))) * 8
-    rows = tracks.select(
-        "camera_id", "domain", "frame_index", "track_id", base.alias("_a"), F.pmod("k", F.lit(n)).alias("_b")
-    )
+    return tracks.withColumn("_a", base).withColumn("_b", F.pmod("k", F.lit(n)))
+
+
+def _with_vectors(e, rows):
+    """``embedding`` in place of ``_a`` and ``_b``."""
     a = e.select(F.col("vec_id").alias("_a"), F.col("embedding").alias("_va"))
     b = e.select(F.col("vec_id").alias("_b"), F.col("embedding").alias("_vb"))
     mixed = F.zip_with("_va", "_vb", lambda x, y: (x + y * 0.4).cast("float"))
-    return rows.join(a, "_a").join(b, "_b").select(
-        "camera_id", "domain", "frame_index", "track_id", mixed.alias("embedding")
-    )
+    kept = [c for c in rows.columns if c not in ("_a", "_b")]
+    return rows.join(a, "_a").join(b, "_b").select(*kept, mixed.alias("embedding"))
+
+
+def track_vectors(spark, sf, tracks):
+    """A vector per box: mostly the one of its track, partly one of the frame."""
+    e = d.table(spark, sf, "embeddings")
+    return _with_vectors(e, _vector_ids(e, tracks).select("camera_id", "domain", "frame_index", "track_id", "_a", "_b"))
 
 
 def session_inputs(spark, sf):
@@ -155,12 +161,16 @@ bank as (
     from bank join ordered o using (camera_id, domain, track_id, n) where outcome is not null""",
 )
 def reference_bank(spark, sf):
-    """Runtime bank of a target that follows each track."""
-    tracks = d.tracks(spark, sf)
-    crops = tracks.join(track_vectors(spark, sf, tracks), ["camera_id", "domain", "frame_index", "track_id"]).select(
-        "camera_id", "domain", "track_id", "frame_index", (F.col("conf") >= 0.5).alias("accepted"), "embedding"
-    )
-    out = batch.reference_bank(crops, ["camera_id", "domain", "track_id"], OPTIONS["person"]["recovery"])
+    """Runtime bank of a target that follows each track; vectors are fetched for the crops that have a turn."""
+    e, keys, policy = d.table(spark, sf, "embeddings"), ["camera_id", "domain", "track_id"], OPTIONS["person"]["recovery"]
+    crops = _vector_ids(e, d.tracks(spark, sf)).select(*keys, "frame_index", (F.col("conf") >= 0.5).alias("accepted"), "_a", "_b")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    sizes = e.select("vec_id", F.when(finite, F.size("embedding")).alias("n"))
+    for name in ("_a", "_b"):
+        crops = crops.join(sizes.toDF(name, f"{name}_n"), name)
+    crops = crops.withColumn("_able", F.col("accepted") & F.coalesce(F.col("_a_n") == F.col("_b_n"), F.lit(False)))
+    turns = batch.reference_turns(crops.drop("_a_n", "_b_n"), keys, policy, starts="_able").drop("_able")
+    out = batch.reference_bank(_with_vectors(e, turns), keys, policy)
     return out.drop("embedding", "stored").withColumn("likeness", F.round("likeness", 6))
 
 

@@ -126,6 +126,27 @@ def reference_bank(
     )
 
 
+def reference_turns(
+    crops: DataFrame, keys: list[str], policy: RecoveryPolicy, frame: str = "frame_index", starts: str = "accepted"
+) -> DataFrame:
+    """The crops that :func:`reference_bank` looks at, for callers that fetch vectors for these only.
+
+    Which crops have a turn does not depend on likeness: the first one of a key that ``starts`` (it is
+    accepted and its vector is usable), then the first one ``reference_interval`` frames or more after
+    the last turn.
+    """
+
+    def step(state: dict, now: int, able: bool):
+        if state["last"] is None and not able:
+            return None
+        if state["last"] is not None and now - state["last"] < policy.reference_interval:
+            return None
+        state["last"] = now
+        return (True,)
+
+    return row_fold(crops, keys, [frame], [frame, starts], lambda: {"last": None}, step, "_turn boolean").drop("_turn")
+
+
 def diverse_bank(offers: DataFrame, keys: list[str], order: list[str], policy: EnrichmentPolicy) -> DataFrame:
     """Fold offered vectors into the stored bank of each identity.
 

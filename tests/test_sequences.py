@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from sightline import policy as pol
 from sightline.operators import scan, sequences
 from sightline.streaming import batch
 
@@ -170,3 +171,22 @@ def test_bank_starts_from_stored_references(spark):
     assert rows(got.where("not stored").select("frame_index", "outcome", "bank_size")) == [
         (10, "started", 3), (11, "accepted", 3), (12, "rejected_quality", 3), (13, "rejected_likeness", 3)
     ]
+
+
+def test_reference_turns_are_the_rows_of_the_bank(spark):
+    """Turns are known without vectors, so vectors are fetched for a few crops only."""
+    rng = random.Random(8)
+    data = []
+    for key in range(12):
+        for frame in sorted(rng.sample(range(400), 150)):
+            vector = [rng.choice((1.0, 0.2)), rng.random(), 0.5] if rng.random() < 0.9 else [0.0] * 3
+            data.append((key, frame, rng.random() < 0.6, vector, any(vector)))
+    df = spark.createDataFrame(data, "key int, frame_index bigint, accepted boolean, embedding array<double>, usable boolean")
+    policy = pol.PERSON_RECOVERY
+    crops = df.withColumn("able", F.col("accepted") & F.col("usable"))
+    turns = batch.reference_turns(crops.drop("embedding", "usable"), ["key"], policy, starts="able").drop("able")
+    assert turns.count() < len(data) / 4
+    fetched = turns.join(df.select("key", "frame_index", "embedding"), ["key", "frame_index"])
+    show = lambda out: rows(out.select("key", "frame_index", "outcome", F.round("likeness", 9).cast("string"), "bank_size"))
+    want = show(batch.reference_bank(df.drop("usable"), ["key"], policy))
+    assert want and show(batch.reference_bank(fetched, ["key"], policy)) == want
