@@ -476,10 +476,13 @@ def _records(spark, sf):
 def last_record_per_frame(spark, sf):
     """Even frames are written twice, and a summary line closes the run."""
     records = _records(spark, sf).withColumn("type", F.lit(None).cast("string"))
-    first = records.withColumn("seq", F.lit(1))
-    second = records.where(F.col("frame_index") % 2 == 0).withColumn("seq", F.lit(2))
-    closing = records.limit(1).withColumn("type", F.lit("summary")).withColumn("seq", F.lit(3))
-    lines = first.unionByName(second).unionByName(closing).select("camera_id", F.to_json(F.struct("*")).alias("value"))
+    # One pass over the records: each writes its lines where it lies.
+    written = F.when(F.col("frame_index") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    lines = records.withColumn("seq", F.explode(written)).select("camera_id", F.to_json(F.struct("*")).alias("value"))
+    head = d.frames(spark, sf).limit(1).select(
+        "camera_id", "frame_index", F.lit("summary").alias("type"), F.lit(3).alias("seq")
+    )
+    lines = lines.unionByName(head.select("camera_id", F.to_json(F.struct("*")).alias("value")))
     parsed = lines.select("camera_id", F.from_json("value", dump_files.RECORD + ", seq int").alias("r")).select(
         "camera_id", "r.*"
     )
