@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions import geometry as g
 from sightline.operators.overlap import DENSE_FRAME, touching_pairs
@@ -29,6 +29,18 @@ def frame_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+def kept_counts(first: DataFrame, kept: Column, keys: list[str]) -> DataFrame:
+    """:func:`frame_counts` where the second run is the rows of the first one that are ``kept``.
+
+    The run is read and grouped once, so a task holds one table of its groups and not two.
+    """
+    marked = _people(first).select(*keys, "_is_person", kept.alias("_kept"))
+    return marked.groupBy(*keys).agg(
+        F.count_if("_is_person").alias("first_boxes"),
+        F.count_if(F.col("_is_person") & F.col("_kept")).alias("second_boxes"),
+    )
+
+
 def candidate_pairs(
     first: DataFrame, second: DataFrame, keys: list[str], min_iou: float, dense: int = DENSE_FRAME
 ) -> DataFrame:

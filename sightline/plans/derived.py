@@ -147,8 +147,12 @@ SECOND_SQL = """second as (
     x2 + k%160 as x2, y2, conf from tracks where k%11 <> 0)"""
 
 
+def in_second_run() -> Column:
+    return F.col("k") % 11 != 0
+
+
 def second_run(first: DataFrame) -> DataFrame:
-    return first.where(F.col("k") % 11 != 0).withColumn("x2", F.col("x2") + F.col("k") % 160)
+    return first.where(in_second_run()).withColumn("x2", F.col("x2") + F.col("k") % 160)
 
 
 GALLERY_SQL = """refs as (

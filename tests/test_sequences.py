@@ -190,3 +190,24 @@ def test_reference_turns_are_the_rows_of_the_bank(spark):
     show = lambda out: rows(out.select("key", "frame_index", "outcome", F.round("likeness", 9).cast("string"), "bank_size"))
     want = show(batch.reference_bank(df.drop("usable"), ["key"], policy))
     assert want and show(batch.reference_bank(fetched, ["key"], policy)) == want
+
+
+def test_moving_fps_query_divides_as_its_sql(spark, tmp_path):
+    """A mean of zero, below zero, or of nothing but nulls."""
+    from sightline.plans.catalog import ORACLES, QUERIES
+    from sightline.plans.compare import compare, connect
+
+    values = {1: [0.0, 0.0, 40.0], 2: [None, None, 25.0], 3: [-20.0, 5.0, 45.0], 4: [33.0] * 40}
+    data = [(100 * u + i, u, v) for u, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(data, "event_id bigint, user_id bigint, value double").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next(tmp_path.glob("made/*.parquet")).rename(tmp_path / "events.parquet")
+    assert compare(spark, str(tmp_path), "w13_moving_fps", QUERIES, ORACLES, connect(str(tmp_path)))[0] == "same"
+
+
+def test_counts_of_a_run_and_what_is_kept_of_it(spark):
+    from sightline.operators import dumps
+
+    rng = random.Random(4)
+    first = spark.createDataFrame([(rng.randrange(30), rng.randrange(3), rng.random() < 0.7) for _ in range(300)], "frame int, class_id int, kept boolean")
+    want = rows(dumps.frame_counts(first, first.where("kept"), ["frame"]))
+    assert len(want) == 30 and rows(dumps.kept_counts(first, F.col("kept"), ["frame"])) == want
