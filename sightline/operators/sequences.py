@@ -232,14 +232,17 @@ def name_suffix(starts: DataFrame, keys: list[str], second: str, order: list[str
     return placed.withColumn("suffix", F.col("suffix") - 1)
 
 
-def moving_fps(times: DataFrame, keys: list[str], frame: str, seconds: str, n: int) -> DataFrame:
-    """Frames per second as the inverse mean of the last ``n`` frame times."""
+def moving_mean(times: DataFrame, keys: list[str], frame: str, seconds: str, n: int, name: str = "mean") -> DataFrame:
+    """Mean of the last ``n`` frame times as of each frame."""
     placed = scan.with_position(times, keys, frame, name="_position")
-    mean = {"_mean": lambda w: F.avg(seconds).over(w.rowsBetween(-(n - 1), Window.currentRow))}
-    known = scan.over_last_rows(placed, keys, n - 1, mean, position="_position")
-    return known.withColumn("fps", F.when(F.col("_mean") > 0.0, 1.0 / F.col("_mean")).otherwise(0.0)).drop(
-        "_mean", "_position"
-    )
+    mean = {name: lambda w: F.avg(seconds).over(w.rowsBetween(-(n - 1), Window.currentRow))}
+    return scan.over_last_rows(placed, keys, n - 1, mean, position="_position").drop("_position")
+
+
+def moving_fps(times: DataFrame, keys: list[str], frame: str, seconds: str, n: int) -> DataFrame:
+    """Frames per second as the inverse mean of the last ``n`` frame times; zero without a time."""
+    known = moving_mean(times, keys, frame, seconds, n, "_mean")
+    return known.withColumn("fps", F.when(F.col("_mean") > 0.0, 1.0 / F.col("_mean")).otherwise(0.0)).drop("_mean")
 
 
 def fifo_bank(refs: DataFrame, keys: list[str], frame: str, item: str, size: int) -> DataFrame:

@@ -192,8 +192,10 @@ def name_suffix(spark, sf):
 )
 def moving_fps(spark, sf):
     times = d.table(spark, sf, "events").select("user_id", "event_id", (F.col("value") / 1000).alias("seconds"))
-    out = sequences.moving_fps(times, ["user_id"], "event_id", "seconds", pol.FPS_WINDOW)
-    return out.select("user_id", "event_id", F.round("fps", 6).alias("fps"))
+    out = sequences.moving_mean(times, ["user_id"], "event_id", "seconds", pol.FPS_WINDOW)
+    # The SQL divides by whatever the mean is: by zero it is infinite, without times null.
+    fps = F.when(F.col("mean") == 0.0, F.lit(float("inf"))).otherwise(1.0 / F.col("mean"))
+    return out.select("user_id", "event_id", F.round(fps, 6).alias("fps"))
 
 
 @query(
