@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sightline.llm import nearcopies
+from sightline.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +75,52 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
     assert sorted(str(r.doc_id) for r in nearcopies.keep_one(docs).collect()) == ["2", "None", "None"]
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def grouped(docs, nodes):
+    found = nearcopies.roots(docs, nodes)
+    first = nearcopies.F.min("first")
+    return sorted(r[1] for r in nodes.join(found, "node", "left").groupBy(nearcopies.F.coalesce("root", "node")).agg(first).collect())
+
+
+def test_rows_of_a_bucket_that_is_not_alike(spark, monkeypatch):
+    """A group at similarities around 0.72, in one bucket: every pair is decided, no table has a row per pair."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 4, 5, 6))):
+            words[at] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "doc_id long, text binary")
+    nodes = nearcopies._nodes(docs).withColumn("keys", nearcopies.F.array(nearcopies.F.lit(1).cast("long")))
+    sizes, write = [], nearcopies.cut_lineage
+
+    def counted(table):
+        out = write(table)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "cut_lineage", counted)
+    monkeypatch.setattr(nearcopies, "HELD", 4000)
+    monkeypatch.setattr(nearcopies, "PASSED", 100)
+    monkeypatch.setattr(nearcopies, "COUNTED", 5000)
+    assert grouped(docs, nodes) == first_of_components(texts)
+    assert max(sizes) <= 3 * len(texts)
+
+
+def test_fingerprints_find_pairs_without_keys(spark):
+    """SimHash alone makes candidates; they are linked by their shingles only."""
+    rng = random.Random(8)
+    texts = {}
+    for base in range(0, 40, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts[base], texts[base + 1] = " ".join(words), " ".join(words[:-1] + ["x"])
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "doc_id long, text binary")
+    nodes = nearcopies._nodes(docs)
+    assert {r.first: r.fp for r in nodes.collect()} == {i: simhash.fingerprint(t.encode(), 5) for i, t in texts.items()}
+    nodes = nodes.withColumn("keys", nearcopies.F.array().cast("array<long>"))
+    assert grouped(docs, nodes) == first_of_components(texts) == list(range(0, 40, 2))
+    one = nodes.withColumn("fp", nearcopies.F.lit(7).cast("long"))
+    assert grouped(docs, one) == list(range(0, 40, 2))
