@@ -20,9 +20,11 @@ RADIX, LISTED = 1 << 14, 1 << 15
 # Digits after which a cell holds a handful of different doubles at most.
 DIGITS = 4
 QUANTILES = (0.1, 0.5, 0.9, 0.95)
-# Samples of a block, and scores of a block pair that are looked at together.
+# Samples of a block, and scores of a block pair that are looked at together: few enough for a core's cache.
 MAX_BLOCK = 8192
-TILE = (1024, 2048)
+TILE = (256, 1024)
+# Scores that a fine histogram takes in together, as its arrays are large.
+HELD = 1 << 21
 # Tasks per core; a task counts the pairs of many block pairs before it hands anything on.
 TASKS = 4
 
@@ -55,8 +57,8 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _kinds(batches: Iterator[pd.DataFrame]):
-    """Per tile of pairs and kind: row names, column names, scores, where a pair counts, and its scores."""
+def _tiles(batches: Iterator[pd.DataFrame]):
+    """Per tile of pairs: row names, column names, scores, which have one label, and which count (``None``: all)."""
     for pdf in _groups(batches):
         pdf = pdf.sort_values("name", ignore_index=True)
         own, names = pdf["_b"].to_numpy(), pdf["name"].to_numpy()
@@ -69,49 +71,37 @@ def _kinds(batches: Iterator[pd.DataFrame]):
                     x, y = a[i : i + TILE[0]], b[j : j + TILE[1]]
                     if low == high and y[-1] <= x[0]:
                         continue
-                    scores = matrix[x] @ matrix[y].T
                     left, right = labels[rows[x]], labels[rows[y]]
                     same = (left[:, None] == right[None, :]) & (left >= 0)[:, None]
-                    counts = x[:, None] < y[None, :] if low == high and y[0] <= x[-1] else True
-                    for flag in (True, False):
-                        mask = (same if flag else ~same) & counts
-                        values = scores[mask]
-                        if len(values):
-                            yield flag, names[rows[x]], names[rows[y]], scores, mask, values
+                    counts = x[:, None] < y[None, :] if low == high and y[0] <= x[-1] else None
+                    yield names[rows[x]], names[rows[y]], matrix[x] @ matrix[y].T, same, counts
 
 
-class _Histogram:
-    """Pairs of one kind per cell, and the hardest of them."""
+def _cells(scores: np.ndarray, cells: int, kind: np.dtype | type) -> np.ndarray:
+    """Number of each score's cell, from zero."""
+    at = np.multiply(scores, cells)
+    np.rint(at, out=at)
+    at += cells + 1
+    return at.astype(kind)
 
-    def __init__(self, cells: int, extremes: bool):
-        self.cells, self.extremes = cells, extremes
-        size = 2 * cells + 3
-        self.pairs, self.total = np.zeros(size, np.int64), np.zeros(size)
-        self.low, self.high = np.full(size, np.inf), np.full(size, -np.inf)
-        self.hardest: tuple | None = None
 
-    def add(self, values: np.ndarray) -> None:
-        if self.extremes:
-            values = np.sort(values)
-        at = np.rint(values * self.cells).astype(np.int64) + self.cells + 1
-        if not self.extremes:
-            size = len(self.pairs)
-            self.pairs += np.bincount(at, minlength=size)
-            self.total += np.bincount(at, values, minlength=size)
-            for ends, pick, best in ((self.low, values.argmin(), min), (self.high, values.argmax(), max)):
-                ends[at[pick]] = best(ends[at[pick]], values[pick])
+class _Kind:
+    """The hardest pair and the extremes of one kind."""
+
+    def __init__(self):
+        self.hardest: tuple | None = None
+        self.least, self.largest = np.inf, -np.inf
+
+    def judge(self, flag: bool, rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, mask: np.ndarray, least: float, largest: float) -> None:
+        """``least`` and ``largest`` are those of all scores of the tile, so most tiles need no second look."""
+        if least < self.least:
+            self.least = min(self.least, scores.min(where=mask, initial=np.inf))
+        if largest > self.largest:
+            self.largest = max(self.largest, scores.max(where=mask, initial=-np.inf))
+        if self.hardest is not None and (least > self.hardest[0] if flag else largest < self.hardest[0]):
             return
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        ends = np.r_[starts[1:], len(at)]
-        cells = at[starts]
-        self.pairs[cells] += ends - starts
-        self.total[cells] += np.add.reduceat(values, starts)
-        self.low[cells] = np.minimum(self.low[cells], values[starts])
-        self.high[cells] = np.maximum(self.high[cells], values[ends - 1])
-
-    def judge(self, flag: bool, rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, mask: np.ndarray, values: np.ndarray) -> None:
-        worst, sign = (values.min(), 1) if flag else (values.max(), -1)
-        if self.hardest is not None and sign * worst > sign * self.hardest[0]:
+        worst = scores.min(where=mask, initial=np.inf) if flag else scores.max(where=mask, initial=-np.inf)
+        if not np.isfinite(worst) or self.hardest is not None and (worst > self.hardest[0] if flag else worst < self.hardest[0]):
             return
         i, j = np.nonzero(mask & (scores == worst))
         x, y = rows[i], columns[j]
@@ -121,17 +111,72 @@ class _Histogram:
         if self.hardest is None or worst != self.hardest[0] or found[1:] < self.hardest[1:]:
             self.hardest = found
 
-    def rows(self, flag: bool, names: list[str]) -> Iterator[pd.DataFrame]:
-        used = np.flatnonzero(self.pairs)
-        for i in range(0, len(used), 1 << 16):
-            at = used[i : i + (1 << 16)]
-            low, high = (np.where(np.isfinite(e[at]), e[at], np.nan) for e in (self.low, self.high))
-            part = pd.DataFrame({"same_label": flag, "cell": at - self.cells - 1, "pairs": self.pairs[at], "total": self.total[at]})
-            part["low"], part["high"] = pd.array(low, "Float64"), pd.array(high, "Float64")
-            yield part.reindex(columns=names).astype({"hardest": object, "a": object, "b": object}).replace({np.nan: None})
-        worst, a, b = self.hardest
-        cell = int(np.rint(worst * self.cells))
-        yield pd.DataFrame([(flag, cell, 0, 0.0, None, None, worst, a, b)], columns=names)
+
+class _Histogram:
+    """Pairs of both kinds per cell, and the hardest of them."""
+
+    def __init__(self, cells: int, extremes: bool):
+        self.cells, self.extremes, self.size = cells, extremes, 2 * cells + 3
+        # Pairs of two labels, pairs of one label, and a place for what does not count.
+        self.pairs, self.total = np.zeros(2 * self.size + 1, np.int64), np.zeros(2 * self.size + 1)
+        self.low, self.high = (np.full(2 * self.size + 1, x) if extremes else None for x in (np.inf, -np.inf))
+        self.kinds = {True: _Kind(), False: _Kind()}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, same: np.ndarray, counts: np.ndarray | None) -> None:
+        at = _cells(scores, self.cells, np.intp)
+        np.add(at, self.size, out=at, where=same)
+        if counts is not None:
+            at[~counts] = 2 * self.size
+        least, largest = scores.min(), scores.max()
+        for flag, kind in self.kinds.items():
+            mask = same if flag else ~same
+            kind.judge(flag, rows, columns, scores, mask if counts is None else mask & counts, least, largest)
+        if self.extremes:
+            self.held.append((at.ravel(), scores.ravel()))
+            self.waiting += at.size
+            if self.waiting >= HELD:
+                self.flush()
+        else:
+            self._count(at.ravel(), scores.ravel())
+
+    def _count(self, at: np.ndarray, scores: np.ndarray) -> None:
+        self.pairs += np.bincount(at, minlength=len(self.pairs))
+        self.total += np.bincount(at, scores, minlength=len(self.pairs))
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        at, scores = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.waiting = [], 0
+        self._count(at, scores)
+        # Few scores are a new extreme once a cell has seen some.
+        for ends, beyond, put in ((self.low, np.less, np.minimum), (self.high, np.greater, np.maximum)):
+            new = np.flatnonzero(beyond(scores, ends[at]))
+            put.at(ends, at[new], scores[new])
+
+    def rows(self, names: list[str]) -> Iterator[pd.DataFrame]:
+        self.flush()
+        for flag, kind in self.kinds.items():
+            if kind.hardest is None:
+                continue
+            first = self.size if flag else 0
+            used = first + np.flatnonzero(self.pairs[first : first + self.size])
+            if self.extremes:
+                low, high = self.low, self.high
+            else:
+                low, high = np.full(len(self.pairs), np.inf), np.full(len(self.pairs), -np.inf)
+                low[used[0]], high[used[-1]] = kind.least, kind.largest
+            for i in range(0, len(used), 1 << 16):
+                at = used[i : i + (1 << 16)]
+                ends = (np.where(np.isfinite(e[at]), e[at], np.nan) for e in (low, high))
+                part = pd.DataFrame({"same_label": flag, "cell": at - first - self.cells - 1, "pairs": self.pairs[at], "total": self.total[at]})
+                part["low"], part["high"] = (pd.array(e, "Float64") for e in ends)
+                yield part.reindex(columns=names).astype({"hardest": object, "a": object, "b": object}).replace({np.nan: None})
+            worst, a, b = kind.hardest
+            cell = int(np.rint(worst * self.cells))
+            yield pd.DataFrame([(flag, cell, 0, 0.0, None, None, worst, a, b)], columns=names)
 
 
 def pair_histogram(samples: DataFrame, block: int | None = None, cells: int = CELLS, extremes: bool = True) -> DataFrame:
@@ -149,14 +194,10 @@ def pair_histogram(samples: DataFrame, block: int | None = None, cells: int = CE
     names = ["same_label", "cell", "pairs", "total", "low", "high", "hardest", "a", "b"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds: dict[bool, _Histogram] = {}
-        for flag, rows, columns, scores, mask, values in _kinds(batches):
-            if flag not in kinds:
-                kinds[flag] = _Histogram(cells, extremes)
-            kinds[flag].judge(flag, rows, columns, scores, mask, values)
-            kinds[flag].add(values)
-        for flag, found in kinds.items():
-            yield from found.rows(flag, names)
+        found = _Histogram(cells, extremes)
+        for tile in _tiles(batches):
+            found.add(*tile)
+        yield from found.rows(names)
 
     partial = _blocks(samples, block).mapInPandas(count, schema)
     sign = F.when(F.col("same_label"), 1).otherwise(-1)
@@ -192,15 +233,23 @@ def _paths(samples: DataFrame, block: int | None, paths: set, listed: bool) -> d
     ordered = sorted(paths)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = {flag: np.zeros(2 * CELLS + 3, bool) for flag in (True, False)}
-        for flag, path in ordered:
-            wanted[flag][path[0] + CELLS + 1] = True
+        size = 2 * CELLS + 3
+        wanted = sorted({path[0] + CELLS + 1 + size * flag for flag, path in ordered})
         found: dict[int, dict[float, int]] = {}
-        for flag, _, _, _, _, values in _kinds(batches):
+        for _, _, scores, same, counts in _tiles(batches):
+            at = _cells(scores, CELLS, np.int16)
+            np.add(at, np.int16(size), out=at, where=same)
             # Few scores lie in a cell that holds a wanted rank.
-            values = values[wanted[flag][np.rint(values * CELLS).astype(np.int64) + CELLS + 1]]
+            near = at == wanted[0]
+            for cell in wanted[1:]:
+                near |= at == cell
+            if counts is not None:
+                near &= counts
+            some = np.flatnonzero(near)
+            flags, chosen = same.ravel()[some], scores.ravel()[some]
             for i, (kind, path) in enumerate(ordered):
-                if kind != flag or not len(values):
+                values = chosen[flags == kind]
+                if not len(values):
                     continue
                 here, rest = _inside(values, path)
                 if not listed:

@@ -251,3 +251,57 @@ def test_scores_are_held_by_tiles(spark, monkeypatch, broadcast):
     got = matching.margin_match(pairs, ["domain", "attempt"], 0.3, 0.01)
     assert rows(got.select("attempt", "target_id", "track_id")) == sorted(want) and want
     assert seen.value == 0
+
+
+def test_broadcast_targets_hold_their_vectors_once(spark):
+    """A worker has the targets of a broadcast as a matrix; lists of vectors beside it would be several times larger."""
+    data = [(x, i, [1.0, float(i), 2.0], None) for x in ("p", "q") for i in range(5)]
+    targets = spark.createDataFrame(data, "domain string, target_id bigint, centroid array<double>, plate_number string")
+    for frame, units in similarity._by_key(targets, ["domain"]).values():
+        assert list(frame.columns) == ["domain", "target_id", "plate_number"]
+        assert units[3][1].shape == (5, 3)
+
+
+def test_one_domain_of_recognition(spark, tmp_path, monkeypatch):
+    """u05 multiplies a domain's candidates with that domain's targets only, once."""
+    from sightline.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(2)
+    data = [(i, v, i % 3) for i, v in enumerate(vectors(rng, 160))]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, whole = [], similarity.scored_pairs
+
+    def scored(candidates, targets, *args, **options):
+        seen.append([sorted({r.domain for r in x.select("domain").collect()}) for x in (candidates, targets)])
+        return whole(candidates, targets, *args, **options)
+
+    monkeypatch.setattr(similarity, "scored_pairs", scored)
+    QUERIES["u05_domain_adapter"](spark, str(tmp_path))
+    assert seen == [[["person"]] * 2, [["vehicle"]] * 2]
+
+
+def test_tiles_of_the_histogram_like_all_pairs(spark, monkeypatch):
+    """Small tiles and buffers, labels that are null, copies: cells, sums, extremes and hardest pairs."""
+    monkeypatch.setattr(calibration, "TILE", (4, 8))
+    monkeypatch.setattr(calibration, "HELD", 50)
+    rng = np.random.default_rng(4)
+    made = [list(map(float, v)) for v in vectors(rng, 40)]
+    data = [(i, [None, "a", "b"][i % 3], made[i % 35]) for i in range(40)]
+    df = spark.createDataFrame(data, "name bigint, label string, embedding array<double>")
+    want = {}
+    for (a, la, x), (b, lb, y) in itertools.combinations(data, 2):
+        want.setdefault(la is not None and la == lb, []).append((cos(x, y), a, b))
+    for extremes in (True, False):
+        found = calibration.pair_histogram(df, 16, cells=100, extremes=extremes).collect()
+        for flag, pairs in want.items():
+            mine, scores = [r for r in found if r.same_label == flag], [x for x, _, _ in pairs]
+            assert sum(r.pairs for r in mine) == len(pairs)
+            assert sum(r.total for r in mine) == pytest.approx(sum(scores))
+            assert min(r.low for r in mine if r.low is not None) == pytest.approx(min(scores))
+            assert max(r.high for r in mine if r.high is not None) == pytest.approx(max(scores))
+            for r in mine if extremes else ():
+                cell = [x for x in scores if round(x * 100) == r.cell]
+                assert (r.pairs, r.low, r.high) == (len(cell), pytest.approx(min(cell)), pytest.approx(max(cell)))
+    stats = {r.same_label: r for r in calibration.distribution(df, 16).collect()}
+    for flag, pairs in want.items():
+        assert stats[flag].median == pytest.approx(np.percentile([x for x, _, _ in pairs], 50), abs=1e-12)
