@@ -56,7 +56,8 @@ def _pick(scores: np.ndarray, attempts: np.ndarray, floor: float) -> tuple[np.nd
     for low, high in zip(starts, np.r_[starts[1:], len(attempts)]):
         cols, rows = _two_best(scores[low:high].T)
         chosen.append(np.stack([rows + low, cols]))
-    both = np.unique(np.concatenate(chosen, axis=1), axis=1)
+    rows, cols = np.concatenate(chosen, axis=1)
+    both = np.divmod(np.unique(rows * scores.shape[1] + cols), scores.shape[1])
     keep = scores[both[0], both[1]]
     ok = np.isfinite(keep) & (keep >= floor)
     return both[0][ok], both[1][ok]
@@ -204,7 +205,8 @@ def _by_key(targets: DataFrame, same: list[str]) -> dict[tuple, tuple[pd.DataFra
     found = {}
     for key, part in pdf.dropna(subset=same).sort_values("target_id").groupby(same, sort=False):
         part = part.reset_index(drop=True)
-        found[key] = (part, _units(part["centroid"]))
+        # Every worker holds this: the vectors once, as a matrix.
+        found[key] = (part.drop(columns="centroid"), _units(part["centroid"]))
     return found
 
 

@@ -86,8 +86,10 @@ all_pairs as (select c.domain, c.attempt, c.track_id, c.plate, f.identity_id as
 pairs as (select * from all_pairs where plate is null or plate_number is null or plate = plate_number)"""
 
 
-def recognition_pairs(spark, sf, floor, every=False):
+def recognition_pairs(spark, sf, floor, every=False, domain=None):
     refs = d.references(spark, sf)
+    if domain is not None:
+        refs = refs.where(F.col("domain") == domain)
     g = d.gallery(refs)
     free = matching.free_identities(g, bindings(g)).select(
         "domain", F.col("identity_id").alias("target_id"), "centroid", "plate_number"
@@ -199,7 +201,7 @@ def _domain_case(i: int) -> str:
 def domain_adapter(spark, sf):
     parts = []
     for domain, (threshold, margin) in _DOMAIN_LIMITS.items():
-        pairs = recognition_pairs(spark, sf, threshold - margin).where(F.col("domain") == domain)
+        pairs = recognition_pairs(spark, sf, threshold - margin, domain=domain)
         parts.append(matching.margin_match(pairs, ["domain", "attempt"], threshold, margin))
     both = parts[0].unionByName(parts[1])
     return both.select("domain", "attempt", "target_id", "track_id", F.round("score", 6).alias("score"))
