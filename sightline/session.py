@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21
 
 
 def local_session(cores: str = "*", app: str = "sightline", partitions: int = 8) -> SparkSession:
@@ -51,6 +52,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to the Python workers ``BATCH_BYTES`` at a time, unless the submitter has set a limit.
+
+    Spark's own limit is 64 MB; executor and worker hold several copies of a batch for each task, and
+    much of the memory stays with the two processes afterwards.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read, and go on from the files.
 

@@ -2,10 +2,14 @@
 
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sightline.llm import mixing
+from sightline.session import BATCH_BYTES, BATCH_LIMIT
 from test_decontaminate import UPPER, WORD
 from test_nearcopies import first_of_components
 
@@ -98,3 +102,31 @@ def test_run_and_empty_documents(spark, stages):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == Counter(r.doc_id for r in tables[5])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0
+
+
+def test_batches(spark, stages):
+    """After any stage with Python workers, rows reach them in batches of bounded size, unless the session has its own limit."""
+    folder, empty = stages[0], spark.createDataFrame([], SCHEMA)
+    docs = spark.range(300).selectExpr("id", "repeat(cast(id % 10 as string), 30000) as text").repartition(1)
+
+    def sizes(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([rows.nbytes], pa.int64())})
+
+    @F.pandas_udf("long")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    def largest():
+        return max(r.n for r in docs.mapInArrow(sizes, "n long").collect()), docs.agg(F.max(lengths("text"))).first()[0]
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        spark.conf.unset(BATCH_LIMIT)
+        assert min(largest()) > 4 * BATCH_BYTES
+        stage(spark, empty, folder)
+        assert max(largest()) <= 2 * BATCH_BYTES
+    spark.conf.set(BATCH_LIMIT, "1g")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, empty, folder)
+        assert spark.conf.get(BATCH_LIMIT) == "1g"
+    spark.conf.unset(BATCH_LIMIT)
