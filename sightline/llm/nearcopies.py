@@ -51,7 +51,7 @@ MIXED = 1024
 #: Shingles of centres in a task's index, and nodes that one task compares with them.
 HELD, PASSED = 1 << 20, 1 << 13
 #: Places in the index, and pairs, that are looked at together.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 

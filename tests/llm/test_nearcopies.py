@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -124,3 +126,19 @@ def test_fingerprints_find_pairs_without_keys(spark):
     assert grouped(docs, nodes) == first_of_components(texts) == list(range(0, 40, 2))
     one = nodes.withColumn("fp", nearcopies.F.lit(7).cast("long"))
     assert grouped(docs, one) == list(range(0, 40, 2))
+
+
+def test_index_holds_little_beside_its_centres():
+    """Nodes that share all their shingles with every centre are compared a few at a time."""
+    shared = np.arange(20, dtype=np.uint64)
+    sets = [np.append(shared, np.uint64(1000 + i)) for i in range(1200)]
+    index = nearcopies._Index((0, 0, 0))
+    index.hold(np.arange(400), sets[:400])
+    tracemalloc.start()
+    try:
+        links = [*index.close(), *index.meet(np.arange(400, 1200), sets[400:])]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == 1199 and len({x for link in links for x in link}) == 1200
+    assert most < 48 << 20
