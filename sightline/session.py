@@ -16,6 +16,8 @@ ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 21
+#: Bytes that Spark takes for the size of a table it knows nothing of.
+UNKNOWN_SIZE = (1 << 63) - 1
 
 
 def local_session(cores: str = "*", app: str = "sightline", partitions: int = 8) -> SparkSession:
@@ -70,7 +72,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    return _estimated(df.checkpoint())
+
+
+def _estimated(df: DataFrame) -> DataFrame:
+    """A checkpoint whose estimated size is a long at most.
+
+    Spark estimates a join as the product of its sides, and a checkpoint keeps the estimate. In a loop
+    the number gets several times the digits each round, until the driver has neither time nor memory
+    for it. A size that no table can have is replaced by Spark's size of an unknown table.
+    """
+    plan = df._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() <= UNKNOWN_SIZE:
+        return df
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    facts = plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream()
+    known = jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints())
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(*facts, session, *known)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -5,6 +5,7 @@ import xxhash
 
 from sightline.llm import simhash
 from sightline.llm.components import components
+from sightline.session import cut_lineage
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -110,6 +111,33 @@ def test_components_of_chains_and_stars(spark):
     assert components(frame.limit(0), "a", "b").count() == 0
 
 
+def estimated(frame):
+    """Spark's estimate of the size of a table, as text; Python converts no number of so many digits."""
+    return frame._jdf.queryExecution().optimizedPlan().stats().simpleString()
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """Spark estimates joins as products and checkpoints keep that: the driver's memory went into the digits."""
+    frame = spark.range(400).selectExpr("id a", "id + 1 b")
+    found = components(frame, "a", "b")
+    assert estimated(found) == "sizeInBytes=8.0 EiB"
+    assert found.count() == 401 and found.select("root").distinct().count() == 1
+
+
+def test_checkpoints_keep_rows_partitions_and_small_estimates(spark):
+    small = cut_lineage(spark.range(10).selectExpr("id", "cast(id as string) s"))
+    assert "EiB" not in estimated(small)
+    other = small.selectExpr("id", "s r")
+    for _ in range(12):
+        other = other.join(small.select("id"), "id")
+    dealt = other.crossJoin(small.selectExpr("id n")).repartition(3, "n").sortWithinPartitions("n")
+    made = cut_lineage(dealt)
+    assert estimated(made) == "sizeInBytes=8.0 EiB"
+    assert made.schema == dealt.schema and sorted(made.collect()) == sorted(dealt.collect())
+    assert made.rdd.getNumPartitions() == 3
+    assert made.join(small, "id").count() == 100
+
+
 BASE = " ".join(f"w{i * i % 97} v{i}" for i in range(150))
 DOCS = [
     (4, BASE), (2, BASE), (2, BASE), (9, BASE.upper()), (7, "quite another text of some words"), (8, None), (5, ""), (6, " \n"),
